@@ -27,10 +27,13 @@ def content_sorted(docs: DataFrame, id_col: str, text_col: str, normalise=None)
     """Rows (id, sha) of every document, from range-partitioned, sorted, neighbour-compared normalised bytes."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), (normalise(text) if normalise else text).cast("binary").alias("body"))
-    # The identifier is the second key: splitters that Spark samples fall inside a large group of copies as well, so
-    # such a group spreads over as many partitions as its share of the rows is worth.
+    # Splitters are sampled from a short head of the bytes, a hash of all of them and the identifier, so what the sample
+    # sends to the driver does not grow with the texts, and splitters fall inside a large group of copies as well: such
+    # a group spreads over as many partitions as its share of the rows is worth.
+    rows = rows.withColumn("head", F.substring("body", 1, 32)).withColumn("hash", F.xxhash64("body"))
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartitionByRange(n, "body", "id").sortWithinPartitions("body", "id").mapInArrow(_runs, "id long, sha string")
+    dealt = rows.repartitionByRange(n, "head", "hash", "id").sortWithinPartitions("head", "hash", "body", "id")
+    return dealt.select("id", "body").mapInArrow(_runs, "id long, sha string")
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "max", normalise=None) -> DataFrame:
