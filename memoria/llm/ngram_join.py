@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import U64, Forest, components, mix, shingle_set, stash, whole_groups
+from .common import U64, Forest, block_pairs, components, mix, shingle_set, stash, whole_groups
 
 _BITS = 512
 _WORDS = _BITS // 64
@@ -170,17 +170,6 @@ def _verified(num: int, den: int, k: int):
     return run
 
 
-def _blocks(rows: DataFrame, tile: str, count: str, most: int) -> DataFrame:
-    """Rows for every pair of blocks of a tile: a tile of over `most` rows is dealt by hash into blocks, and each row
-    goes to the pairs that its block is in. Adds side: 1 and 2 for the pair's blocks, 3 where both are one."""
-    blocks = F.ceil(F.col(count) / most).cast("long")
-    dealt = rows.withColumn("blocks_", blocks).withColumn("block_", F.pmod(F.xxhash64("node", F.lit(7)), F.col("blocks_")))
-    dealt = dealt.withColumn("other_", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks_") - 1)))
-    pair = F.xxhash64(tile, F.least("block_", "other_"), F.greatest("block_", "other_"))
-    side = F.when(F.col("block_") == F.col("other_"), 3).when(F.col("block_") < F.col("other_"), 1).otherwise(2)
-    return dealt.withColumn("side", side).withColumn(tile, F.when(F.col("blocks_") == 1, F.col(tile)).otherwise(pair)).drop("blocks_", "block_", "other_")
-
-
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 4, den: int = 5, tile_rows: int = 4096, block: int = 256) -> DataFrame:
     """One row per document: (id_col, n_shingles, component_id) of the graph whose links are Jaccard >= num/den on sets
     of k-word shingles of the text with A-Z lower-cased; words are `[^\\x20\\x09-\\x0D]+`.
@@ -240,7 +229,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     sig = rows.select("text").mapInArrow(signatures, "tile long, node long")
     sig = sig.withColumn("count", F.count("*").over(w)).where("count > 1")
     sig = stash(sig)
-    tiles = _blocks(sig, "tile", "count", tile_rows).join(node.select("node", "n", "bits"), "node").select("tile", "node", "n", "bits")
+    tiles = block_pairs(sig, "tile", "count", tile_rows).join(node.select("node", "n", "bits"), "node").select("tile", "node", "n", "bits")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     near = tiles.repartition(parts, "tile").sortWithinPartitions("tile", "n", "node").mapInArrow(_tile_links(num, den), "a long, b long")
     family = stash(components(near).withColumnRenamed("component", "family"))
@@ -251,7 +240,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     sizes = visits.join(classes.select("family", "band"), ["family", "band"], "left_semi")
     counts = sizes.groupBy("family", "band").agg(F.count("*").alias("count"))
     sizes = sizes.join(counts, ["family", "band"]).withColumn("tile", F.xxhash64("family", "band")).select("tile", "node", "key", "count")
-    dealt = _blocks(sizes, "tile", "count", block)
+    dealt = block_pairs(sizes, "tile", "count", block)
     # A node's text is that of the row with its smallest key; texts of other rows under that key are told apart later.
     texts = dealt.join(rows.select("key", "text"), "key").select("tile", "node", "side", "text")
     pairs = texts.repartition(parts, "tile").sortWithinPartitions("tile").mapInArrow(_verified(num, den, k), "a long, b long")
