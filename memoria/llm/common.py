@@ -79,18 +79,22 @@ _GAP = np.zeros(256, bool)
 _GAP[[32, *range(9, 14)]] = True
 
 
-def word_spans(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The bytes, and the start and end of every word `[^\\x20\\x09-\\x0D]+`."""
+def word_spans(data: bytes, gap: np.ndarray = _GAP) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes, and the start and end of every word; by default words are `[^\\x20\\x09-\\x0D]+`."""
     raw = np.frombuffer(data, np.uint8)
     inside = np.zeros(len(raw) + 2, np.int8)
-    inside[1:-1] = ~_GAP[raw]
+    inside[1:-1] = ~gap[raw]
     turn = np.diff(inside)
     return raw, np.flatnonzero(turn == 1), np.flatnonzero(turn == -1)
 
 
 def word_hashes(data: bytes) -> np.ndarray:
+    return word_hashes_by(data, _GAP)
+
+
+def word_hashes_by(data: bytes, gap: np.ndarray) -> np.ndarray:
     """A 64-bit hash of every word: differences of a running polynomial over the bytes, scaled to the word's start."""
-    raw, start, end = word_spans(data)
+    raw, start, end = word_spans(data, gap)
     if not len(start):
         return np.zeros(0, U64)
     _grow(len(raw))
