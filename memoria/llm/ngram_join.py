@@ -9,7 +9,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from .common import U64, Forest, block_pairs, components, mix, shingle_set, stash, whole_groups
 
@@ -223,8 +223,6 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     node = member.where("node is not null").groupBy("node").agg(F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("band").alias("band"), F.min("id").alias("least"), F.min("key").alias("key"))
     node = stash(node)
 
-    from pyspark.sql import Window
-
     w = Window.partitionBy("tile")
     sig = rows.select("text").mapInArrow(signatures, "tile long, node long")
     sig = sig.withColumn("count", F.count("*").over(w)).where("count > 1")
@@ -235,14 +233,21 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     family = stash(components(near).withColumnRenamed("component", "family"))
 
     homes = stash(family.join(node.select("node", "band", "key"), "node"))
+    # Class b compares sets of band b with each other and with those of band b + 1, which visit it. A class that has the
+    # band below but not the one above adds nothing: its sets all meet in the class below.
     classes = homes.groupBy("family", "band").agg(F.count("*").alias("own"))
+    order = Window.partitionBy("family").orderBy("band")
+    classes = classes.withColumn("below", F.lag("band").over(order)).withColumn("above", F.lead("band").over(order))
+    alone = (F.coalesce("above", F.col("band")) != F.col("band") + 1) & (F.coalesce("below", F.col("band")) == F.col("band") - 1)
+    classes = classes.where(~alone).select("family", "band")
     visits = homes.select("node", "key", "family", F.explode(F.array("band", F.col("band") - 1)).alias("band"))
-    sizes = visits.join(classes.select("family", "band"), ["family", "band"], "left_semi")
+    sizes = visits.join(classes, ["family", "band"], "left_semi")
     counts = sizes.groupBy("family", "band").agg(F.count("*").alias("count"))
     sizes = sizes.join(counts, ["family", "band"]).withColumn("tile", F.xxhash64("family", "band")).select("tile", "node", "key", "count")
     dealt = block_pairs(sizes, "tile", "count", block)
     # A node's text is that of the row with its smallest key; texts of other rows under that key are told apart later.
-    texts = dealt.join(rows.select("key", "text"), "key").select("tile", "node", "side", "text")
+    # Always by shuffling both sides: a broadcast of the wanted keys would only suit small inputs.
+    texts = dealt.hint("shuffle_merge").join(rows.select("key", "text"), "key").select("tile", "node", "side", "text")
     pairs = texts.repartition(parts, "tile").sortWithinPartitions("tile").mapInArrow(_verified(num, den, k), "a long, b long")
     linked = components(pairs).withColumnRenamed("node", "linked")
 
