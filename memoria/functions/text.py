@@ -1,0 +1,158 @@
+"""Text functions as Column expressions; only what Spark cannot express (stemming, byte clipping) is a pandas UDF."""
+
+from __future__ import annotations
+
+import pandas as pd
+from pyspark.sql import Column, functions as F
+
+# What counts as a secret when text is stored, and as a path that is never read.
+SECRETS = (
+    r"AKIA[0-9A-Z]{16}",
+    r"gh[pousr]_[A-Za-z0-9]{20,}",
+    r"xox[abprs]-[A-Za-z0-9-]{10,}",
+    r"sk-[A-Za-z0-9_-]{20,}",
+    r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}",
+)
+ASSIGNED = r"(?i)((?:password|passwd|secret|token|api_?key)\s*[:=]\s*)[\"']?[^\s\"',;]{8,}[\"']?"
+SENSITIVE_PATH = r"(?i)(^|/)(\.env(\.[^/]*)?|\.netrc|\.npmrc|\.pgpass|id_(rsa|dsa|ecdsa|ed25519)|credentials|[^/]*\.(pem|key|p12|pfx))$"
+MARK = "[REDACTED]"
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+
+def ascii_lower(text: Column) -> Column:
+    """Folds A-Z only; lower() would fold accented letters too."""
+    return F.translate(text, _UPPER, _UPPER.lower())
+
+
+def tokens(text: Column) -> Column:
+    """Lower-cased runs of letters and digits."""
+    return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+
+
+def split_identifier(token: Column) -> Column:
+    """camelCase and HTTPServer parts, separated by spaces."""
+    parted = F.regexp_replace(token, r"(\p{Lu})(\p{Lu}\p{Ll})", "$1 $2")
+    return F.regexp_replace(parted, r"(\p{Ll})(\p{Lu})", "$1 $2")
+
+
+def identifier_terms(text: Column) -> Column:
+    """The parts of those tokens of a text that split, joined by spaces."""
+    words = F.regexp_extract_all(text, F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    parts = F.transform(words, split_identifier)
+    return F.array_join(F.filter(parts, lambda p: F.contains(p, F.lit(" "))), " ")
+
+
+def normalise_claim(text: Column) -> Column:
+    return F.trim(F.regexp_replace(text, r"\s+", " "))
+
+
+def normalise_echo(text: Column) -> Column:
+    return F.lower(normalise_claim(text))
+
+
+def phrases_contained(text: Column, phrases: Column) -> Column:
+    """How many of the phrases a text contains, A-Z folded."""
+    low = ascii_lower(text)
+    return F.size(F.filter(phrases, lambda p: F.contains(low, ascii_lower(p))))
+
+
+def restatable(body: Column, least: int = 40) -> Column:
+    """The whole body and its sentences that are long enough to be recognised elsewhere."""
+    echo = normalise_echo(body)
+    return F.array_distinct(F.filter(F.concat(F.array(echo), F.transform(F.split(echo, r"[.!?] "), F.trim)), lambda p: F.length(p) >= least))
+
+
+def restates(text: Column, pieces: Column) -> Column:
+    low = normalise_echo(text)
+    return F.exists(pieces, lambda p: F.contains(low, p))
+
+
+def remove_private(text: Column) -> Column:
+    """Without <private> spans; one that is not closed runs to the end."""
+    return F.regexp_replace(F.regexp_replace(text, r"(?s)<private>.*?</private>", ""), r"(?s)<private>.*$", "")
+
+
+def redact(text: Column) -> tuple[Column, Column]:
+    """The text with secrets replaced, and how many were."""
+    count = F.lit(0)
+    for pattern in SECRETS:
+        count = count + F.regexp_count(text, F.lit(pattern))
+        text = F.regexp_replace(text, pattern, MARK)
+    count = count + F.regexp_count(text, F.lit(ASSIGNED))
+    return F.regexp_replace(text, ASSIGNED, "$1" + MARK.replace("[", "\\[").replace("\\", "")), count
+
+
+def touches_sensitive_path(paths: Column) -> Column:
+    return F.exists(paths, lambda p: p.rlike(SENSITIVE_PATH))
+
+
+def one_line(text: Column, most: int) -> Column:
+    """One line of at most so many characters, an ellipsis for what is cut."""
+    flat = normalise_claim(text)
+    return F.when(F.length(flat) <= most, flat).otherwise(F.concat(F.substring(flat, 1, most - 1), F.lit("…")))
+
+
+def safe_origin(url: Column) -> Column:
+    """Scheme and host of an http(s) address, else null."""
+    return F.nullif(F.regexp_extract(url, r"^(https?://[^/?#\s]+)", 1), F.lit(""))
+
+
+def task_key(text: Column) -> Column:
+    """#12, owner/repo#12, PROJ-12 and issue addresses in one form; anything else trimmed and lower-cased."""
+    t = F.trim(text)
+    return (
+        F.when(t.rlike(r"^#\d+$"), t)
+        .when(t.rlike(r"^[\w.-]+/[\w.-]+#\d+$"), F.lower(t))
+        .when(t.rlike(r"^https?://[^/]+/[\w.-]+/[\w.-]+/(issues|pull)/\d+$"), F.lower(F.regexp_replace(t, r"^https?://[^/]+/([\w.-]+/[\w.-]+)/(?:issues|pull)/(\d+)$", "$1#$2")))
+        .when(t.rlike(r"^[A-Za-z][A-Za-z0-9]+-\d+$"), F.upper(t))
+        .otherwise(F.lower(normalise_claim(t)))
+    )
+
+
+def age(then: Column, now: Column) -> Column:
+    """The largest whole unit between two instants, as 3y, 2mo, 5d, 4h, 7m or 1s; a month is 30 days, a year 365."""
+    s = F.greatest(F.unix_seconds(now) - F.unix_seconds(then), F.lit(0).cast("long"))
+    units = (("y", 365 * 86400), ("mo", 30 * 86400), ("d", 86400), ("h", 3600), ("m", 60))
+    out = F.concat(s.cast("string"), F.lit("s"))
+    for name, size in reversed(units):
+        out = F.when(s >= size, F.concat(F.floor(s / size).cast("string"), F.lit(name))).otherwise(out)
+    return out
+
+
+def estimated_tokens(text: Column) -> Column:
+    return F.ceil(F.octet_length(text) / 4).cast("long")
+
+
+def claim_hash(text: Column) -> Column:
+    return F.sha2(normalise_claim(text).cast("binary"), 256)
+
+
+@F.pandas_udf("string")
+def clip_bytes(text: pd.Series, most: pd.Series) -> pd.Series:
+    """The longest start of a text that has at most so many UTF-8 bytes and cuts no character."""
+    return pd.Series([None if t is None else t.encode()[: int(n)].decode("utf-8", "ignore") for t, n in zip(text, most, strict=True)])
+
+
+@F.pandas_udf("array<string>")
+def split_text(text: pd.Series) -> pd.Series:
+    """Pieces of at most 1000 UTF-8 bytes that put together give the text: words with the white space after them are
+    added while they fit; a longer word is cut between characters."""
+    import re
+
+    def pieces(t: str) -> list[str]:
+        out, now, size = [], [], 0
+        for word in re.findall(r"\S+\s*|\s+", t):
+            n = len(word.encode())
+            if size + n > 1000 and now:
+                out.append("".join(now))
+                now, size = [], 0
+            while n > 1000:
+                head = word.encode()[:1000].decode("utf-8", "ignore")
+                out.append(head)
+                word = word[len(head) :]
+                n = len(word.encode())
+            now.append(word)
+            size += n
+        return out + ["".join(now)] if now and size else out
+
+    return text.map(lambda t: None if t is None else pieces(t))
