@@ -6,6 +6,7 @@ from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -216,40 +217,33 @@ def fit(docs: DataFrame, key: Column, text_col: str = "text", lang_col: str = "l
 def predict(docs: DataFrame, model: tuple[Network, list[str]] | None, text_col: str = "text", pred_col: str = "lang_pred", score_col: str = "score") -> DataFrame:
     """The documents with a predicted label and its pooled probability; `und` and 0 for a null text, one without a
     letter, or without a model. Only the text is read. Columns of those names are replaced."""
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
-
-    docs = docs.drop(pred_col, score_col)
     names = model[1] if model else []
     net = model[0] if model else None
-    out_schema = StructType([*docs.schema.fields]).add(pred_col, "string").add(score_col, "double")
-    arrow = to_arrow_schema(out_schema)
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            # Rows are taken in turns of about 4 MB of text, which bounds a task's memory.
-            texts = b.column(b.num_columns - 2).to_pylist()
-            asked = b.column(b.num_columns - 1).to_pylist()
+    @F.pandas_udf("label string, score double")
+    def label(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in batches:
             preds, scores = [UNDETERMINED] * len(texts), [0.0] * len(texts)
-            turn: list[int] = []
+            # Texts are taken in turns of about 4 MB, which bounds a task's memory.
+            turn: list[tuple[int, bytes]] = []
             size = 0
-            for i in range(len(texts) + 1):
-                if i == len(texts) or size > 4_000_000:
-                    if turn and net is not None:
-                        pooled, _ = label_bytes(net, [texts[j].encode("utf-8", "surrogatepass") for j in turn])
-                        for j, p in zip(turn, pooled, strict=True):
-                            best = int(p.argmax())
-                            preds[j], scores[j] = names[best], float(min(max(p[best], 0.0), 1.0))
+            for i, text in enumerate([*texts, None]):
+                if turn and (i == len(texts) or size > 4_000_000):
+                    pooled, _ = label_bytes(net, [raw for _, raw in turn])
+                    for (k, _), p in zip(turn, pooled, strict=True):
+                        best = int(p.argmax())
+                        preds[k], scores[k] = names[best], float(min(max(p[best], 0.0), 1.0))
                     turn, size = [], 0
-                if i < len(texts) and asked[i]:
-                    turn.append(i)
-                    size += len(texts[i])
-            columns = [*b.columns[:-2], pa.array(preds, pa.string()), pa.array(scores, pa.float64())]
-            yield pa.RecordBatch.from_arrays([c.cast(f.type) if c.type != f.type else c for c, f in zip(columns, arrow, strict=True)], schema=arrow)
-
-    text, ask = fresh(docs, "text", "ask")
-    asked = docs.select("*", F.col(text_col).alias(text), has_letter(F.col(text_col)).alias(ask))
-    return asked.mapInArrow(run, out_schema)
+                if text is not None and net is not None:
+                    turn.append((i, text.encode("utf-8", "surrogatepass")))
+                    size += len(turn[-1][1])
+            yield pd.DataFrame({"label": preds, "score": scores})
+
+    # Only the text goes to Python; the other columns wait in the JVM.
+    docs = docs.drop(pred_col, score_col)
+    (found,) = fresh(docs, "found")
+    out = docs.withColumn(found, label(F.when(has_letter(F.col(text_col)), F.col(text_col).cast("string"))))
+    return out.select(*docs.columns, F.col(f"{found}.label").alias(pred_col), F.col(f"{found}.score").alias(score_col))
 
 
 def held_out(key: Column) -> Column:
