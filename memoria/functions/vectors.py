@@ -11,15 +11,19 @@ def dot(a: Column, b: Column) -> Column:
 
 def unit(v: Column) -> Column:
     """The vector at length 1; null where it has none."""
-    norm = F.sqrt(dot(v, v))
-    return F.when(norm > 0, F.transform(v, lambda x: x.cast("double") / norm))
+    step = F.struct(F.sqrt(dot(v, v)).alias("norm"), v.alias("v"))
+    # One pass holds the norm while the elements are divided by it.
+    return F.element_at(F.transform(F.array(step), lambda s: F.when(s["norm"] > 0, F.transform(s["v"], lambda x: x.cast("double") / s["norm"]))), 1)
 
 
-def int8(v: Column) -> Column:
-    """struct(values, scale): unit vector as whole numbers of -127..127, halves rounded up, times scale."""
-    u = unit(v)
-    scale = F.array_max(F.transform(u, F.abs)) / 127
-    return F.struct(F.transform(u, lambda x: F.greatest(F.lit(-127), F.least(F.lit(127), F.floor(x / scale + 0.5))).cast("int")).alias("values"), scale.alias("scale"))
+def int8_scale(unit_vector: Column) -> Column:
+    return F.array_max(F.transform(unit_vector, F.abs)) / 127
+
+
+def int8(unit_vector: Column, scale: Column) -> Column:
+    """A unit vector as whole numbers of -127..127, halves rounded up; times scale they give it back. Take both from
+    columns, not expressions, or each element computes them anew."""
+    return F.transform(unit_vector, lambda x: F.greatest(F.lit(-127), F.least(F.lit(127), F.floor(x / scale + 0.5))).cast("int"))
 
 
 def scaled_dot(q: Column, values: Column, scale: Column) -> Column:

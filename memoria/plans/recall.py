@@ -147,8 +147,9 @@ def claim_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     list_max(list_transform(embedding, lambda x: abs(CAST(x AS DOUBLE)))) AS m FROM embeddings)"""
 )
 def vector_quantise(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = views.table(spark, sf_dir, "embeddings").select("vec_id", vectors.int8(F.col("embedding")).alias("v"))
-    return rows.select("vec_id", F.col("v.values").alias("values"), F.round("v.scale", 9).alias("scale"))
+    rows = views.table(spark, sf_dir, "embeddings").select("vec_id", vectors.unit(F.col("embedding")).alias("u"))
+    rows = rows.withColumn("exact", vectors.int8_scale(F.col("u")))
+    return rows.select("vec_id", vectors.int8(F.col("u"), F.col("exact")).alias("values"), F.round("exact", 9).alias("scale"))
 
 
 _VECTOR = """WITH u AS (SELECT vec_id, label, sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE)))) AS n, embedding FROM embeddings),
