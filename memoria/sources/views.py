@@ -54,11 +54,11 @@ def call_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tool calls: views return a record, errors return none."""
     k = F.get_json_object("props", "$.k").cast("long")
     return table(spark, sf_dir, "events").select(
-        F.col("event_id").alias("id"), F.col("ts").alias("at"), F.col("user_id").alias("session_id"), F.col("event_type").alias("name"), F.col("value").alias("ms"), k.alias("ref")
+        F.col("event_id").alias("id"), F.col("ts").cast("timestamp").alias("at"), F.col("user_id").alias("session_id"), F.col("event_type").alias("name"), F.col("value").alias("ms"), k.alias("ref")
     )
 
 
-CALLS = """calls AS (SELECT event_id AS id, ts AS at, user_id AS session_id, event_type AS name, value AS ms,
+CALLS = """calls AS (SELECT event_id AS id, ts AS called, user_id AS session_id, event_type AS name, value AS ms,
   CAST(json_extract_string(props, '$.k') AS BIGINT) AS ref FROM events)"""
 
 
@@ -75,3 +75,15 @@ def queries(spark: SparkSession, sf_dir: str, terms: int = 6) -> DataFrame:
 
 
 QUERY_TERMS = r"""query_terms AS (SELECT DISTINCT item_id AS query_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')[1:6]) AS term FROM benchmark)"""
+
+
+def reliable(spark: SparkSession) -> None:
+    """Set the checkpoint folder: the cluster's own, or a temporary one for a local master without one."""
+    sc = spark.sparkContext
+    if not sc.getCheckpointDir():
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        import tempfile
+
+        sc.setCheckpointDir(folder or f"file://{tempfile.mkdtemp(prefix='memoria-')}")
