@@ -79,7 +79,7 @@ def redact(text: Column) -> tuple[Column, Column]:
         count = count + F.regexp_count(text, F.lit(pattern))
         text = F.regexp_replace(text, pattern, MARK)
     count = count + F.regexp_count(text, F.lit(ASSIGNED))
-    return F.regexp_replace(text, ASSIGNED, "$1" + MARK.replace("[", "\\[").replace("\\", "")), count
+    return F.regexp_replace(text, ASSIGNED, "$1" + MARK), count
 
 
 def touches_sensitive_path(paths: Column) -> Column:

@@ -1,0 +1,156 @@
+"""Ingest, text and freshness queries."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from ..functions import text
+from ..operators import freshness, ingest
+from ..sources import views
+from .registry import query
+
+_T = "WITH t AS (SELECT conv_id AS transcript, turn AS line, role, text FROM conversations)"
+
+
+@query(
+    _T
+    + """ SELECT transcript, line, CASE role WHEN 'user' THEN 'user_direction' WHEN 'assistant' THEN 'agent_inference' WHEN 'system' THEN 'host_summary' ELSE 'agent_inference' END AS attribution,
+  sha256(concat_ws(chr(31), role, text)) AS content_hash FROM t"""
+)
+def transcript_drafts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ingest.drafts(views.events(spark, sf_dir)).drop("body")
+
+
+@query(
+    _T
+    + """, e AS (SELECT transcript, role, sha256(text) AS content_hash, line FROM t), seen AS (SELECT DISTINCT transcript, role, CASE WHEN line % 3 = 0 THEN 'other' ELSE content_hash END AS content_hash FROM e WHERE line % 2 = 0),
+  once AS (SELECT transcript, role, content_hash, min(line) AS line FROM e GROUP BY ALL)
+  SELECT transcript, role, content_hash, line, CASE WHEN (transcript, role) NOT IN (SELECT (transcript, role) FROM seen) THEN 'new'
+    WHEN (transcript, role, content_hash) IN (SELECT (transcript, role, content_hash) FROM seen) THEN 'replay' ELSE 'version' END AS status FROM once"""
+)
+def event_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = views.events(spark, sf_dir).withColumn("content_hash", F.sha2(F.col("text").cast("binary"), 256))
+    seen = e.where("line % 2 = 0").withColumn("content_hash", F.when(F.col("line") % 3 == 0, "other").otherwise(F.col("content_hash")))
+    return ingest.identify(e, seen, ["transcript", "role"])
+
+
+@query("SELECT user_id, event_type, max(event_id) AS last FROM events GROUP BY ALL HAVING max(event_id) < 9000")
+def missing_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    seen = views.table(spark, sf_dir, "events").select("user_id", "event_type", F.col("event_id").alias("seen_epoch"))
+    return ingest.missing(seen, F.lit(9000), ["user_id", "event_type"])
+
+
+@query(_T + " SELECT transcript, line, last_value(CASE WHEN role = 'user' THEN text END IGNORE NULLS) OVER (PARTITION BY transcript ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS asked FROM t")
+def fill_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = views.events(spark, sf_dir).withColumn("asked", F.when(F.col("role") == "user", F.col("text")))
+    return ingest.fill_forward(lines, ["asked"]).select("transcript", "line", "asked")
+
+
+@query(
+    _T
+    + """, c AS (SELECT transcript, transcript // 2 AS parent, line, role AS digest FROM t WHERE transcript > 0)
+  SELECT c.transcript, coalesce(min(CASE WHEN p.role IS NULL OR p.role <> c.digest THEN c.line END), max(c.line) + 1) AS shared FROM c LEFT JOIN t p ON p.transcript = c.parent AND p.line = c.line GROUP BY c.transcript"""
+)
+def fork_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = views.events(spark, sf_dir).withColumn("digest", F.col("role"))
+    return ingest.fork_prefix(rows.where("transcript > 0").withColumn("parent", F.floor(F.col("transcript") / 2)), rows)
+
+
+@query(_T + " SELECT transcript, line AS call, min(CASE WHEN role = 'assistant' THEN line END) OVER (PARTITION BY transcript ORDER BY line ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS result FROM t QUALIFY role = 'user'")
+def call_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ingest.call_results(views.events(spark, sf_dir))
+
+
+@query(_T + " SELECT transcript, line FROM (SELECT *, max(CASE WHEN length(text) > 300 THEN 1 ELSE 0 END) OVER (PARTITION BY transcript ORDER BY line) AS off FROM t) WHERE off = 0")
+def stopped_transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ingest.stopped(views.events(spark, sf_dir), F.length("text") > 300).select("transcript", "line")
+
+
+@query(
+    """WITH f AS (SELECT 'p' || page_id AS path, length(html) AS size, sha256(html) AS source_hash, sha256(left(html, 400)) AS anchor_now, page_id FROM pages),
+  c AS (SELECT path, CAST(400 AS BIGINT) AS byte_offset, CASE WHEN page_id % 3 = 0 THEN 'x' ELSE anchor_now END AS anchor_hash, CASE WHEN page_id % 5 = 0 THEN source_hash ELSE 'y' END AS read_hash FROM f WHERE page_id % 4 <> 0)
+  SELECT f.path, CASE WHEN byte_offset IS NULL THEN 'new' WHEN source_hash = read_hash THEN 'skip' WHEN size >= byte_offset AND anchor_now = anchor_hash THEN 'append' ELSE 'rewrite' END AS action FROM f LEFT JOIN c USING (path)"""
+)
+def file_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = F.col("page_id")
+    files = views.table(spark, sf_dir, "pages").select(
+        F.concat(F.lit("p"), p).alias("path"), F.length("html").alias("size"), F.sha2("html", 256).alias("source_hash"), F.sha2(F.substring("html", 1, 400), 256).alias("anchor_now"), "page_id"
+    )
+    cursors = files.where(p % 4 != 0).select(
+        "path", F.lit(400).alias("byte_offset"), F.when(p % 3 == 0, "x").otherwise(F.col("anchor_now")).alias("anchor_hash"), F.when(p % 5 == 0, F.col("source_hash")).otherwise("y").alias("source_hash"), F.lit(0).alias("epoch")
+    )
+    return ingest.changes(files, cursors).select("path", "action")
+
+
+@query("SELECT c_nationkey AS id, arg_min(c_custkey, ROW(-c_acctbal, c_custkey)) AS path FROM customer GROUP BY 1")
+def newest_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = views.table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("id"), F.col("c_custkey").alias("path"), F.col("c_acctbal").alias("size"), F.lit(0).alias("modified"))
+    return ingest.newest_copy(rows).select("id", "path")
+
+
+@query(
+    """SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(source || 'HTTPServer rankSequence ' || lang, '(\\p{Lu})(\\p{Lu}\\p{Ll})', '\\1 \\2', 'g'), '(\\p{Ll})(\\p{Lu})', '\\1 \\2', 'g'), 'x^', '') AS parts FROM documents"""
+)
+def split_identifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = F.concat(F.col("source"), F.lit("HTTPServer rankSequence "), F.col("lang"))
+    return views.table(spark, sf_dir, "documents").select("doc_id", text.split_identifier(raw).alias("parts"))
+
+
+@query(
+    r"""SELECT doc_id, CASE WHEN length(trim(regexp_replace(text, '\s+', ' ', 'g'))) <= 60 THEN trim(regexp_replace(text, '\s+', ' ', 'g')) ELSE left(trim(regexp_replace(text, '\s+', ' ', 'g')), 59) || '…' END AS title,
+  sha256(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS claim, CAST(ceil(strlen(text) / 4.0) AS BIGINT) AS tokens FROM documents"""
+)
+def text_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = F.col("text")
+    return views.table(spark, sf_dir, "documents").select("doc_id", text.one_line(t, 60).alias("title"), text.claim_hash(t).alias("claim"), text.estimated_tokens(t).alias("tokens"))
+
+
+@query(
+    r"""WITH t AS (SELECT doc_id, 'key AKIA' || lpad(CAST(doc_id AS VARCHAR), 16, '0') || ' and password = hunter' || doc_id || 'abc <private>' || source || '</private> end' AS t FROM documents)
+  SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(t, '(?s)<private>.*?</private>', '', 'g'), 'AKIA[0-9A-Z]{16}', '[REDACTED]', 'g'), '(?i)((?:password|passwd|secret|token|api_?key)\s*[:=]\s*)["'']?[^\s"'',;]{8,}["'']?', '\1[REDACTED]', 'g') AS clean, CAST(2 AS BIGINT) AS n FROM t"""
+)
+def redaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = F.col("doc_id").cast("string")
+    raw = F.concat(F.lit("key AKIA"), F.lpad(d, 16, "0"), F.lit(" and password = hunter"), d, F.lit("abc <private>"), F.col("source"), F.lit("</private> end"))
+    clean, n = text.redact(text.remove_private(raw))
+    return views.table(spark, sf_dir, "documents").select("doc_id", clean.alias("clean"), n.cast("long").alias("n"))
+
+
+@query(r"SELECT page_id, nullif(regexp_extract(url, '^(https?://[^/?#\s]+)', 1), '') AS origin FROM pages")
+def safe_origins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return views.table(spark, sf_dir, "pages").select("page_id", text.safe_origin(F.col("url")).alias("origin"))
+
+
+@query(
+    """WITH a AS (SELECT o_orderkey, greatest(CAST(epoch(TIMESTAMP '2000-01-01') - epoch(o_orderdate) AS BIGINT), 0) AS s FROM orders)
+  SELECT o_orderkey, CASE WHEN s >= 31536000 THEN s // 31536000 || 'y' WHEN s >= 2592000 THEN s // 2592000 || 'mo' WHEN s >= 86400 THEN s // 86400 || 'd' WHEN s >= 3600 THEN s // 3600 || 'h' WHEN s >= 60 THEN s // 60 || 'm' ELSE s || 's' END AS age FROM a"""
+)
+def ages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    now = F.lit("2000-01-01").cast("timestamp")
+    return views.table(spark, sf_dir, "orders").select("o_orderkey", text.age(F.col("o_orderdate").cast("timestamp"), now).alias("age"))
+
+
+@query(
+    """WITH f AS (SELECT page_id, sha256(html) AS hash FROM pages WHERE page_id % 7 <> 0),
+  r AS (SELECT page_id % 50 AS record, page_id, page_id % 9 <> 0 AS local, page_id % 8 = 0 AS outside, CASE WHEN page_id % 5 = 0 THEN NULL WHEN page_id % 3 = 0 THEN 'old' ELSE sha256(html) END AS seen FROM pages),
+  v AS (SELECT r.*, CASE WHEN NOT local THEN 'unknown' WHEN outside THEN 'unknown' WHEN hash IS NULL AND seen IS NOT NULL THEN 'stale' WHEN seen IS NULL THEN 'unknown' WHEN seen = hash THEN 'current' ELSE 'stale' END AS verdict FROM r LEFT JOIN f USING (page_id))
+  SELECT record, CASE min(CASE verdict WHEN 'stale' THEN 1 WHEN 'unknown' THEN 2 ELSE 3 END) WHEN 1 THEN 'stale' WHEN 2 THEN 'unknown' ELSE 'current' END AS freshness FROM v GROUP BY record"""
+)
+def freshness_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p, digest = F.col("page_id"), F.sha2("html", 256)
+    pages = views.table(spark, sf_dir, "pages")
+    files = pages.where(p % 7 != 0).select(p.alias("path"), digest.alias("hash"))
+    refs = pages.select((p % 50).alias("record"), p.alias("path"), (p % 9 != 0).alias("local"), (p % 8 == 0).alias("outside"), F.when(p % 5 == 0, None).when(p % 3 == 0, "old").otherwise(digest).alias("observed_hash"))
+    return freshness.worst(freshness.verdicts(refs, files))
+
+
+@query()
+def split_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = views.table(spark, sf_dir, "documents").select("doc_id", F.posexplode(text.split_text(F.col("text"))).alias("ordinal", "chunk"))
+    return rows.withColumn("text_hash", F.sha2("chunk", 256))
+
+
+@query()
+def cited_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = views.table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("content"), F.sha2(F.element_at(F.split("text", "\n"), 1), 256).alias("cited_hash"), F.lit(1).alias("cited_lines"))
+    return freshness.line_windows(rows).select("doc_id", "found", freshness.moved(F.col("found"), F.lit(1)).alias("verdict"))
