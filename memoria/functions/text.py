@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import pandas as pd
 from pyspark.sql import Column, functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 # What counts as a secret when text is stored, and as a path that is never read.
 SECRETS = (
@@ -127,13 +128,13 @@ def claim_hash(text: Column) -> Column:
     return F.sha2(normalise_claim(text).cast("binary"), 256)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def clip_bytes(text: pd.Series, most: pd.Series) -> pd.Series:
     """The longest start of a text that has at most so many UTF-8 bytes and cuts no character."""
     return pd.Series([None if t is None else t.encode()[: int(n)].decode("utf-8", "ignore") for t, n in zip(text, most, strict=True)])
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(ArrayType(StringType()))
 def split_text(text: pd.Series) -> pd.Series:
     """Pieces of at most 1000 UTF-8 bytes that put together give the text: words with the white space after them are
     added while they fit; a longer word is cut between characters."""

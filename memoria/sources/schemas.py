@@ -29,4 +29,9 @@ _DDL = {
     "call_reviews": "call_id long, rating string, note string, rated_at timestamp",
 }
 
-SCHEMAS = {name: StructType.fromDDL(ddl) for name, ddl in _DDL.items()}
+TABLES = tuple(_DDL)
+
+
+def schema(name: str) -> StructType:
+    """A table's schema; needs a session, which parses it."""
+    return StructType.fromDDL(_DDL[name])

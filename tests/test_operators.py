@@ -1,0 +1,113 @@
+"""Facts that small hand-written tables show."""
+
+from pyspark.sql import functions as F
+
+from memoria.functions import text
+from memoria.operators import freshness, ingest, lineage, ranking
+from memoria.sources import views
+from memoria.streaming import ingest as streaming
+
+
+def rows(df):
+    return sorted(map(tuple, df.collect()), key=repr)
+
+
+def test_bands_open_where_a_score_falls_behind_the_first(spark):
+    ranked = spark.createDataFrame([(1, i + 1, s) for i, s in enumerate((-10.0, -9.5, -9.0, -8.9, -4.0))], "query_id long, rank long, score double")
+    assert [r.band for r in ranking.bands(ranked).orderBy("rank").collect()] == [0, 0, 0, 1, 2]
+
+
+def test_fusion_admits_ten_from_vectors_alone(spark):
+    keyword = spark.createDataFrame([(1, 100, 0), (1, 5, 1)], "query_id long, id long, k long")
+    vector = spark.createDataFrame([(1, i, i) for i in range(15)], "query_id long, id long, v long")
+    found = {r.id: r for r in ranking.fuse(keyword, vector).collect()}
+    assert set(found) == {100, *range(10)}
+    # A keyword match without a vector counts its rank twice: 2/61; the other has 1/62 + 1/66.
+    assert (found[100].pos, found[5].pos) == (0, 1) and not found[5].meaning_only and found[0].meaning_only
+
+
+def test_taint_labels_and_restating(spark):
+    views.reliable(spark)
+    links = spark.createDataFrame([(2, 1, "derived_from"), (3, 1, "supported_by"), (4, 3, "derived_from"), (5, 9, "supported_by"), (4, 2, "derived_from"), (1, 4, "derived_from")], "from_seq long, to_seq long, relation string")
+    causes = spark.createDataFrame([(1, True), (9, False)], "seq long, wrong boolean")
+    assert rows(lineage.taint_closure(causes, links)) == [(1, 0), (2, 0), (3, 1), (4, 0)]
+    assert lineage.taint_closure(causes.limit(0), links).count() == 0
+
+
+def test_roots_stop_on_a_cycle(spark):
+    nodes = spark.createDataFrame([(i,) for i in range(1, 6)], "seq long")
+    parent = spark.createDataFrame([(2, 1), (3, 2), (4, 5), (5, 4)], "child long, parent long")
+    found = {r.seq: r.root for r in lineage.roots(nodes, parent).collect()}
+    assert found[1] == found[2] == found[3] == 1 and found[4] in (4, 5)
+
+
+def test_lifecycle_ignores_impossible_steps(spark):
+    events = spark.createDataFrame([(1, "a", "restore"), (2, "a", "retract"), (3, "a", "correct"), (4, "a", "restore"), (5, "b", "forget"), (6, "b", "restore")], "seq long, record string, action string")
+    assert rows(lineage.states(events)) == [("a", "active"), ("b", "forgotten")]
+
+
+def test_phrases_fold_only_ascii(spark):
+    df = spark.createDataFrame([("ÉTÉ Over",)], "t string")
+    assert df.select(text.phrases_contained(F.col("t"), F.array(F.lit("oVER"), F.lit("été")))).first()[0] == 1
+
+
+def test_split_text_keeps_everything(spark):
+    long = "é" * 1800 + " word " * 400
+    pieces = spark.createDataFrame([(long,)], "t string").select(text.split_text(F.col("t"))).first()[0]
+    assert "".join(pieces) == long and all(len(p.encode()) <= 1000 for p in pieces)
+
+
+def test_clip_bytes_cuts_no_character(spark):
+    df = spark.createDataFrame([("aéé", 4), (None, 3)], "t string, n int")
+    assert rows(df.select(text.clip_bytes("t", "n"))) == [("aé",), (None,)]
+
+
+def test_echo_and_task_keys(spark):
+    df = spark.createDataFrame([("We chose  the blue service because it was the cheapest of all. Short.",)], "t string")
+    piece = text.restatable(F.col("t"))
+    said = F.lit("note: WE CHOSE the blue service because it was the cheapest of all, they say")
+    assert df.select(text.restates(said, piece)).first()[0]
+    keys = spark.createDataFrame([("#12",), ("Own/Repo#3",), ("https://h.example/o/R/pull/9",), ("ab-7",), ("  Free  text ",)], "t string")
+    assert [r[0] for r in keys.select(text.task_key(F.col("t"))).collect()] == ["#12", "own/repo#3", "o/r#9", "AB-7", "free text"]
+
+
+def test_cited_lines_that_moved(spark):
+    import hashlib
+
+    digest = hashlib.sha256(b"b\nc").hexdigest()
+    df = spark.createDataFrame([("a\nb\nc", digest, 2), ("b\nc\nb\nc", digest, 2), ("x", digest, 2)], "content string, cited_hash string, cited_lines int")
+    out = freshness.line_windows(df).select("found", freshness.moved(F.col("found"), F.lit(1)).alias("v")).collect()
+    assert [(list(r.found), r.v) for r in out] == [([2], "lines_moved"), ([1, 3], "ambiguous"), ([], "lines_changed")]
+
+
+def test_schemas_parse(spark):
+    from memoria.sources import schemas
+
+    assert all(len(schemas.schema(t)) > 1 for t in schemas.TABLES)
+
+
+def test_file_changes(spark):
+    files = spark.createDataFrame([("new", 5, "h", "a"), ("same", 5, "h", "a"), ("grown", 9, "h2", "a"), ("other", 9, "h3", "z")], "path string, size long, source_hash string, anchor_now string")
+    cursors = spark.createDataFrame([("same", 5, "a", "h", 0), ("grown", 5, "a", "h", 0), ("other", 5, "a", "h", 2)], "path string, byte_offset long, anchor_hash string, source_hash string, epoch long")
+    found = {r.path: (r.action, r["from"], r.epoch) for r in ingest.changes(files, cursors).collect()}
+    assert found == {"new": ("new", 0, 0), "same": ("skip", 0, 0), "grown": ("append", 5, 0), "other": ("rewrite", 0, 3)}
+
+
+def test_stream_applies_once(spark, tmp_path):
+    import json
+
+    source, out, state = (tmp_path / n for n in ("in", "out", "state"))
+    source.mkdir()
+    line = lambda e, t: json.dumps({"transcript": "s", "branch": "m", "event_id": e, "role": "user", "text": t})
+    (source / "1.jsonl").write_text("\n".join([line("a", "x"), line("b", "y"), "{torn", line("a", "x")]) + "\n")
+    streaming.ingest(spark, str(source), str(out), str(state)).awaitTermination(120)
+    assert streaming.committed(spark, str(out)).count() == 2
+    (source / "2.jsonl").write_text("\n".join([line("a", "x"), line("b", "new"), line("c", "z")]) + "\n")
+    streaming.ingest(spark, str(source), str(out), str(state)).awaitTermination(120)
+    got = streaming.committed(spark, str(out))
+    assert rows(got.select("event_id", "text", "version")) == [("a", "x", False), ("b", "new", True), ("b", "y", False), ("c", "z", False)]
+    # A batch that runs again, as after a crash before its marker, changes nothing.
+    before = rows(got.select("event_id", "text"))
+    again = streaming.parsed(spark.read.text(str(source / "2.jsonl")))
+    streaming.apply_batch(spark, again, 1, str(out))
+    assert rows(streaming.committed(spark, str(out)).select("event_id", "text")) == before
