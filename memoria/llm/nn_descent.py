@@ -178,7 +178,7 @@ def _audit(nodes: DataFrame, groups: DataFrame, threshold: float, sample: int) -
 
 def similar_vectors(
     vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", threshold: float = 0.98,
-    k: int = 8, tables: int = 6, cell: int = 256, rounds: int = 2, recall: float = 0.99, sample: int = 512, attempts: int = 3, block: int = 1024,
+    k: int = 8, tables: int = 6, cell: int = 256, rounds: int = 2, recall: float = 0.995, sample: int = 512, attempts: int = 3, block: int = 1024,
 ) -> DataFrame:
     """One row per vector: (id_col, n_links, component_id, kept). Vectors link when their labels are equal and their
     cosine, in double precision, is threshold or more.
