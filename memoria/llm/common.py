@@ -33,6 +33,12 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Texts go to Python in Arrow batches of 1,000 rows at most: both sides hold a batch whole, and texts may be long."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > 1000:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 1000)
+
+
 def stash(df: DataFrame) -> DataFrame:
     """Write a table to the shared folder and read it again: cuts the lineage, survives a lost executor and fixes
     values that a second computation could number differently."""

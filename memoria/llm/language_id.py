@@ -10,7 +10,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import fresh
+from .common import fresh, small_batches
 
 PAD = 256
 UNDETERMINED = "und"
@@ -217,6 +217,7 @@ def fit(docs: DataFrame, key: Column, text_col: str = "text", lang_col: str = "l
 def predict(docs: DataFrame, model: tuple[Network, list[str]] | None, text_col: str = "text", pred_col: str = "lang_pred", score_col: str = "score") -> DataFrame:
     """The documents with a predicted label and its pooled probability; `und` and 0 for a null text, one without a
     letter, or without a model. Only the text is read. Columns of those names are replaced."""
+    small_batches(docs.sparkSession)
     names = model[1] if model else []
     net = model[0] if model else None
 
