@@ -170,3 +170,46 @@ def test_passages_are_found_and_others_left_alone(spark):
             assert got == p[0]
     assert {(r.doc_id, r.other_id) for r in out if r.doc_id in (100, 101, 109, 110)} == {(100, 101), (101, 100), (109, 110), (110, 109)}
     assert passages.repeated_passages(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_passages_with_an_insertion_or_a_substitution_are_found(spark):
+    rng = random.Random(8)
+    voc = [f"w{i}" for i in range(5000)]
+    make = lambda n: rng.choices(voc, k=n)
+    rows = []
+    for k in range(20):
+        p = make(50)
+        q = [*p[:25], "new", *p[25:]] if k % 2 else [*p[:24], "new", *p[25:]]
+        rows += [(2 * k, " ".join(make(30) + p + make(30))), (2 * k + 1, " ".join(make(40) + q + make(20)))]
+    out = passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = {2 * k + o for k in range(20) for o in (0, 1) if k % 2}
+    assert {r.doc_id for r in out} >= want
+    # A substitution in a passage of 51 words leaves 42 of 52 shingles.
+    p = make(51)
+    near = [*p[:25], "new", *p[26:]]
+    docs = spark.createDataFrame([(1, " ".join(make(9) + p)), (2, " ".join(near + make(9)))], "doc_id long, text string")
+    assert {r.doc_id for r in passages.repeated_passages(docs).collect()} == {1, 2}
+
+
+def test_passages_behind_a_common_line_are_found(spark):
+    rng = random.Random(9)
+    voc = [f"w{i}" for i in range(5000)]
+    make = lambda n: rng.choices(voc, k=n)
+    line = make(30)
+    rows = [(i, " ".join(make(40) + line + make(40))) for i in range(60)]
+    for k in range(10):  # each pair shares the line and no more than 15 words on either side of it
+        a, b = make(15), make(15)
+        rows += [(100 + 2 * k + o, " ".join(make(20) + a + line + b + make(20))) for o in (0, 1)]
+    out = passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.other_id) for r in out} == {(100 + i, 100 + (i ^ 1)) for i in range(20)}
+    assert all(r.n_words == 60 and r.start_word == 20 for r in out)
+
+
+def test_passages_align_on_every_place_of_a_token():
+    rng = np.random.default_rng(4)
+    new = lambda n: rng.integers(1, 2**63, n, dtype=np.uint64)
+    p = new(60)
+    a, b = np.concatenate([new(5), p, new(7)]), np.concatenate([p[:40], new(9), p, new(3), p[20:]])
+    assert (5, 65, 49, 109) in passages.matching_passages(a, b, 46, 4, 5)
+    same = np.full(300, 7, np.uint64)
+    assert (0, 300, 0, 300) in passages.matching_passages(same, same, 46, 4, 5)
