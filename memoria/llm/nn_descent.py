@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from .common import block_pairs, components, stash, whole_groups
 
-_EDGE = "u long, v long, cos double"
+_EDGE = "u long, v long, cos double, link boolean"
 
 
 def _node(group: int, raw: bytes) -> int:
@@ -51,8 +51,25 @@ def _cuts(t: pa.Table, key: str) -> Iterator[pa.Table]:
             yield t.slice(lo, hi - lo)
 
 
-def _edges(u: list[np.ndarray], v: list[np.ndarray], c: list[np.ndarray]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (u, v, c)], names=["u", "v", "cos"])
+def _edges(u: list[np.ndarray], v: list[np.ndarray], c: list[np.ndarray], link: list[np.ndarray]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (u, v, c, link)], names=["u", "v", "cos", "link"])
+
+
+def _forest(near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of a symmetric matrix of links: the places that its edges join."""
+    left = near.any(1)
+    i, j = [], []
+    while left.any():
+        todo = [int(left.argmax())]
+        left[todo] = False
+        while todo:
+            x = todo.pop()
+            new = np.flatnonzero(near[x] & left).tolist()
+            left[new] = False
+            i += [x] * len(new)
+            j += new
+            todo += new
+    return np.array(i, np.int64), np.array(j, np.int64)
 
 
 def _cells(tables: int, seed: int):
@@ -77,36 +94,45 @@ def _cells(tables: int, seed: int):
     return run
 
 
-def _nearest(k: int):
-    """Each node's k nearest in its cell."""
+def _nearest(k: int, threshold: float):
+    """Each node's k nearest in its cell, and a forest of all the cell's links."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches, "tile"):
-            u, v, c = [], [], []
+            u, v, c, link = [], [], [], []
             for t in _cuts(table, "tile"):
                 node, x = t.column("node").to_numpy(), _matrix(t.column("vec").to_pylist())
                 s = x @ x.T
                 np.fill_diagonal(s, -2)
                 top = np.argpartition(-s, min(k, len(s) - 1) - 1, axis=1)[:, : min(k, len(s) - 1)]
-                u.append(np.repeat(node, top.shape[1])), v.append(node[top].ravel()), c.append(np.take_along_axis(s, top, 1).ravel())
+                u.append(np.repeat(node, top.shape[1])), v.append(node[top].ravel()), c.append(np.take_along_axis(s, top, 1).ravel()), link.append(np.zeros(top.size, bool))
+                i, j = _forest(s >= threshold)
+                u.append(node[i]), v.append(node[j]), c.append(s[i, j]), link.append(np.ones(len(i), bool))
             if u:
-                yield _edges(u, v, c)
+                yield _edges(u, v, c, link)
 
     return run
 
 
-def _joined(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _joined(threshold: float):
     """Local joins: the neighbours of each centre are compared with each other; pairs that would enter one of their
-    lists are kept."""
-    for table in whole_groups(batches, "center"):
-        u, v, c = [], [], []
-        for t in _cuts(table, "center"):
-            node, worst, x = t.column("node").to_numpy(), t.column("worst").to_numpy(), _matrix(t.column("vec").to_pylist())
-            s = x @ x.T
-            i, j = np.nonzero((s > worst[:, None]) & (node[:, None] != node[None, :]))
-            u.append(node[i]), v.append(node[j]), c.append(s[i, j])
-        if u:
-            yield _edges(u, v, c)
+    lists are kept, and a forest of all the links, which no list has to have room for."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_groups(batches, "center"):
+            u, v, c, link = [], [], [], []
+            for t in _cuts(table, "center"):
+                node, worst, x = t.column("node").to_numpy(), t.column("worst").to_numpy(), _matrix(t.column("vec").to_pylist())
+                s = x @ x.T
+                np.fill_diagonal(s, -2)
+                i, j = np.nonzero((s > worst[:, None]) & (node[:, None] != node[None, :]))
+                u.append(node[i]), v.append(node[j]), c.append(s[i, j]), link.append(np.zeros(len(i), bool))
+                i, j = _forest(s >= threshold)
+                u.append(node[i]), v.append(node[j]), c.append(s[i, j]), link.append(np.ones(len(i), bool))
+            if u:
+                yield _edges(u, v, c, link)
+
+    return run
 
 
 def _lists(edges: DataFrame, k: int, threshold: float) -> DataFrame:
@@ -125,7 +151,7 @@ def _descend(graph: DataFrame, nodes: DataFrame, k: int, threshold: float, parts
     meet = graph.select("u", "v").union(reverse.select("u", "v")).distinct().select(F.col("u").alias("center"), F.col("v").alias("node"))
     known = nodes.select("node", "vec").join(worst, F.col("node") == F.col("u"), "left").select("node", "vec", F.coalesce("worst", F.lit(-2.0)).alias("worst"))
     meet = meet.join(known, "node").select("center", "node", "worst", "vec")
-    return meet.repartition(parts, "center").sortWithinPartitions("center", "node").mapInArrow(_joined, _EDGE)
+    return meet.repartition(parts, "center").sortWithinPartitions("center", "node").mapInArrow(_joined(threshold), _EDGE)
 
 
 def _counted(threshold: float):
@@ -185,9 +211,10 @@ def similar_vectors(
 
     Equal vectors of a label become one node with a count of copies. Lists of each node's k nearest start from random
     cells; in each round the neighbours of every node are compared with each other (reverse neighbours too) and lists
-    take what is nearer, a list full of links being doubled. The graph's links give components. An audit compares a
-    bounded sample of nodes with all others by brute force; below the wanted recall, other cells and further rounds are
-    added, up to `attempts` times. The links of each node within its component are then counted exactly, block against
+    take what is nearer, a list full of links being doubled. Every link that a cell or a local join computes takes part
+    in the components, whether a list has room for it or not: each keeps a spanning forest of its links. An audit
+    compares a bounded sample of nodes with all others by brute force; below the wanted recall, other cells and further
+    rounds with lists of twice the length are added, and after 3 * `attempts` times it is an error. The links of each node within its component are then counted exactly, block against
     block, so a list's length bounds no count.
 
     A vector that is null, empty, zero, or holds a null or non-finite component, and one with a null label, links with
@@ -203,19 +230,26 @@ def similar_vectors(
     sizes = nodes.groupBy("group").agg(F.greatest(F.ceil(F.log2(F.count("*") / F.lit(cell))), F.lit(0)).cast("int").alias("bits"))
     dealt = nodes.join(sizes, "group").select("node", "group", "vec", F.least("bits", F.lit(32)).alias("bits"))
 
-    graph = None
-    for attempt in range(attempts):
+    graph = links = None
+    for attempt in range(3 * attempts):
+        wide = k << attempt
         cells = dealt.mapInArrow(_cells(tables, attempt), "tile long, node long, vec binary")
         # A cell of more than block nodes is dealt into several: this is only where lists start.
         count = cells.groupBy("tile").agg(F.count("*").alias("count"))
-        cells = cells.join(count, "tile").withColumn("tile", F.xxhash64("tile", F.pmod(F.xxhash64("node"), F.ceil(F.col("count") / block).cast("long"))))
-        first = cells.select("tile", "node", "vec").repartition(parts, "tile").sortWithinPartitions("tile", "node").mapInArrow(_nearest(k), _EDGE)
-        graph = stash(_lists(first if graph is None else graph.union(first), k, threshold))
-        for _ in range(rounds):
-            graph = stash(_lists(graph.union(_descend(graph, nodes, k, threshold, parts)), k, threshold))
-        groups = stash(components(graph.where(F.col("cos") >= threshold).select("u", "v")))
-        if _audit(nodes, groups, threshold, sample) >= recall:
+        cells = cells.join(count, "tile").withColumn("tile", F.xxhash64("tile", F.lit(attempt), F.pmod(F.xxhash64("node", F.lit(attempt)), F.ceil(F.col("count") / block).cast("long"))))
+        made = stash(cells.select("tile", "node", "vec").repartition(parts, "tile").sortWithinPartitions("tile", "node").mapInArrow(_nearest(wide, threshold), _EDGE))
+        for step in range(rounds + 1):
+            if step:
+                made = stash(_descend(graph, nodes, wide, threshold, parts))
+            near, linked = made.where("not link").drop("link"), made.where("link").select("u", "v")
+            graph = stash(_lists(near if graph is None else graph.union(near), wide, threshold))
+            links = linked if links is None else links.union(linked)
+        groups = stash(components(links.union(graph.where(F.col("cos") >= threshold).select("u", "v"))))
+        found = _audit(nodes, groups, threshold, sample)
+        if found >= recall:
             break
+    else:
+        raise RuntimeError(f"recall {found:.4f} of the audit is below {recall} after {3 * attempts} attempts")
 
     counts = groups.groupBy("component").agg(F.count("*").alias("count"))
     members = groups.join(counts, "component").select(F.col("component").alias("tile"), "node", "count")

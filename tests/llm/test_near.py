@@ -213,3 +213,17 @@ def test_passages_align_on_every_place_of_a_token():
     assert (5, 65, 49, 109) in passages.matching_passages(a, b, 46, 4, 5)
     same = np.full(300, 7, np.uint64)
     assert (0, 300, 0, 300) in passages.matching_passages(same, same, 46, 4, 5)
+
+
+def test_tight_clusters_that_link_are_one_component(spark):
+    # Within a cluster the cosines are above 0.999, which fills every list; across they are about 0.983.
+    rng = np.random.default_rng(6)
+    across = np.arccos(0.983)
+    centres = [[1.0, 0.0], [np.cos(across), np.sin(across)]]
+    x = np.concatenate([np.concatenate([np.tile(c, (60, 1)), np.zeros((60, 14))], 1) + rng.normal(size=(60, 16)) * 0.002 for c in centres])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    near = x @ x.T >= 0.98
+    assert near.all()
+    df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    found = nn_descent.similar_vectors(df, sample=1).collect()
+    assert {tuple(r)[1:3] for r in found} == {(119, 0)} and sum(r.kept for r in found) == 1
