@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterable, Iterator
 from heapq import heapify, heappop, heappush
 
@@ -26,12 +25,13 @@ class MergeDropout:
 
     Words (a run of space marks and what follows up to the next) are segmented alone, as no piece has a space mark
     after another character. All adjacent pairs that form a piece stand on an agenda by score, then place; a pair taken
-    from it is skipped when a hash of seed, variant, word and the pair's place is below the dropout rate. A word's
-    occurrence picks one of `variants` hash keys by a hash of seed, document key and place in the document, so
-    segmentations vary from place to place and yet each is made once per worker. Rate 0 gives the library's own ids.
+    from it is skipped when a keyed decision of the dropout rate says so: the key is drawn from seed, document key and the
+    word's place in the document, so each occurrence of a word has decisions of its own. What is kept of a word is its
+    plain ids and the candidates that lead to them: they serve an occurrence that skips none of these. Rate 0 gives the
+    library's own ids. `variants` has no effect; it stays for callers that give it.
     """
 
-    def __init__(self, path: str, seed: int, rate: float, variants: int, keep: int = 200_000) -> None:
+    def __init__(self, path: str, seed: int, rate: float, variants: int = 1, keep: int = 200_000) -> None:
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -51,14 +51,15 @@ class MergeDropout:
                 self.bytes.append(piece.replace(SPACE, " ").encode())
         self.short = {p: i.to_bytes(2, "little") for p, i in self.id.items()}
         assert not any(SPACE in p.lstrip(SPACE) for p in self.id), "a piece crosses words"
-        self.seed, self.variants, self.keep = seed, variants if rate else 1, keep
-        # The keyed hash: a table of decisions drawn from the seed, read at a place that word, variant and pair pick.
+        self.keep = keep
+        # The keyed hash: a table of decisions drawn from the seed, read at a place that document, word's place and pair pick.
         self.skips = (np.random.default_rng(seed).random(_MASK + 1) < rate).tobytes() if rate else b""
-        self.known: list[dict[str, bytes]] = [{} for _ in range(self.variants)]
-        self.older: list[dict[str, bytes]] = [{} for _ in range(self.variants)]
+        self.known: dict[str, tuple[bytes, list[int]]] = {}
+        self.older: dict[str, tuple[bytes, list[int]]] = {}
 
-    def _short(self, symbols: list[str], key: int) -> list[str]:
-        """The agenda of a short word: a list of the scores of adjacent pairs, its least taken first, leftmost of ties."""
+    def _short(self, symbols: list[str], key: int, trace: list[int] | None = None) -> list[str]:
+        """The agenda of a short word: a list of the scores of adjacent pairs, its least taken first, leftmost of ties.
+        With trace nothing is skipped, and it takes where each candidate's decision stands from the key on."""
         get, skips = self.score.get, self.skips
         agenda = [get(a + b, _NONE) for a, b in zip(symbols, symbols[1:], strict=False)]
         while agenda:
@@ -66,7 +67,9 @@ class MergeDropout:
             if best == _NONE:
                 break
             i = agenda.index(best)
-            if skips:
+            if trace is not None:
+                trace.append(i * 0x9E37 + best * 0x85EB)
+            elif skips:
                 if skips[(key + i * 0x9E37 + best * 0x85EB) & _MASK]:
                     agenda[i] = _NONE
                     continue
@@ -103,12 +106,11 @@ class MergeDropout:
                 heappush(agenda, (s, p, i, len(symbols[p]) + len(symbols[i])))
         return [s for s in symbols if s is not None]
 
-    def word(self, spaces: int, word: str, variant: int) -> bytes:
+    def word(self, spaces: int, word: str, key: int, trace: list[int] | None = None) -> bytes:
         """Ids, as little-endian 16-bit numbers, of so many space marks and a word without spaces."""
-        key = zlib.crc32(word.encode("utf-8", "surrogatepass"), (self.seed + variant * 0x9E3779B1) & 0xFFFFFFFF) + spaces
         symbols = [SPACE] * spaces + ([_LITERAL if c == SPACE else c for c in word] if SPACE in word else list(word))
         short, spelled = self.short, self.spelled
-        found = self._short(symbols, key) if len(symbols) <= 64 else self._long(symbols, key)
+        found = self._short(symbols, key, trace) if len(symbols) <= 64 else self._long(symbols, key)
         return b"".join([short.get(s) or spelled(s) for s in found])
 
     def spelled(self, piece: str) -> bytes:
@@ -116,35 +118,42 @@ class MergeDropout:
         return b"".join([self.byte_id[b].to_bytes(2, "little") for b in piece.replace(_LITERAL, SPACE).encode("utf-8", "surrogatepass")])
 
     def encode(self, text: str, key: int) -> np.ndarray:
-        """Ids of a whole text; key picks the variants."""
+        """Ids of a whole text; key and a word's place pick its decisions."""
         if not text:
             return np.zeros(0, np.uint16)
         words = text.split(" ")
-        if self.variants > 1:
-            with np.errstate(over="ignore"):
-                picks = (mix(np.arange(len(words), dtype=U64) * U64(0x9E3779B97F4A7C15) + U64(key & _M64)) % U64(self.variants)).tolist()
-        else:
-            picks = [0] * len(words)
+        skips = self.skips
+        with np.errstate(over="ignore"):
+            keys = (mix(mix(np.arange(len(words), dtype=U64) * U64(0x9E3779B97F4A7C15) + U64(key & _M64))) & U64(_MASK)).tolist()
         known, out = self.known, []
         spaces = 1
         last = len(words) - 1
-        for k, (w, v) in enumerate(zip(words, picks, strict=True)):
+        for k, (w, at) in enumerate(zip(words, keys, strict=True)):
             if not w and k < last:
                 spaces += 1
                 continue
-            if spaces == 1 and (got := known[v].get(w)) is not None:
-                out.append(got)
-                continue
             if spaces > 1 or len(w) > 40:
-                out.append(self.word(spaces, w, v))
-            else:
-                got = self.older[v].get(w) or self.word(1, w, v)
-                out.append(got)
-                if len(known[v]) >= self.keep:
+                out.append(self.word(spaces, w, at))
+                spaces = 1
+                continue
+            if (got := known.get(w)) is None:
+                if (got := self.older.get(w)) is None:
+                    trace: list[int] = []
+                    got = self.word(1, w, 0, trace), trace
+                if len(known) >= self.keep:
                     # What was used since the last turn stays for another one.
-                    self.older[v], known[v] = known[v], {}
-                known[v][w] = got
-            spaces = 1
+                    self.older, self.known = known, {}
+                    known = self.known
+                known[w] = got
+            if skips:
+                for x in got[1]:
+                    if skips[(at + x) & _MASK]:
+                        out.append(self.word(1, w, at))
+                        break
+                else:
+                    out.append(got[0])
+            else:
+                out.append(got[0])
         return np.frombuffer(b"".join(out), "<u2")
 
     def decode(self, ids: Iterable[int]) -> str:
@@ -161,7 +170,7 @@ def merge_dropout(*args) -> MergeDropout:
     return _loaded[args]
 
 
-def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", rate: float = 0.1, seed: int = 0, variants: int = 2) -> DataFrame:
+def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", rate: float = 0.1, seed: int = 0) -> DataFrame:
     """One row per document: (id_col, ids array<int>, n_ids, lossless). lossless says that decoding the ids gave the
     whole text again.
 
@@ -173,7 +182,7 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
     rows = docs.select(F.col(id_col), F.xxhash64(F.col(id_col), F.lit(seed)).alias("key"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = merge_dropout(model, seed, rate, variants)
+        bpe = merge_dropout(model, seed, rate)
 
         def batch(key_column: pa.Array, ids: list[np.ndarray], same: list[bool]) -> pa.RecordBatch:
             sizes = np.array([len(x) for x in ids], np.int64)
@@ -201,7 +210,7 @@ def decode(encoded: DataFrame, model: str, ids_col: str = "ids", out_col: str =
     """The rows with the text of their ids; null ids give null."""
     @F.pandas_udf("string")
     def text(ids: pd.Series) -> pd.Series:
-        bpe = merge_dropout(model, 0, 0.0, 1)
+        bpe = merge_dropout(model, 0, 0.0)
         return ids.map(lambda x: None if x is None else bpe.decode(list(x)))
 
     return encoded.withColumn(out_col, text(F.col(ids_col)))

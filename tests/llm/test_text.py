@@ -111,6 +111,19 @@ def test_merge_dropout(spark):
     assert differ > 100
 
 
+def test_every_occurrence_of_a_word_has_its_own_decisions():
+    bpe = merge_dropout.MergeDropout(PIECES, 3, 0.1)
+    plain = merge_dropout.MergeDropout(PIECES, 3, 0.0).word(1, "international", 0)
+    keys = range(4000)
+    forms = [bpe.encode("international", k).tobytes() for k in keys]
+    assert len(set(forms)) > 10
+    # As without the kept agendas: the same decisions taken one by one.
+    mixed = merge_dropout.mix(merge_dropout.mix(np.array(keys, np.uint64)))
+    assert forms == [bpe.word(1, "international", int(m) & merge_dropout._MASK) for m in mixed]
+    one = bpe.encode(" ".join(["international"] * 200), 5).tobytes()
+    assert len(set(one.split(plain))) > 5
+
+
 def test_packing(spark):
     from tokenizers import Tokenizer
 
