@@ -48,6 +48,16 @@ def stash(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def unstash(*tables: DataFrame) -> None:
+    """Delete stashed tables whose last reader is done."""
+    for df in tables:
+        for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            if "/stash-" not in path:
+                raise ValueError(f"{path} is no stash")
+            hadoop = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            hadoop.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Column names that the table does not have yet, so that extra columns never clash with working ones."""
     taken = {c.lower() for c in df.columns}
@@ -203,27 +213,43 @@ def _local_forest(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in part], pa.int64()), pa.array([p[1] for p in part], pa.int64())], names=["a", "b"])
 
 
-def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
+def join_by_key(rows: DataFrame, table: DataFrame, key: str, size: str, often: int = 1000) -> DataFrame:
+    """rows joined with a table that has one row for each key and, in column size, how many rows have it.
+
+    The rows of the at most 1,000 most frequent keys with over `often` rows each stay where they are and meet a
+    broadcast of those keys; the others are shuffled by key, so no task gets a frequent key's rows."""
+    hot = F.broadcast(table.where(F.col(size) > often).orderBy(F.desc(size)).limit(1000))
+    return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(table, key))
+
+
+def components(edges: DataFrame, rounds: int = 40, one_task: int = 1 << 18) -> DataFrame:
     """Connected components of undirected edges (a, b): rows (node, component), component the smallest node.
 
     Every partition first reduces its edges to a forest; then large-star and small-star steps alternate until nothing
-    changes. Each step groups by node with a minimum and joins it back, so a hub's edges never meet in one group.
-    Nodes without edges are not returned; nulls and loops are ignored.
+    changes. Each step takes a minimum by node, combined before the shuffle, and joins it back by join_by_key, so a
+    hub's edges never meet in one task. As soon as at most `one_task` edges are left, one task joins them. Nodes without
+    edges are not returned; nulls and loops are ignored.
     """
     edges = edges.select(F.col(edges.columns[0]).alias("a"), F.col(edges.columns[1]).alias("b")).where("a is not null and b is not null and a <> b")
     e = stash(edges.mapInArrow(_local_forest, "a long, b long"))
     for _ in range(rounds):
+        if e.count() <= one_task:
+            before, e = e, stash(e.coalesce(1).mapInArrow(_local_forest, "a long, b long"))
+            unstash(before)
+            break
         both = e.union(e.select("b", "a"))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")).withColumnRenamed("a", "k")
-        large = both.join(least, both.a == least.k).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "k")
-        small = large.join(low, large.a == low.k)
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count("*").alias("n"))
+        up = both.where("b > a")
+        large = join_by_key(up, least, "a", "n").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        low = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+        small = join_by_key(large, low, "a", "n")
         small = small.select("a", F.col("m").alias("b")).union(small.select("b", "m")).where("a <> b").distinct()
-        e = stash(small)
+        before, e = e, stash(small)
+        unstash(before)
         # A forest of stars: every child has one parent, and no parent is a child.
         one = e.groupBy("a").agg(F.count("*").alias("n")).select(F.col("a"), F.when(F.col("n") > 1, 1).otherwise(0).alias("many"), F.lit(0).alias("up"))
-        up = e.select(F.col("b").alias("a")).distinct().select("a", F.lit(0).alias("many"), F.lit(1).alias("up"))
-        state = one.union(up).groupBy("a").agg(F.max("many").alias("many"), F.count("*").alias("c"))
+        top = e.select(F.col("b").alias("a")).distinct().select("a", F.lit(0).alias("many"), F.lit(1).alias("up"))
+        state = one.union(top).groupBy("a").agg(F.max("many").alias("many"), F.count("*").alias("c"))
         if not state.where("many = 1 or c > 1").limit(1).count():
             break
     else:

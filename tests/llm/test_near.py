@@ -97,9 +97,10 @@ def test_a_large_group_spans_partitions(spark):
     assert tuple(found) == (1334, 1334, 3999, 1)
 
 
-def test_components(spark):
+@pytest.mark.parametrize("one_task", [0, 1000])
+def test_components(spark, one_task):
     edges = [(i, i + 1) for i in range(1, 200)] + [(1000, i) for i in range(1001, 1100)] + [(7, 7), (None, 3)]
-    found = components(spark.createDataFrame(edges, "a long, b long").repartition(5)).groupBy("component").count().collect()
+    found = components(spark.createDataFrame(edges, "a long, b long").repartition(5), one_task=one_task).groupBy("component").count().collect()
     assert sorted(map(tuple, found)) == [(1, 200), (1000, 100)]
 
 
