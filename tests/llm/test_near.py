@@ -1,5 +1,6 @@
 """Exact dedup, n-gram Jaccard join, embedding near-dedup and repeated passages against brute force."""
 
+import hashlib
 import random
 import re
 from collections import defaultdict
@@ -86,8 +87,8 @@ def test_exact_groups(spark):
     want = [(1, 2, 3, False), (2, 2, 3, True), (3, 3, 1, True), (4, 5, 2, False), (5, 5, 2, True), (7, 7, 2, True), (7, 7, 2, True), (None, 2, 3, False), (None, None, 1, False)]
     assert found == want
     assert exact_dedup.exact_groups(docs.limit(0)).count() == 0
-    kept = sorted(r.doc_id for r in exact_dedup.drop_copies(docs.where("doc_id is not null")).collect())
-    assert kept == [2, 3, 5, 7, 7]
+    kept = exact_dedup.drop_copies(docs)
+    assert sorted((r.doc_id for r in kept.collect()), key=repr) == [2, 3, 5, 7, None] and kept.columns == docs.columns
     assert sorted(r.keep_id for r in exact_dedup.exact_groups(docs.where("text = 'a'"), keep="min").collect()) == [1, 1, 1]
 
 
@@ -95,6 +96,25 @@ def test_a_large_group_spans_partitions(spark):
     docs = spark.range(4000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "same").otherwise(F.col("id").cast("string")).alias("text"))
     found = exact_dedup.exact_groups(docs).where("text_sha256 = sha2('same', 256)").agg(F.count("*"), F.min("group_size"), F.max("keep_id"), F.sum(F.col("kept").cast("int"))).first()
     assert tuple(found) == (1334, 1334, 3999, 1)
+    assert sorted(r.doc_id for r in exact_dedup.drop_copies(docs).collect()) == [i for i in range(4000) if i % 3 or i == 3999]
+
+
+def test_neighbours_decide_whatever_the_partitions(spark):
+    rng = random.Random(4)
+    rows = [(rng.choice([None, i, i // 2]), rng.choice(["a", "b", "c" * 40, "c" * 40 + "d", None, "", "e"])) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    groups = defaultdict(list)
+    for i, t in rows:
+        groups[t or ""].append(i)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    for n in ("1", "3", "40"):
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        for keep, best in (("max", max), ("min", min)):
+            want = {t: (best([i for i in g if i is not None]), len(g)) for t, g in groups.items()}
+            found = exact_dedup.exact_groups(docs, keep=keep).collect()
+            assert len(found) == 300 and sorted({(r.text_sha256, r.keep_id, r.group_size) for r in found}) == sorted((hashlib.sha256(t.encode()).hexdigest(), *w) for t, w in want.items())
+            assert sorted((r.text or "", r.doc_id) for r in exact_dedup.drop_copies(docs, keep=keep).collect()) == sorted((t, w[0]) for t, w in want.items())
+    spark.conf.set("spark.sql.shuffle.partitions", before)
 
 
 @pytest.mark.parametrize("one_task", [0, 1000])
