@@ -70,7 +70,43 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_exact_dedup": op10_exact_dedup,
 }
 
+def _any_case(words: str) -> str:
+    return "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in words)
+
+
+def _op9_sql() -> str:
+    value = "[A-Za-z0-9+/_.=-]+"
+    assign = f"""(?:{_any_case("password|passwd|secret|token|api_?key")})["'']?\\x20*[:=]\\x20*["'']?({value})"""
+    kinds = ((0, assign), (1, secrets.ACCESS), (2, secrets.HEX))
+    matches = " UNION ALL ".join(
+        f"""SELECT sha, {k} AS kind, unnest(range(1, len(m) + 1)) AS i, unnest(m) AS match, unnest(g[1:len(m)]) AS gap, {"unnest(v)" if k == 0 else "unnest(m)"} AS value
+            FROM (SELECT sha, regexp_extract_all(t, '{p}', 0) AS m, {f"regexp_extract_all(t, '{p}', 1)" if k == 0 else "NULL"} AS v, regexp_split_to_array(t, '{p}') AS g FROM texts)"""
+        for k, p in kinds
+    )
+    return f"""
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256(coalesce(text, '')) AS sha, coalesce(source, '') AS owner, concat_ws('/', source, lang) AS repository FROM documents),
+        texts AS (SELECT sha, any_value(t) AS t FROM d GROUP BY sha),
+        matches AS ({matches}),
+        placed AS (SELECT sha, kind, value, length(match) AS n, sum(length(gap) + length(match)) OVER (PARTITION BY sha, kind ORDER BY i) AS e FROM matches),
+        base AS (SELECT sha, kind, value, e - n AS s, e FROM placed WHERE kind <> 0 OR length(value) >= {secrets.ASSIGN_LEAST}),
+        counts AS (
+            SELECT value, count(DISTINCT owner) AS owners, count(DISTINCT repository) AS repositories, bool_or(regexp_matches(lower(value), '{secrets.PLACEHOLDER}')) AS placeholder
+            FROM base JOIN d USING (sha) GROUP BY value),
+        extra AS (
+            SELECT DISTINCT sha, CASE WHEN owners >= 4 OR owners > 1 AND (repositories >= 8 OR placeholder) THEN 4 ELSE 3 END AS kind, CASE WHEN kind = 0 THEN e - length(value) ELSE s END AS s, e
+            FROM base JOIN counts USING (value)),
+        names AS (SELECT sha, kind, s, e, {list(secrets.KINDS)!r}[kind + 1] || ':' || s || ':' || e AS shown FROM (SELECT sha, kind, s, e FROM base UNION ALL SELECT sha, kind, s, e FROM extra)),
+        shown AS (
+            SELECT sha, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,
+                   string_agg(shown, ',' ORDER BY s, kind, e) FILTER (kind < 3) AS base, string_agg(shown, ',' ORDER BY s, kind, e) AS spans
+            FROM names GROUP BY sha)
+        SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+        FROM d LEFT JOIN shown USING (sha)
+    """
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op9_secret_scan": _op9_sql(),
     "op10_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                coalesce(doc_id = max(doc_id) OVER w, false) AS kept, sha256(coalesce(text, '')) AS text_sha256
