@@ -265,8 +265,24 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return predict(rows.select(F.col(id_col), "held_out", F.col("text_in").alias("text")), model).select(id_col, "held_out", "lang_pred", "score")
 
 
-def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.0) -> DataFrame:
-    """The documents whose language is determined with a pooled probability of `least` or more."""
+def rejection_cut(docs: DataFrame, model: tuple[Network, list[str]] | None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_label: int = 600, share: float = 0.9, most: float = 0.5) -> float:
+    """The pooled probability below which a language counts as undetermined: `share` of the one that all but a
+    thousandth of the held-out documents reach, and `most` at the most. It is fitted on about per_label held-out
+    documents of each label (a documented bound, drawn by a hash of the id); 0 where there is none."""
+    rows = docs.where(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & held_out(F.col(id_col)) & has_letter(F.col(text_col)))
+    rows = rows.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"), F.pmod(F.xxhash64(id_col), F.lit(1 << 30)).alias("draw"))
+    counts = rows.groupBy("lang").count()
+    rows = rows.join(F.broadcast(counts.where(F.col("lang").isin(model[1] if model else []))), "lang").where(F.col("draw") < F.lit(per_label << 30) / F.col("count"))
+    found = predict(rows.select("text"), model).agg(F.percentile("score", F.lit(0.001))).first()[0]
+    return 0.0 if found is None else min(most, share * found)
+
+
+def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", least: float | None = None) -> DataFrame:
+    """The documents whose language the network determines: those with a letter and a pooled probability of `least` or
+    more, by default of rejection_cut. Null and empty texts go; repeated rows and null ids are judged by their text;
+    columns named lang_pred or score stay as they are; an empty table stays empty."""
     pred, score = fresh(docs, "lang_pred", "score")
-    out = predict(docs, language_model(docs, id_col), text_col, pred, score)
-    return out.where((F.col(pred) != UNDETERMINED) & (F.col(score) >= least)).drop(pred, score)
+    model = language_model(docs, id_col)
+    if least is None:
+        least = rejection_cut(docs, model, id_col, text_col, lang_col)
+    return predict(docs, model, text_col, pred, score).where((F.col(pred) != UNDETERMINED) & (F.col(score) >= least)).drop(pred, score)

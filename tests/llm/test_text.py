@@ -89,6 +89,30 @@ def test_language_of_odd_rows(spark):
     assert language_id.identify(docs.limit(0)).count() == 0
 
 
+def judged(model, text):
+    """The pooled probability of a text's language, without Spark."""
+    if not text or not any(c.isalpha() for c in text):
+        return None
+    return float(language_id.label_bytes(model[0], [text.encode()])[0].max())
+
+
+def test_undetermined_documents_go_and_clean_ones_stay(spark):
+    rng = random.Random(2)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    junk = ["".join(rng.choices(letters + letters.upper() + "0123456789+/", k=400)) for _ in range(40)] + ["", "123 456", None]
+    docs = table(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "text", "lang")
+    both = docs.unionByName(spark.createDataFrame([(10**6 + i, t, None) for i, t in enumerate(junk)], "doc_id long, text string, lang string"))
+    both = both.withColumn("score", F.lit("user"))
+    kept = language_id.keep_identified(both)
+    assert kept.columns == both.columns
+    ids = {r.doc_id for r in kept.where("score = 'user'").collect()}
+    model = language_id.language_model(both)
+    cut = language_id.rejection_cut(both, model)
+    assert 0.3 < cut <= 0.5
+    assert ids == {r.doc_id for r in both.collect() if (p := judged(model, r.text)) is not None and p >= cut}
+    assert len([i for i in ids if i < 10**6]) >= 0.998 * docs.count() and len([i for i in ids if i >= 10**6]) <= 12
+
+
 def test_merge_dropout(spark):
     import sentencepiece
 
@@ -267,6 +291,10 @@ def test_pipeline(spark):
     clean = corpus_pipeline.redact_secrets(spark, near, DATA)
     for stage in (kept, exact, near, clean):
         assert stage.columns == docs.columns
-    assert exact.count() == docs.select("text").distinct().count()
+    model = language_id.language_model(docs)
+    cut = language_id.rejection_cut(docs, model)
+    want = sorted(r.doc_id for r in docs.collect() if (p := judged(model, r.text)) is not None and p >= cut)
+    assert sorted(r.doc_id for r in kept.collect()) == want and len(want) > 190
+    assert exact.count() == kept.select("text").distinct().count()
     ids = {r.doc_id for r in clean.select("doc_id").collect()}
     assert {r.doc_id for r in corpus_pipeline.run(spark, DATA).select("doc_id").distinct().collect()} == ids
