@@ -193,6 +193,25 @@ def test_passages_are_found_and_others_left_alone(spark):
     assert passages.repeated_passages(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_passages_recall_against_brute_force(spark):
+    rng = random.Random(11)
+    voc = [f"w{i}" for i in range(4000)]
+    make = lambda n: rng.choices(voc, k=n)
+    line = make(25)
+    rows = []
+    for k in range(120):  # pairs of documents with a passage of which one copy has edits, some behind a common line
+        p = make(rng.randint(55, 120))
+        q = list(p)
+        for _ in range(len(p) // 50):
+            at = rng.randrange(len(q))
+            q[at : at + rng.randint(0, 2)] = ["new"] * rng.randint(0, 2)
+        rows += [(2 * k, " ".join(make(40) + (line if k % 3 else []) + p + make(9))), (2 * k + 1, " ".join(make(20) + (line if k % 3 else []) + q + make(50)))]
+    tokens = {i: passages._tokens(t) for i, t in rows}
+    want = {i for a in range(0, 240, 2) for i in (a, a + 1) if passages.matching_passages(tokens[a], tokens[a + 1], 46, 4, 5)}
+    found = {r.doc_id for r in passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), block=64, group=16).collect()}
+    assert len(want) > 150 and found <= want and len(found) >= 0.99 * len(want)
+
+
 def test_passages_with_an_insertion_or_a_substitution_are_found(spark):
     rng = random.Random(8)
     voc = [f"w{i}" for i in range(5000)]
