@@ -7,6 +7,7 @@ from bisect import bisect_right
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from math import exp, log1p
 
 import numpy as np
 import pyarrow as pa
@@ -75,31 +76,37 @@ def _folded(bitmap: bytes, size: int) -> np.ndarray:
     return np.bitwise_or.reduce(np.frombuffer(bitmap, U64).reshape(-1, size // 64), axis=0)
 
 
+@lru_cache(maxsize=4096)
+def _segments(d: int) -> int:
+    """Into how many segments of the hash range two sets are cut that differ in at most d elements, so that one at least
+    surely holds the same elements, and some, in both. Over d of them always do, but for empty ones, which some more
+    make up for; of many, hashing leaves one alike with all but a chance of 1e-9 already among fewer."""
+    k = (d + 1) * 11 // 10 + 4
+    while k > 2 and -(k - 1) * log1p(-exp(-d / (k - 1))) > 21:
+        k -= 1
+    return k
+
+
 def _segment_keys(a: np.ndarray, m: Measure) -> np.ndarray:
     """Keys of which two linked sets share at least one.
 
-    Sets of a band's class differ in at most d elements. The hash range is cut into a power of two of segments, over d,
-    and d + 1 of them, or a few more, are taken: one at least holds the same elements in both. Empty segments are left
-    out where enough others remain.
+    Sets of a band's class differ in at most d elements. The hash range is cut into segments (see _segments) and what
+    stands in each is a key; empty segments, which any two sets may share, are none. Of small sets each of the first
+    elements is a key: as many as two linked sets cannot both lack.
     """
     n, own = len(a), m.band(len(a))
-    keys: dict[int, np.ndarray] = {}
+    keys = []
     for band in {max(own - 1, 0), own}:
         d = m.differing(band)
-        k = 1 << d.bit_length()
-        used = min(k, d + 3)
-        shift = U64(64 - d.bit_length()) if d else None
-        edges = np.append(np.searchsorted(a, np.arange(used, dtype=U64) << shift), n if used == k else np.searchsorted(a, U64(used) << shift)) if d else np.array([0, n])
-        run = np.zeros(n + 1, U64)
-        np.cumsum(mix(a), out=run[1:])
-        sums = run[edges[1:]] - run[edges[:-1]]
-        full = edges[1:] > edges[:-1]
-        at = np.arange(used, dtype=U64)
-        if used - full.sum() < used - d:
-            sums, at = sums[full], at[full]
-        found = mix(sums + mix(at + U64(k << 32)))
-        keys[k] = found if k not in keys or len(found) > len(keys[k]) else keys[k]
-    return np.concatenate(list(keys.values())).view(np.int64)
+        if d <= 8:
+            first = a[: n - -(-n * m.num // m.den) + 1]
+            keys.append(mix(first + mix(U64(band + 1) << np.full(1, 40, U64))))
+            continue
+        k = _segments(d)
+        at = ((a >> U64(32)) * U64(k)) >> U64(32)
+        start = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
+        keys.append(mix(np.add.reduceat(mix(a), start) + mix(at[start] + U64(k << 32))))
+    return np.unique(np.concatenate(keys)).view(np.int64)
 
 
 class Looks:
@@ -138,18 +145,21 @@ def _groups(tile: np.ndarray) -> Iterator[tuple[int, int]]:
 
 
 def _named(most: int):
-    """Of a partition sorted by tile and node, the tiles of two nodes or more. A tile of at most `most` nodes takes a name
-    that tells its nodes, so that tiles of the same nodes become one; big says which have more, and keep their name."""
+    """Of a partition sorted by tile and node, the tiles of two nodes or more, with their least node as lead. A tile of at
+    most `most` nodes takes a name that tells its nodes, so that tiles of the same nodes become one; big says which have
+    more, and keep their name."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
 
-        def emit(tile: np.ndarray, node: np.ndarray, big: bool) -> pa.RecordBatch | None:
-            if big:
-                return pa.RecordBatch.from_arrays([pa.array(tile), pa.array(node), pa.array(np.ones(len(tile), bool))], names=["tile", "node", "big"])
-            first = np.append(True, tile[1:] != tile[:-1])
-            start = np.flatnonzero(first)
+        def made(tile: np.ndarray, node: np.ndarray, lead: np.ndarray, big: bool) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(tile), pa.array(node), pa.array(lead), pa.array(np.full(len(tile), big))], names=["tile", "node", "lead", "big"])
+
+        def emit(tile: np.ndarray, node: np.ndarray, big: bool, lead: int | None = None) -> pa.RecordBatch | None:
+            start = np.flatnonzero(np.append(True, tile[1:] != tile[:-1]))
             size = np.diff(np.append(start, len(tile)))
+            if big:
+                return made(tile, node, np.repeat(node[start], size) if lead is None else np.full(len(tile), lead), True)
             sums = np.add.reduceat(mix(node.view(U64)), start)
             name = mix(sums + size.astype(U64)).view(np.int64)
             _, once = np.unique(name, return_index=True)
@@ -162,10 +172,10 @@ def _named(most: int):
             rows = np.repeat(keep, size)
             if not rows.any():
                 return None
-            return pa.RecordBatch.from_arrays([pa.array(np.repeat(name, size)[rows]), pa.array(node[rows]), pa.array(np.zeros(int(rows.sum()), bool))], names=["tile", "node", "big"])
+            return made(np.repeat(name, size)[rows], node[rows], np.repeat(node[start], size)[rows], False)
 
         tile = node = np.zeros(0, np.int64)
-        flowing = False  # the held tile is big and part of it has left
+        flowing: int | None = None  # the lead of the held tile, where that is big and part of it has left
         for b in batches:
             tile, node = np.concatenate([tile, b.column(0).to_numpy()]), np.concatenate([node, b.column(1).to_numpy()])
             # Repeated rows of a set are one.
@@ -173,24 +183,25 @@ def _named(most: int):
             tile, node = tile[fresh_row], node[fresh_row]
             if not len(tile):
                 continue
-            if flowing and tile[0] == tile[-1]:
+            if flowing is not None and tile[0] == tile[-1]:
                 if len(tile) > 1:
-                    yield emit(tile[:-1], node[:-1], True)
+                    yield emit(tile[:-1], node[:-1], True, flowing)
                     tile, node = tile[-1:], node[-1:]
                 continue
-            if flowing:
+            if flowing is not None:
                 end = int((tile != tile[0]).argmax())
-                yield emit(tile[:end], node[:end], True)
-                tile, node, flowing = tile[end:], node[end:], False
+                yield emit(tile[:end], node[:end], True, flowing)
+                tile, node, flowing = tile[end:], node[end:], None
             last = int((tile == tile[-1]).argmax())
             for found in _split(tile[:last], node[:last], most, emit):
                 yield found
             tile, node = tile[last:], node[last:]
             if len(tile) > most:
+                flowing = int(node[0])
                 yield emit(tile[:-1], node[:-1], True)
-                tile, node, flowing = tile[-1:], node[-1:], True
-        if flowing:
-            yield emit(tile, node, True)
+                tile, node = tile[-1:], node[-1:]
+        if flowing is not None:
+            yield emit(tile, node, True, flowing)
         else:
             yield from _split(tile, node, most, emit)
 
@@ -211,21 +222,21 @@ def _split(tile: np.ndarray, node: np.ndarray, most: int, emit) -> Iterator[pa.R
 
 
 def _tile_links(num: int, den: int, few: int = 32):
-    """Spanning links among the pairs that the bitmaps leave in each tile of a partition sorted by tile and size. Nodes
-    that links found before join need no look."""
+    """Spanning links between the groups (known) of nodes, among the pairs that the bitmaps leave in each tile of a
+    partition sorted by tile and size. Nodes of one group, or that links found before join, need no look."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forest = Forest()
         for t in whole_groups(batches, "tile"):
-            tile, node, n, side = (t.column(c).to_numpy() for c in ("tile", "node", "n", "side"))
+            tile, node, known, n, side = (t.column(c).to_numpy() for c in ("tile", "node", "known", "n", "side"))
             cuts = list(_groups(tile))
             small = np.concatenate([np.full(hi - lo, hi - lo <= few) for lo, hi in cuts])
             looks = Looks(n, t.column("bits").to_pylist(), num, den)
             out: list[tuple[int, int]] = []
 
-            def join(i: np.ndarray, j: np.ndarray, node=node, out=out) -> None:
-                for a, b in zip(node[i].tolist(), node[j].tolist(), strict=True):
-                    if forest.join(a, b):
+            def join(i: np.ndarray, j: np.ndarray, node=node, known=known, out=out) -> None:
+                for a, b, ka, kb in zip(node[i].tolist(), node[j].tolist(), known[i].tolist(), known[j].tolist(), strict=True):
+                    if forest.join(ka, kb):
                         out.append((min(a, b), max(a, b)))
 
             left, step = np.flatnonzero(small), 1
@@ -234,14 +245,14 @@ def _tile_links(num: int, den: int, few: int = 32):
                 left = left[tile[left] == tile[left + step]]
                 if not len(left):
                     break
-                new = left[(node[left] != node[left + step]) & ((side[left] | side[left + step]) == 3)]
+                new = left[(known[left] != known[left + step]) & ((side[left] | side[left + step]) == 3)]
                 ok = looks.passing(new, new + step)
                 join(new[ok], new[ok] + step)
                 step += 1
             for lo, hi in cuts:
                 if hi - lo <= few:
                     continue
-                root = np.array([forest.find(x) for x in node[lo:hi].tolist()])
+                root = np.array([forest.find(x) for x in known[lo:hi].tolist()])
                 for i in range(hi - lo - 1):
                     end = int(np.searchsorted(n[lo:hi], n[lo + i] * den // num, "right"))
                     j = np.flatnonzero((root[i + 1 : end] != root[i]) & ((side[lo + i + 1 : lo + end] | side[lo + i]) == 3)) + i + 1
@@ -370,20 +381,11 @@ def _join(docs: DataFrame, id_col: str, text_col: str, k: int, num: int, den: in
     node = stash(node)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     sig = rows.select("text").mapInArrow(signatures, "tile long, node long")
-    named = stash(sig.repartition(parts, "tile").sortWithinPartitions("tile", "node").mapInArrow(_named(tile_rows), "tile long, node long, big boolean"))
-
-    sizes = named.where("big").groupBy("tile").agg(F.count("*").alias("count"))
-    big = block_pairs(join_by_key(named.where("big").select("tile", "node"), sizes, "tile", "count"), "tile", "count", tile_rows)
-    small = named.where("not big").select("tile", "node").distinct().withColumn("side", F.lit(3))
-    tiles = small.unionByName(big.select("tile", "node", "side")).join(node.select("node", "n", "bits"), "node")
-    near = tiles.repartition(parts, "tile").sortWithinPartitions("tile", "n", "node").mapInArrow(_tile_links(num, den), "a long, b long")
-    near = stash(near.distinct())
-    unstash(named)
-    family = components(near).withColumnRenamed("component", "family")
-    family = stash(family.join(node.select("node", "band", "key", "text_hash"), "node"))
+    named = stash(sig.repartition(parts, "tile").sortWithinPartitions("tile", "node").mapInArrow(_named(tile_rows), "tile long, node long, lead long, big boolean"))
+    place = stash(node.select("node", "band", "key", "text_hash").join(named.select("node").distinct(), "node"))
     # The text of each node that has a candidate, once. By shuffling both sides: a broadcast would only suit small inputs.
     # Rows of other texts under one key and hash are told apart where the texts are read.
-    text = family.select("node", "key", "text_hash").hint("shuffle_merge").join(rows.select("key", "text_hash", "text"), ["key", "text_hash"])
+    text = place.select("node", "key", "text_hash").hint("shuffle_merge").join(rows.select("key", "text_hash", "text"), ["key", "text_hash"])
     text = stash(text.select("node", "text"))
 
     def links(pairs: DataFrame) -> DataFrame:
@@ -394,9 +396,21 @@ def _join(docs: DataFrame, id_col: str, text_col: str, k: int, num: int, den: in
         asked = asked.join(text, "node").select("tile", "side", "node", "text")
         return stash(asked.repartition(parts, "tile").sortWithinPartitions("tile", "side", "node").mapInArrow(_starred(num, den, k), "a long, b long"))
 
-    # First each node with its least partner, then one pair between any two groups that candidates connect.
-    found = links(near.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
+    # First each node with that least node of a tile that it shares the most tiles with. Tiles whose nodes this joins are done.
+    star = named.where("node <> lead").groupBy("lead", "node").agg(F.count("*").alias("tiles"))
+    found = links(star.groupBy(F.col("node").alias("b")).agg(F.max_by("lead", F.struct("tiles", "lead")).alias("a")).select("a", "b"))
     group = stash(components(found))
+    label = node.select("node", "n", "bits").join(group, "node", "left").select("node", "n", "bits", F.coalesce("component", "node").alias("known"))
+    rest = stash(named.select("tile", "node", "big").distinct().join(label.select("node", "known"), "node"))
+    unstash(named)
+    mixed = rest.groupBy("tile").agg(F.count("*").alias("count"), (F.min("known") < F.max("known")).alias("mixed")).where("mixed").drop("mixed")
+    open_ = join_by_key(rest, mixed, "tile", "count")
+    big = block_pairs(open_.where("big"), "tile", "count", tile_rows).select("tile", "node", "side")
+    tiles = open_.where("not big").select("tile", "node", F.lit(3).alias("side")).unionByName(big).join(label, "node")
+    near = tiles.repartition(parts, "tile").sortWithinPartitions("tile", "n", "node").mapInArrow(_tile_links(num, den), "a long, b long")
+    near = stash(near.distinct())
+    # Families: what the links and the candidates left connect. One candidate between any two groups is checked.
+    family = stash(components(found.union(near)).withColumnRenamed("component", "family").join(place.select("node", "band"), "node"))
     label = family.join(group, "node", "left").select("node", F.coalesce("component", "node").alias("known"))
     across = near.join(label.toDF("a", "ka"), "a").join(label.toDF("b", "kb"), "b").where("ka <> kb")
     found = found.union(links(across.groupBy(F.least("ka", "kb"), F.greatest("ka", "kb")).agg(F.min_by("a", F.struct("a", "b")).alias("a"), F.min_by("b", F.struct("a", "b")).alias("b")).select("a", "b")))
@@ -414,7 +428,7 @@ def _join(docs: DataFrame, id_col: str, text_col: str, k: int, num: int, den: in
     pairs = _stray_pairs(visits, block).select("tile", "node", "known", "side").join(text, "node")
     pairs = pairs.repartition(parts, "tile").sortWithinPartitions("tile").mapInArrow(_verified(num, den, k), "a long, b long")
     group = stash(components(found.union(pairs)))
-    unstash(text, family, loose, near)
+    unstash(text, family, loose, near, place, rest)
     return Joined(member.select("id", "text_hash", "n", "node"), group)
 
 
@@ -446,11 +460,12 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     1. Equal sets become one node. Every node emits the keys of its band's segments (see _segment_keys): two linked
        sets share one at least, so nothing is lost, and sets that merely share a frequent passage seldom do.
     2. Nodes under one key form a tile, and tiles of the same nodes are one; bitmaps bound each pair's overlap from
-       above, and a spanning forest of the pairs left is kept, so a large group of near copies gives few rows. Tiles
-       over tile_rows rows are split into pairs of blocks.
-    3. The components of that forest hold every linked pair. Its pairs are checked by exact intersection of sorted
-       arrays; where they do not join a whole component, tiles of its size bands (at most 2 * block texts) are checked
-       by bitmap and exact intersection, skipping pairs already joined.
+       above. First each node meets the tile mate that it shares most tiles with, by exact intersection of sorted
+       arrays; tiles whose nodes that joins are done. Of the others, those of over tile_rows rows in pairs of blocks, a
+       spanning forest of the pairs that the bit counts leave between groups is kept.
+    3. The components of links and that forest hold every linked pair. The forest's pairs are checked; where a component
+       is still several groups, tiles of its size bands (at most 2 * block texts) are checked by bitmap and exact
+       intersection, skipping pairs already joined.
     4. The components of the verified links are the groups; component_id is the smallest id in one.
 
     A document with fewer than k words has its whole sequence as its one shingle; null, empty or blank text has no
