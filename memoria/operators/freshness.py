@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
@@ -31,15 +32,19 @@ def worst(checked: DataFrame) -> DataFrame:
 
 
 def line_windows(rows: DataFrame) -> DataFrame:
-    """Adds found to rows (content, cited_hash, cited_lines): the first lines, from 1, at which so many lines of content
-    have the cited digest; in place, moved, gone and ambiguous follow from it."""
+    """Adds found to rows (content, cited_hash, cited_lines, and cited_bytes where that is known): the first lines, from 1,
+    at which so many lines of content have the cited digest; in place, moved, gone and ambiguous follow from it. Where
+    the size is known, only stretches of as many bytes are hashed."""
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
-            for content, digest, n in zip(pdf["content"], pdf["cited_hash"], pdf["cited_lines"], strict=True):
-                lines = (content or "").split("\n")
-                out.append([i + 1 for i in range(len(lines) - int(n) + 1) if hashlib.sha256("\n".join(lines[i : i + int(n)]).encode()).hexdigest() == digest])
+            sizes = pdf["cited_bytes"] if "cited_bytes" in pdf else [None] * len(pdf)
+            for content, digest, n, size in zip(pdf["content"], pdf["cited_hash"], pdf["cited_lines"], sizes, strict=True):
+                raw = (content or "").encode()
+                starts = [0, *(m.end() for m in re.finditer(b"\n", raw)), len(raw) + 1]
+                ends = [starts[i + int(n)] - 1 for i in range(max(len(starts) - int(n), 0))]
+                out.append([i + 1 for i, end in enumerate(ends) if (size is None or end - starts[i] == size) and hashlib.sha256(raw[starts[i] : end]).hexdigest() == digest])
             yield pdf.assign(found=out)
 
     from pyspark.sql.types import ArrayType, IntegerType, StructType

@@ -43,11 +43,16 @@ def fork_prefix(child: DataFrame, parent: DataFrame) -> DataFrame:
     return both.groupBy("transcript").agg(F.coalesce(parted, F.max("line") + 1).alias("shared"))
 
 
-def call_results(lines: DataFrame) -> DataFrame:
-    """(transcript, call, result): each call with the first line that answers it."""
-    w = Window.partitionBy("transcript").orderBy("line").rowsBetween(1, Window.unboundedFollowing)
-    answer = F.min(F.when(F.col("role") == "assistant", F.col("line"))).over(w)
-    return lines.withColumn("result", answer).where("role = 'user'").select("transcript", F.col("line").alias("call"), "result")
+def call_results(calls: DataFrame, results: DataFrame) -> DataFrame:
+    """(host, transcript, call_id, call, result): each call with the first result that names it. What a sub-agent's
+    transcript (session/agent-…) did counts as its session's: see session."""
+    key = ["host", "transcript", "call_id"]
+    first = results.where("call_id is not null").groupBy(*key).agg(F.min("line").alias("result"))
+    return calls.where("call_id is not null").groupBy(*key).agg(F.min("line").alias("call")).join(first, key)
+
+
+def session(transcript: Column) -> Column:
+    return F.split_part(transcript, F.lit("/agent-"), F.lit(1))
 
 
 def stopped(lines: DataFrame, offending: Column) -> DataFrame:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions import text, vectors
+from ..functions import text
 
 K1, B = 1.2, 0.75
 RELEVANT, CLOSE, BAND = 0.5, 0.9, 0.9
@@ -16,19 +18,27 @@ def postings(chunks: DataFrame, id_col: str = "seq", body: str = "body") -> Data
     return chunks.select(F.col(id_col).alias("id"), F.explode(text.tokens(F.col(body))).alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"))
 
 
-def bm25(index: DataFrame, query_terms: DataFrame) -> DataFrame:
-    """(query_id, id, score): lower is better. Statistics are of all chunks in the index, eligible or not.
+def lengths(index: DataFrame) -> DataFrame:
+    return index.groupBy("id").agg(F.sum("tf").alias("dl"))
+
+
+def bm25(index: DataFrame, query_terms: DataFrame, eligible: DataFrame | None = None, length: DataFrame | None = None) -> DataFrame:
+    """(query_id, id, score): lower is better. Statistics are of all chunks in the index, eligible or not; eligible, if
+    given, are the ids that may be found, and is asked before anything is summed.
 
     The index's rows are joined with the asked terms first, so only postings of those are weighed; lengths and document
     frequencies are aggregates over the index that share its shuffle by term or id.
     """
-    length = index.groupBy("id").agg(F.sum("tf").alias("dl"))
+    length = lengths(index) if length is None else length
     whole = length.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
     terms = query_terms.select("term").distinct()
     df = index.join(terms, "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
     idf = F.ln((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weighed = df.crossJoin(F.broadcast(whole)).select("term", F.when(idf <= 0, 1e-6).otherwise(idf).alias("idf"), "avgdl")
-    hits = query_terms.join(weighed, "term").join(index, "term").join(length, "id")
+    found = index.join(terms, "term", "left_semi")
+    if eligible is not None:
+        found = found.join(eligible.select("id"), "id", "left_semi")
+    hits = found.join(length, "id").join(weighed, "term").join(query_terms, "term")
     part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     return hits.groupBy("query_id", "id").agg(F.round(-F.sum(part), 6).alias("score"))
 
@@ -84,31 +94,76 @@ def best_passage(hits: DataFrame) -> DataFrame:
     return hits.withColumn("place", F.row_number().over(w)).where("place = 1").drop("place")
 
 
-def vector_scan(queries: DataFrame, stored: DataFrame) -> DataFrame:
+def vector_scan(queries: DataFrame, stored: DataFrame, block: int = 1000, part: int = 20_000) -> DataFrame:
     """(query_id, record, score, chunks, embedded): the best cosine over a record's chunks, of those that have a vector.
-    queries: query_id, q (unit vector), at most a batch; stored: record, values, scale (null where not embedded)."""
-    pairs = stored.join(F.broadcast(queries))
-    score = vectors.scaled_dot(F.col("q"), F.col("values"), F.col("scale"))
-    return pairs.groupBy("query_id", "record").agg(F.round(F.max(score), 6).alias("score"), F.count("*").alias("chunks"), F.count("scale").alias("embedded"))
-
 
-def fuse(keyword: DataFrame, vector: DataFrame) -> DataFrame:
+    queries: query_id, q (unit vector); stored: record, values (whole numbers), scale (null where not embedded). Blocks of
+    queries meet parts of the store, each pair of them one matrix product in a task; only the best of each record in a
+    part leaves it."""
+    blocks, parts = (-(-max(df.count(), 1) // size) for df, size in ((queries, block), (stored, part)))
+    spread = lambda df, own, other, n, m: df.withColumn(own, F.pmod(F.xxhash64(df.columns[0], F.monotonically_increasing_id()), F.lit(n))).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
+    q = spread(queries.select("query_id", F.col("q").cast("array<double>")), "block_", "part_", blocks, parts)
+    s = spread(stored.select("record", F.col("values").cast("array<double>"), F.col("scale").cast("double")), "part_", "block_", parts, blocks)
+    q, s = (df.withColumns({"block_": F.col("block_").cast("int"), "part_": F.col("part_").cast("int")}) for df in (q, s))
+
+    def best(asked: pa.Table, held: pa.Table) -> pa.Table:
+        out: dict[str, list] = {c: [] for c in ("query_id", "record", "score", "chunks", "embedded")}
+        if asked.num_rows and held.num_rows:
+            x = np.stack(asked.column("q").to_numpy(zero_copy_only=False))
+            record, at = np.unique(held.column("record").to_numpy(), return_inverse=True)
+            scale = held.column("scale").to_numpy(zero_copy_only=False).astype(np.float64)
+            has = ~np.isnan(scale)
+            cos = np.full((len(x), len(record)), -np.inf)
+            if has.any():
+                y = np.stack([v for v, h in zip(held.column("values").to_numpy(zero_copy_only=False), has, strict=True) if h])
+                np.maximum.at(cos.T, at[has], ((x @ y.T) * scale[has]).T)
+            chunks, embedded = np.bincount(at, minlength=len(record)), np.bincount(at[has], minlength=len(record))
+            ids = asked.column("query_id").to_numpy()
+            out = {"query_id": np.repeat(ids, len(record)), "record": np.tile(record, len(ids)), "score": np.where(np.isinf(cos), np.nan, cos).ravel(), "chunks": np.tile(chunks, len(ids)), "embedded": np.tile(embedded, len(ids))}
+        kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64())
+        return pa.table([pa.array(out[c], t, from_pandas=True) for c, t in zip(out, kinds, strict=True)], names=list(out))
+
+    rows = q.groupBy("block_", "part_").cogroup(s.groupBy("block_", "part_")).applyInArrow(best, "query_id long, record long, score double, chunks long, embedded long")
+    return rows.groupBy("query_id", "record").agg(F.round(F.max("score"), 6).alias("score"), F.sum("chunks").alias("chunks"), F.sum("embedded").alias("embedded"))
+
+
+def fuse(keyword: DataFrame, vector: DataFrame, head: DataFrame | None = None) -> DataFrame:
     """Reciprocal rank fusion of (query_id, id, k) and (query_id, id, v), ranks from 0. A record that only vectors found
-    must be among their first ten; a keyword match without a vector has its keyword rank in both lists.
-
-    Adds rrf, pos, meaning_only (no word in common) and meaning (placed above its keyword rank)."""
+    must be among their first ten; a keyword match without a vector has its keyword rank in both lists. Records of head
+    (query_id, id, place) keep their places before all others and take no rank in either list.
+
+    Adds rrf, pos, meaning_only (no word in common) and meaning: a record with a vector that is not a keyword match or is
+    placed above its keyword rank."""
+    if head is not None:
+        again = lambda rows, c: rows.join(head, ["query_id", "id"], "left_anti").withColumn(c, (F.row_number().over(per_query(F.col(c))) - 1).cast("long"))
+        keyword, vector = again(keyword, "k"), again(vector, "v")
     both = keyword.join(vector, ["query_id", "id"], "full").where(F.col("k").isNotNull() | (F.col("v") < MEANING_ONLY))
     share = lambda r: 1 / (F.lit(RRF) + r + 1)
     rrf = F.coalesce(share(F.col("k")), F.lit(0.0)) + share(F.coalesce("v", "k"))
     rows = both.withColumn("rrf", F.round(rrf, 9))
     order = per_query(F.desc("rrf"), F.asc_nulls_last("k"), F.asc_nulls_last("v"), F.col("id"))
     rows = rows.withColumn("pos", (F.row_number().over(order) - 1).cast("long"))
-    return rows.withColumn("meaning_only", F.col("k").isNull()).withColumn("meaning", F.coalesce(F.col("pos") < F.col("k"), F.lit(False)))
+    rows = rows.withColumn("meaning_only", F.col("k").isNull()).withColumn("meaning", F.col("v").isNotNull() & (F.col("k").isNull() | (F.col("k") > F.col("pos"))))
+    if head is None:
+        return rows
+    lifted = head.groupBy("query_id").agg(F.count("*").alias("lifted"))
+    rows = rows.join(lifted, "query_id", "left").withColumn("pos", F.col("pos") + F.coalesce("lifted", F.lit(0))).drop("lifted")
+    none = {c: F.lit(None).cast(t) for c, t in (("k", "long"), ("v", "long"), ("rrf", "double"))}
+    first = head.select("query_id", "id", F.col("place").cast("long").alias("pos"), F.lit(False).alias("meaning_only"), F.lit(False).alias("meaning")).withColumns(none)
+    return rows.unionByName(first.select(*rows.columns))
 
 
 def claim_groups(records: DataFrame, root: Column) -> DataFrame:
-    """(claim, records, roots, first_seq, copies): statements alike but for white space, with how many independent roots
-    state them. Copies are counted first within each root, so a claim that very many repeat is small when it meets."""
+    """(claim, records, roots, first_seq): statements alike but for white space, with how many independent roots state
+    them. Records are counted first within each root, so a claim that very many repeat is small when it meets."""
     rows = records.select(text.claim_hash(F.col("body")).alias("claim"), root.alias("root"), "seq")
     per_root = rows.groupBy("claim", "root").agg(F.count("*").alias("n"), F.min("seq").alias("first"))
     return per_root.groupBy("claim").agg(F.sum("n").alias("records"), F.count("*").alias("roots"), F.min("first").alias("first_seq"))
+
+
+def claim_copies(records: DataFrame, root: Column) -> DataFrame:
+    """(claim, root, representative, copy): of the records of one root that state one claim the earliest stands for the
+    others, which are its copies."""
+    rows = records.select(text.claim_hash(F.col("body")).alias("claim"), root.alias("root"), "seq", "created_at")
+    first = rows.groupBy("claim", "root").agg(F.min_by("seq", F.struct("created_at", "seq")).alias("representative"), F.count("*").alias("n")).where("n > 1")
+    return rows.join(first, ["claim", "root"]).where("seq <> representative").select("claim", "root", "representative", F.col("seq").alias("copy"))

@@ -11,8 +11,19 @@ def usage(calls: DataFrame) -> DataFrame:
 
 
 def latency(calls: DataFrame) -> DataFrame:
-    """Nearest-rank percentiles of each call's time."""
-    return calls.groupBy("name").agg(F.count("*").alias("n"), F.expr("percentile_disc(0.5) within group (order by ms)").alias("p50"), F.expr("percentile_disc(0.95) within group (order by ms)").alias("p95"))
+    """Nearest-rank percentiles of each call's time. Equal times are counted before they are shuffled, and a running sum
+    of the counts, spread by rounded time and put together from the spreads' totals, finds the ranks: no task holds a
+    name's times."""
+    counts = calls.where("ms is not null").groupBy("name", "ms").agg(F.count("*").alias("n")).withColumn("bin", F.floor(F.log2(F.abs("ms") + 1) * 64 * F.signum("ms")).cast("long"))
+    bins = counts.groupBy("name", "bin").agg(F.sum("n").alias("in_bin"))
+    # At most some 64 bins for each doubling of the time: what a name has of them is bounded.
+    below = F.sum("in_bin").over(Window.partitionBy("name").orderBy("bin")) - F.col("in_bin")
+    bins = bins.withColumn("below", below).withColumn("total", F.sum("in_bin").over(Window.partitionBy("name")))
+    run = F.col("below") + F.sum("n").over(Window.partitionBy("name", "bin").orderBy("ms"))
+    rows = counts.join(bins, ["name", "bin"]).withColumn("run", run)
+    at = lambda p: F.min(F.when(F.col("run") >= F.ceil(F.col("total") * p), F.col("ms")))
+    found = rows.groupBy("name").agg(at(0.5).alias("p50"), at(0.95).alias("p95"))
+    return calls.groupBy("name").agg(F.count("*").alias("n")).join(found, "name", "left").select("name", "n", "p50", "p95")
 
 
 def first_returns(returns: DataFrame) -> DataFrame:
@@ -22,11 +33,14 @@ def first_returns(returns: DataFrame) -> DataFrame:
 
 
 def used_later(first: DataFrame, acts: DataFrame) -> DataFrame:
-    """(session_id, ref, edited, cited): whether a session acted on a record strictly after it was given it. The first
-    act of each kind decides nothing and the last does, so acts shrink to one row a session and record before the join."""
-    last = acts.groupBy("session_id", "ref").agg(F.max(F.when(F.col("name") == "click", F.col("at"))).alias("edit"), F.max(F.when(F.col("name") == "purchase", F.col("at"))).alias("cite"))
+    """(session_id, ref, read, edited, cited, used): whether a session acted on a record strictly after it was given it.
+    The first act of each kind decides nothing and the last does, so acts shrink to one row a session and record before
+    the join."""
+    kinds = {"read": "view", "edited": "click", "cited": "purchase"}
+    last = acts.groupBy("session_id", "ref").agg(*(F.max(F.when(F.col("name") == name, F.col("at"))).alias(f"last_{k}") for k, name in kinds.items()))
     rows = first.join(last, ["session_id", "ref"], "left")
-    return rows.select("session_id", "ref", F.coalesce(F.col("edit") > F.col("at"), F.lit(False)).alias("edited"), F.coalesce(F.col("cite") > F.col("at"), F.lit(False)).alias("cited"))
+    rows = rows.select("session_id", "ref", *(F.coalesce(F.col(f"last_{k}") > F.col("at"), F.lit(False)).alias(k) for k in kinds))
+    return rows.withColumn("used", F.col("read") | F.col("edited") | F.col("cited"))
 
 
 def edit_after(first: DataFrame, acts: DataFrame) -> DataFrame:
@@ -39,11 +53,13 @@ def edit_after(first: DataFrame, acts: DataFrame) -> DataFrame:
     return rows.where("name = 'given' and edit_at is not null").select("session_id", "ref", "edit_at", F.coalesce(F.col("read_at") < F.col("edit_at"), F.lit(False)).alias("reread"))
 
 
-def rediscovered(reads: DataFrame, known: DataFrame, given: DataFrame) -> DataFrame:
-    """Reads of what an older record already covered and the session had never been given: distinct (session_id, ref)."""
-    oldest = known.groupBy("ref").agg(F.min("created_at").alias("created_at"))
-    late = reads.join(oldest, "ref").where(F.col("created_at") < F.col("at")).select("session_id", "ref").distinct()
-    return late.join(given.select("session_id", "ref").distinct(), ["session_id", "ref"], "left_anti")
+def rediscovered(reads: DataFrame, covering: DataFrame, given: DataFrame) -> DataFrame:
+    """(session_id, path, record): reads of a path that an older record covers, where the session was never given that
+    record, whatever else it was given. reads: session_id, path, at; covering: record, path, created_at; given:
+    session_id, record. A session's reads of a path shrink to its last one before they meet."""
+    last = reads.groupBy("session_id", "path").agg(F.max("at").alias("at"))
+    late = last.join(covering, "path").where(F.col("created_at") < F.col("at")).select("session_id", "path", "record").distinct()
+    return late.join(given.select("session_id", "record").distinct(), ["session_id", "record"], "left_anti").select("session_id", "path", "record")
 
 
 def reviewable(calls: DataFrame, reviews: DataFrame) -> DataFrame:

@@ -1,4 +1,4 @@
 """Registered queries: each a composition of operators over the tables of a folder, with the SQL that gives its rows."""
 
-from . import ingest, lineage, recall, report  # noqa: F401
+from . import ingest, lineage, recall, report, upkeep  # noqa: F401
 from .registry import QUERIES, SQL  # noqa: F401

@@ -12,7 +12,7 @@ from .registry import query
 _V = f"WITH {views.RECORDS}, {views.TAINTS}"
 _ELIGIBLE = "(workstream_id = 'en' OR workstream_id IS NULL) AND lifecycle = 'active' AND id NOT IN (SELECT record_id FROM taints)"
 _BM25 = rf"""{_V}, {views.QUERY_TERMS},
-  tok AS (SELECT seq, unnest(regexp_extract_all(lower(body), '[\p{{L}}\p{{N}}]+')) AS term FROM records),
+  tok AS (SELECT seq, unnest(regexp_extract_all(strip_accents(lower(body)), '[\p{{L}}\p{{N}}]+')) AS term FROM records),
   post AS (SELECT seq, term, count(*) AS tf FROM tok GROUP BY ALL),
   dl AS (SELECT seq, sum(tf) AS dl FROM post GROUP BY seq), st AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM dl),
   df AS (SELECT term, count(*) AS df FROM post GROUP BY term),
@@ -25,9 +25,10 @@ _BM25 = rf"""{_V}, {views.QUERY_TERMS},
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """BM25 matches among recallable records."""
-    records = views.records(spark, sf_dir)
-    hits = ranking.bm25(ranking.postings(records), views.queries(spark, sf_dir)).withColumnRenamed("id", "seq")
-    return hits.join(eligibility.recallable(records, views.taints(spark, sf_dir), "en"), "seq")
+    able = eligibility.recallable(views.records(spark, sf_dir), views.taints(spark, sf_dir), "en")
+    index, length = views.index(spark, sf_dir)
+    hits = ranking.bm25(index, views.queries(spark, sf_dir), able.select(F.col("seq").alias("id")), length)
+    return hits.withColumnRenamed("id", "seq").join(able, "seq")
 
 
 @query(_BM25 + " SELECT query_id, seq, rank, score FROM ranked WHERE rank <= 10")
@@ -72,14 +73,14 @@ def relevance_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     _BANDED
-    + """, placed AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY band, seq % 3, CASE WHEN attribution = 'captured_output' THEN 0 ELSE 1 END,
+    + """, placed AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY band, seq % 3, CASE WHEN attribution = 'direct_observation' THEN 0 ELSE 1 END,
     CASE WHEN attribution = 'agent_inference' THEN 1 ELSE 0 END, seq % 2 DESC, rank) AS trust_pos FROM banded)
   SELECT query_id, seq, band, trust_pos FROM placed"""
 )
 def trust_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     banded = ranking.bands(ranking.top(scored(spark, sf_dir), 30))
     attribution = F.col("attribution")
-    placed = ranking.trust_order(banded, F.col("seq") % 3, F.when(attribution == "captured_output", 0).otherwise(1), F.when(attribution == "agent_inference", 1).otherwise(0), F.col("seq") % 2)
+    placed = ranking.trust_order(banded, F.col("seq") % 3, F.when(attribution == "direct_observation", 0).otherwise(1), F.when(attribution == "agent_inference", 1).otherwise(0), F.col("seq") % 2)
     return placed.select("query_id", "seq", "band", "trust_pos")
 
 
@@ -112,10 +113,10 @@ def scope_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return eligibility.guarded(views.records(spark, sf_dir), asked, "en")
 
 
-@query(f"{_V} SELECT seq, created_at FROM records WHERE kind IN ('note', 'finding') AND created_at >= TIMESTAMP '2024-01-01 03:00:00' AND created_at < TIMESTAMP '2024-01-01 09:00:00'")
+@query(f"{_V} SELECT seq, created_at FROM records WHERE kind IN ('note', 'evidence') AND created_at >= TIMESTAMP '2024-01-01 03:00:00' AND created_at < TIMESTAMP '2024-01-01 09:00:00'")
 def kinds_in_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     window = eligibility.in_window(F.lit("2024-01-01 03:00:00").cast("timestamp"), F.lit("2024-01-01 09:00:00").cast("timestamp"))
-    rows = views.records(spark, sf_dir).where(F.col("kind").isin("note", "finding") & window)
+    rows = views.records(spark, sf_dir).where(F.col("kind").isin("note", "evidence") & window)
     return rows.select("seq", F.col("created_at").cast("timestamp_ntz").alias("created_at"))
 
 
@@ -141,6 +142,15 @@ def claim_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.claim_groups(views.records(spark, sf_dir), F.col("host"))
 
 
+@query(
+    rf"""{_V}, c AS (SELECT sha256(trim(regexp_replace(body, '\s+', ' ', 'g'))) AS claim, host AS root, seq, created_at FROM records),
+  f AS (SELECT *, first_value(seq) OVER (PARTITION BY claim, root ORDER BY created_at, seq) AS representative FROM c)
+  SELECT claim, root, representative, seq AS copy FROM f WHERE seq <> representative"""
+)
+def claim_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranking.claim_copies(views.records(spark, sf_dir), F.col("host"))
+
+
 @query(
     """SELECT vec_id, list_transform(embedding, lambda x: CAST(greatest(-127, least(127, floor((CAST(x AS DOUBLE) / n) / (m / n / 127) + 0.5))) AS INTEGER)) AS "values", round(m / n / 127, 9) AS scale
   FROM (SELECT vec_id, embedding, sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE)))) AS n,
@@ -152,17 +162,19 @@ def vector_quantise(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("vec_id", vectors.int8(F.col("u"), F.col("exact")).alias("values"), F.round("exact", 9).alias("scale"))
 
 
-_VECTOR = """WITH u AS (SELECT vec_id, label, sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE)))) AS n, embedding FROM embeddings),
-  q AS (SELECT vec_id AS query_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE) / n) AS q FROM u WHERE vec_id < 10),
-  s AS (SELECT query_id, CAST(label AS BIGINT) AS record, list_dot_product(q, list_transform(embedding, lambda x: CAST(x AS DOUBLE) / n)) AS cos, vec_id FROM q, u),
-  best AS (SELECT query_id, record, round(max(CASE WHEN vec_id % 4 <> 0 THEN cos END), 6) AS score, count(*) AS chunks, count(CASE WHEN vec_id % 4 <> 0 THEN 1 END) AS embedded FROM s GROUP BY ALL)"""
+_VECTOR = """WITH n AS (SELECT vec_id, label, embedding, sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE)))) AS n FROM embeddings),
+  u AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE) / n) AS u, list_max(list_transform(embedding, lambda x: abs(CAST(x AS DOUBLE) / n))) / 127 AS scale FROM n),
+  i AS (SELECT vec_id, CAST(label AS BIGINT) AS record, list_transform(u, lambda x: CAST(greatest(-127, least(127, floor(x / scale + 0.5))) AS DOUBLE)) AS v, CASE WHEN vec_id % 4 <> 0 THEN scale END AS scale FROM u),
+  q AS (SELECT vec_id AS query_id, u AS q FROM u WHERE vec_id % 20 = 0),
+  best AS (SELECT query_id, record, round(max(list_dot_product(q, v) * scale), 6) AS score, CAST(count(*) AS BIGINT) AS chunks, CAST(count(scale) AS BIGINT) AS embedded FROM q, i GROUP BY ALL)"""
 
 
 def _best(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = views.table(spark, sf_dir, "embeddings").withColumn("u", vectors.unit(F.col("embedding")))
-    asked = rows.where("vec_id < 10").select(F.col("vec_id").alias("query_id"), F.col("u").alias("q"))
-    kept = F.when(F.col("vec_id") % 4 != 0, F.lit(1.0))
-    return ranking.vector_scan(asked, rows.select(F.col("label").cast("long").alias("record"), F.col("u").alias("values"), kept.alias("scale")))
+    """Every row whose id is divisible by 20, asked of all rows as stored: whole numbers and a scale."""
+    rows = views.table(spark, sf_dir, "embeddings").select("vec_id", "label", vectors.unit(F.col("embedding")).alias("u")).withColumn("scale", vectors.int8_scale(F.col("u")))
+    asked = rows.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("u").alias("q"))
+    stored = rows.select(F.col("label").cast("long").alias("record"), vectors.int8(F.col("u"), F.col("scale")).alias("values"), F.when(F.col("vec_id") % 4 != 0, F.col("scale")).alias("scale"))
+    return ranking.vector_scan(asked, stored)
 
 
 @query(_VECTOR + " SELECT * FROM best")
@@ -172,18 +184,23 @@ def vector_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     _VECTOR
-    + """, v AS (SELECT query_id, record AS id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, record DESC) - 1 AS v FROM best),
+    + """, v AS (SELECT query_id, record AS id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, record DESC) - 1 AS v FROM best WHERE record % 5 <> 1),
   k AS (SELECT query_id, record AS id, row_number() OVER (PARTITION BY query_id ORDER BY chunks DESC, record) - 1 AS k FROM best WHERE record % 3 <> 0),
-  b AS (SELECT query_id, id, k, v FROM k FULL JOIN v USING (query_id, id) WHERE k IS NOT NULL OR v < 10),
+  head AS (SELECT query_id, id, k AS place FROM k WHERE query_id % 3 = 0 AND k < 2),
+  k2 AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY k) - 1 AS k FROM k ANTI JOIN head USING (query_id, id)),
+  v2 AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY v) - 1 AS v FROM v ANTI JOIN head USING (query_id, id)),
+  b AS (SELECT query_id, id, k, v FROM k2 FULL JOIN v2 USING (query_id, id) WHERE k IS NOT NULL OR v < 10),
   f AS (SELECT *, round(coalesce(1 / (61 + k), 0.0) + 1 / (61 + coalesce(v, k)), 9) AS rrf FROM b),
   p AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, k NULLS LAST, v NULLS LAST, id) - 1 AS pos FROM f)
-  SELECT query_id, id, rrf, pos, k IS NULL AS meaning_only, coalesce(pos < k, false) AS meaning FROM p"""
+  SELECT query_id, id, rrf, pos + CASE WHEN query_id % 3 = 0 THEN (SELECT count(*) FROM head h WHERE h.query_id = p.query_id) ELSE 0 END AS pos, k IS NULL AS meaning_only, v IS NOT NULL AND (k IS NULL OR k > pos) AS meaning FROM p
+  UNION ALL SELECT query_id, id, NULL, place, false, false FROM head"""
 )
 def fused(spark: SparkSession, sf_dir: str) -> DataFrame:
     best = _best(spark, sf_dir).withColumnRenamed("record", "id")
-    v = best.select("query_id", "id", (F.row_number().over(ranking.per_query(F.desc("score"), F.desc("id"))) - 1).cast("long").alias("v"))
+    v = best.where("id % 5 <> 1").select("query_id", "id", (F.row_number().over(ranking.per_query(F.desc("score"), F.desc("id"))) - 1).cast("long").alias("v"))
     k = best.where("id % 3 <> 0").select("query_id", "id", (F.row_number().over(ranking.per_query(F.desc("chunks"), F.col("id"))) - 1).cast("long").alias("k"))
-    return ranking.fuse(k, v).select("query_id", "id", "rrf", "pos", "meaning_only", "meaning")
+    head = k.where("query_id % 3 = 0 and k < 2").select("query_id", "id", F.col("k").alias("place"))
+    return ranking.fuse(k, v, head).select("query_id", "id", "rrf", "pos", "meaning_only", "meaning")
 
 
 @query(
@@ -198,7 +215,7 @@ def vector_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     r"""WITH sent AS (SELECT doc_id AS record, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS ordinal FROM documents),
-  s AS (SELECT 0 AS query_id, record, ordinal, -CAST(len(regexp_extract_all(lower(t), '[\p{L}\p{N}]+')) AS DOUBLE) AS score FROM sent),
+  s AS (SELECT 0 AS query_id, record, ordinal, -CAST(len(regexp_extract_all(strip_accents(lower(t)), '[\p{L}\p{N}]+')) AS DOUBLE) AS score FROM sent),
   b AS (SELECT *, row_number() OVER (PARTITION BY query_id, record ORDER BY score, ordinal) AS n FROM s)
   SELECT record, ordinal, score FROM b WHERE n = 1"""
 )

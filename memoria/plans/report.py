@@ -34,7 +34,8 @@ def first_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     _FIRST
-    + """ SELECT f.session_id, f.ref, coalesce(bool_or(c.name = 'click' AND c.called > f.called), false) AS edited, coalesce(bool_or(c.name = 'purchase' AND c.called > f.called), false) AS cited
+    + """ SELECT f.session_id, f.ref, coalesce(bool_or(c.name = 'view' AND c.called > f.called), false) AS read, coalesce(bool_or(c.name = 'click' AND c.called > f.called), false) AS edited,
+    coalesce(bool_or(c.name = 'purchase' AND c.called > f.called), false) AS cited, coalesce(bool_or(c.called > f.called AND c.name IN ('view', 'click', 'purchase')), false) AS used
   FROM first f LEFT JOIN calls c ON c.session_id = f.session_id AND c.ref = f.ref AND c.name <> 'error' GROUP BY ALL"""
 )
 def used_after_returned(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,14 +54,15 @@ def edit_after_return(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""{_C}, known AS (SELECT doc_id % 100 AS ref, min(TIMESTAMP '2024-01-01' + to_hours(doc_id)) AS created_at FROM documents GROUP BY 1)
-  SELECT DISTINCT session_id, ref FROM calls c JOIN known USING (ref) WHERE name = 'click' AND created_at < called
-    AND NOT EXISTS (SELECT 1 FROM calls g WHERE g.name = 'view' AND g.session_id = c.session_id AND g.ref = c.ref)"""
+    f"""{_C}, covering AS (SELECT doc_id AS record, doc_id % 50 AS path, TIMESTAMP '2024-01-01' + to_hours(doc_id) AS created_at FROM documents WHERE doc_id < 100)
+  SELECT DISTINCT session_id, path, record FROM calls c JOIN covering k ON k.path = c.ref % 50 WHERE name = 'click' AND created_at < called
+    AND NOT EXISTS (SELECT 1 FROM calls g WHERE g.name = 'view' AND g.session_id = c.session_id AND g.ref = k.record)"""
 )
 def rediscoveries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    calls = views.call_log(spark, sf_dir)
-    known = views.table(spark, sf_dir, "documents").select((F.col("doc_id") % 100).alias("ref"), F.timestamp_seconds(F.lit(1704067200) + F.col("doc_id") * 3600).alias("created_at"))
-    return reporting.rediscovered(calls.where("name = 'click'"), known, calls.where("name = 'view'"))
+    calls, d = views.call_log(spark, sf_dir), F.col("doc_id")
+    covering = views.table(spark, sf_dir, "documents").where(d < 100).select(d.alias("record"), (d % 50).alias("path"), F.timestamp_seconds(F.lit(1704067200) + d * 3600).alias("created_at"))
+    reads = calls.where("name = 'click'").select("session_id", (F.col("ref") % 50).alias("path"), "at")
+    return reporting.rediscovered(reads, covering, calls.where("name = 'view'").select("session_id", F.col("ref").alias("record")))
 
 
 @query("SELECT CASE WHEN toxic = 1 THEN 'missed' WHEN quality = 1 THEN 'good' ELSE 'partial' END AS rating, count(*) AS n FROM labels GROUP BY 1")

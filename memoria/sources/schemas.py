@@ -1,12 +1,13 @@
-"""Schemas, enumerations and limits. Tables are Parquet with an explicit schema; nothing is inferred."""
+"""Schemas of the library's tables, enumerations and limits."""
 
 from __future__ import annotations
 
 from pyspark.sql.types import StructType
 
 # Fixed values.
-KINDS = ("note", "decision", "finding", "preference", "constraint", "question", "task", "result", "message", "tool_result", "checkpoint")
-ATTRIBUTIONS = ("user_direction", "agent_inference", "captured_output")
+KINDS = ("evidence", "note", "preference", "constraint", "decision", "attempt", "question", "next_step", "reference", "checkpoint", "correction")
+ATTRIBUTIONS = ("user_direction", "direct_observation", "agent_inference")
+REVIEW_STATES = ("unreviewed", "accepted", "disputed", "retracted")
 LIFECYCLES = ("active", "corrected", "superseded", "retracted", "forgotten")
 RELATIONS = ("supported_by", "derived_from", "supersedes", "references", "related_to")
 TAINTS = ("invalidated", "quarantined")

@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from .schemas import QUERY_TERMS as QUERY_LIMIT
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -13,18 +19,18 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = F.col("doc_id")
     return table(spark, sf_dir, "documents").select(
         d.alias("seq"), F.concat(F.lit("rec_"), d).alias("id"),
-        F.when(d % 5 == 0, "note").when(d % 5 == 1, "decision").when(d % 5 == 2, "finding").when(d % 5 == 3, "preference").otherwise("checkpoint").alias("kind"),
+        F.when(d % 5 == 0, "note").when(d % 5 == 1, "decision").when(d % 5 == 2, "evidence").when(d % 5 == 3, "preference").otherwise("checkpoint").alias("kind"),
         F.col("text").alias("body"), F.when(d % 7 != 0, F.col("lang")).alias("workstream_id"), F.col("source").alias("host"),
-        F.when(d % 3 == 0, "user_direction").when(d % 3 == 1, "agent_inference").otherwise("captured_output").alias("attribution"),
+        F.when(d % 3 == 0, "user_direction").when(d % 3 == 1, "agent_inference").otherwise("direct_observation").alias("attribution"),
         F.when(d % 11 == 0, "retracted").when(d % 17 == 0, "superseded").otherwise("active").alias("lifecycle"),
         F.timestamp_seconds(F.lit(1704067200) + d * 60).alias("created_at"),
     )
 
 
 RECORDS = """records AS (SELECT doc_id AS seq, 'rec_' || doc_id AS id,
-  CASE doc_id % 5 WHEN 0 THEN 'note' WHEN 1 THEN 'decision' WHEN 2 THEN 'finding' WHEN 3 THEN 'preference' ELSE 'checkpoint' END AS kind,
+  CASE doc_id % 5 WHEN 0 THEN 'note' WHEN 1 THEN 'decision' WHEN 2 THEN 'evidence' WHEN 3 THEN 'preference' ELSE 'checkpoint' END AS kind,
   text AS body, CASE WHEN doc_id % 7 <> 0 THEN lang END AS workstream_id, source AS host,
-  CASE doc_id % 3 WHEN 0 THEN 'user_direction' WHEN 1 THEN 'agent_inference' ELSE 'captured_output' END AS attribution,
+  CASE doc_id % 3 WHEN 0 THEN 'user_direction' WHEN 1 THEN 'agent_inference' ELSE 'direct_observation' END AS attribution,
   CASE WHEN doc_id % 11 = 0 THEN 'retracted' WHEN doc_id % 17 = 0 THEN 'superseded' ELSE 'active' END AS lifecycle,
   TIMESTAMP '2024-01-01' + to_minutes(doc_id) AS created_at FROM documents)"""
 
@@ -67,23 +73,50 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("transcript"), F.col("turn").alias("line"), "role", "text")
 
 
-def queries(spark: SparkSession, sf_dir: str, terms: int = 6) -> DataFrame:
-    """Search queries: the first distinct words of the benchmark's passages."""
+def queries(spark: SparkSession, sf_dir: str, terms: int = QUERY_LIMIT) -> DataFrame:
+    """Search queries: the first distinct terms of the benchmark's passages, as many as a query may have."""
     from ..functions.text import tokens
 
-    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(F.array_distinct(F.slice(tokens(F.col("text")), 1, terms))).alias("term"))
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(F.slice(F.array_distinct(tokens(F.col("text"))), 1, terms)).alias("term"))
 
 
-QUERY_TERMS = r"""query_terms AS (SELECT DISTINCT item_id AS query_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')[1:6]) AS term FROM benchmark)"""
+QUERY_TERMS = rf"""query_words AS (SELECT item_id, unnest(l) AS term, generate_subscripts(l, 1) AS place
+    FROM (SELECT item_id, regexp_extract_all(strip_accents(lower(text)), '[\p{{L}}\p{{N}}]+') AS l FROM benchmark)),
+  query_terms AS (SELECT query_id, term FROM (SELECT item_id AS query_id, term, row_number() OVER (PARTITION BY item_id ORDER BY min(place)) AS n FROM query_words GROUP BY item_id, term) WHERE n <= {QUERY_LIMIT})"""
 
+_kept: dict[tuple[str, str, str], str] = {}
 
-def reliable(spark: SparkSession) -> None:
-    """Set the checkpoint folder: the cluster's own, or a temporary one for a local master without one."""
-    sc = spark.sparkContext
-    if not sc.getCheckpointDir():
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder and not sc.master.startswith("local["):
+
+def kept(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """A table derived from a folder's tables, written once a session to the shared folder and read from there."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _kept:
+        path = f"{shared_dir(spark)}/kept-{name}-{uuid.uuid4().hex}"
+        make().write.parquet(path)
+        _kept[key] = path
+    return spark.read.parquet(_kept[key])
+
+
+def index(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The postings of all records, by term, and their lengths."""
+    from ..operators import ranking
+
+    made = kept(spark, sf_dir, "postings", lambda: ranking.postings(records(spark, sf_dir)).repartition("term").sortWithinPartitions("term"))
+    return made, kept(spark, sf_dir, "lengths", lambda: ranking.lengths(made))
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """spark.checkpoint.dir of the session; only a local master without one gets a temporary folder."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not spark.sparkContext.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        import tempfile
+        found = f"file://{tempfile.mkdtemp(prefix='memoria-')}"
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found
 
-        sc.setCheckpointDir(folder or f"file://{tempfile.mkdtemp(prefix='memoria-')}")
+
+def reliable(spark: SparkSession) -> None:
+    """Set the checkpoint folder: the cluster's own, or a temporary one for a local master without one."""
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(shared_dir(spark))

@@ -41,6 +41,9 @@ def apply_batch(spark: SparkSession, batch: DataFrame, number: int, path: str) -
         rows = rows.join(older, KEY, "left").withColumn("version", F.coalesce("again", F.lit(False))).drop("again")
     else:
         rows = rows.withColumn("version", F.lit(False))
+    # Of several contents of one key within the batch all but the first are versions too.
+    place = Window.partitionBy(*KEY).orderBy("content_hash")
+    rows = rows.withColumn("version", F.col("version") | (F.row_number().over(place) > 1))
     rows.select(*KEY, "role", "text", "content_hash", "version").write.mode("overwrite").parquet(f"{path}/events/batch={number}")
     spark.range(1).select(F.lit(number).alias("batch")).write.mode("overwrite").parquet(f"{path}/_batches/batch_no={number}")
 
