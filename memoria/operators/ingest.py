@@ -17,10 +17,11 @@ def drafts(events: DataFrame) -> DataFrame:
 def identify(events: DataFrame, seen: DataFrame, key: list[str]) -> DataFrame:
     """Adds status: replay where key and content_hash are known, version where the key is known with other content,
     new otherwise. Of events with one key and content in the batch the first is taken."""
-    known = seen.groupBy(*key).agg(F.collect_set("content_hash").alias("hashes"))
+    keys = seen.select(*key).distinct().withColumn("known_key", F.lit(True))
+    contents = seen.select(*key, "content_hash").distinct().withColumn("known_content", F.lit(True))
     once = events.groupBy(*key, "content_hash").agg(F.min("line").alias("line"))
-    status = F.when(F.col("hashes").isNull(), "new").when(F.array_contains("hashes", F.col("content_hash")), "replay").otherwise("version")
-    return once.join(known, key, "left").select(*key, "content_hash", "line", status.alias("status"))
+    status = F.when(F.col("known_key").isNull(), "new").when(F.col("known_content"), "replay").otherwise("version")
+    return once.join(keys, key, "left").join(contents, [*key, "content_hash"], "left").select(*key, "content_hash", "line", status.alias("status"))
 
 
 def missing(seen: DataFrame, epoch: Column, key: list[str]) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..sources.schemas import DEPTH
+from ..sources.schemas import DEPTH, LIFECYCLES
 
 # What an action makes of a record in which state, and how strongly its dependents are tainted.
 TRANSITIONS = (
@@ -57,6 +57,8 @@ def taint_closure(causes: DataFrame, links: DataFrame, depth: int = DEPTH) -> Da
     join; a record reached again with a stronger label passes that on.
     """
     edges = links.where(F.col("relation").isin("derived_from", "supported_by")).select(F.col("from_seq").alias("child"), F.col("to_seq").alias("on"), (F.col("relation") == "derived_from").alias("derived"))
+    # Edges are written once, and what is found is cut with each level, so no plan grows with the depth.
+    edges = edges.checkpoint()
     frontier = causes.select("seq", F.lit(0).alias("label"), F.col("wrong").alias("spreads"))
     found = None
     for _ in range(depth):
@@ -65,27 +67,30 @@ def taint_closure(causes: DataFrame, links: DataFrame, depth: int = DEPTH) -> Da
         if found is not None:
             known = found.select(F.col("seq").alias("k"), F.col("label").alias("old"))
             hit = hit.join(known, F.col("seq") == F.col("k"), "left").where(F.col("old").isNull() | (F.col("label") < F.col("old"))).select("seq", "label")
-        # Lineage grows by a join a level, so each level is cut; the session's checkpoint folder is reliable storage.
         hit = hit.checkpoint()
         if hit.isEmpty():
             break
-        found = hit if found is None else found.union(hit).groupBy("seq").agg(F.min("label").alias("label"))
+        found = hit if found is None else found.union(hit).groupBy("seq").agg(F.min("label").alias("label")).checkpoint()
         frontier = hit.select("seq", "label", F.lit(True).alias("spreads"))
     empty = causes.select("seq", F.lit(0).alias("label")).limit(0)
     return (found if found is not None else empty).select(F.col("seq").alias("record"), "label")
 
 
-def apply_transitions(actions: Column) -> Column:
+def apply_transitions(actions: Column, start: str = "active") -> Column:
     """The state after folding an ordered array of actions, impossible ones ignored."""
     step = lambda state, a: F.coalesce(*(F.when((a == action) & (state == old), F.lit(new)) for action, old, new in TRANSITIONS), state)
-    return F.aggregate(actions, F.lit("active"), step)
-
-
-def states(events: DataFrame) -> DataFrame:
-    """(record, state): every record's events folded in order."""
-    rows = events.groupBy("record").agg(F.array_sort(F.collect_list(F.struct("seq", "action"))).alias("e"))
-    rows = rows.select("record", F.transform("e", lambda e: e["action"]).alias("actions"))
-    return rows.select("record", apply_transitions(F.col("actions")).alias("state"))
+    return F.aggregate(actions, F.lit(start), step)
+
+
+def states(events: DataFrame, span: int = 4096) -> DataFrame:
+    """(record, state): every record's events folded in order. Each stretch of `span` sequence numbers is folded first, from
+    every state that a record may be in; so no group holds more of a record's events than that, nor one stretch a row."""
+    rows = events.groupBy("record", F.floor(F.col("seq") / span).alias("part")).agg(F.array_sort(F.collect_list(F.struct("seq", "action"))).alias("e"))
+    rows = rows.select("record", "part", F.transform("e", lambda e: e["action"]).alias("actions"))
+    known = F.map_from_arrays(F.array(*map(F.lit, LIFECYCLES)), F.array(*(apply_transitions(F.col("actions"), s) for s in LIFECYCLES)))
+    rows = rows.select("record", "part", known.alias("to")).groupBy("record").agg(F.array_sort(F.collect_list(F.struct("part", F.map_entries("to").alias("to")))).alias("parts"))
+    step = lambda state, p: F.element_at(F.map_from_entries(p["to"]), state)
+    return rows.select("record", F.aggregate("parts", F.lit("active"), step).alias("state"))
 
 
 def unapplied(ledger: DataFrame, applied: DataFrame) -> DataFrame:
