@@ -11,38 +11,46 @@ from .common import table
 
 
 def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page. Null or empty html: empty text; null url: compared with no page; repeated rows: a row each; empty table: none."""
     return html_extract.extract(table(spark, sf_dir, "pages"))
 
 
 def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of vectors of one label at cosine 0.98. Null, zero or non-finite vectors and null labels link with nothing; repeated rows are copies; empty table: none."""
     return nn_descent.similar_vectors(table(spark, sf_dir, "embeddings"), threshold=0.98)
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every whole text. Null text or none with a letter: und and 0; repeated rows are predicted each; empty table: none."""
     return language_id.identify(table(spark, sf_dir, "documents"))
 
 
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of documents at a Jaccard of 0.9 over three-word shingles. Null or blank text links with nothing; repeated rows are one node and a row each; empty table: none."""
     return ngram_join.similar_groups(table(spark, sf_dir, "documents"), k=3, num=9, den=10)
 
 
 def op5_merge_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every whole text at a dropout of 0.1. Null or empty text: no ids; repeated rows: a row each; empty table: none."""
     import public_tokenizers
 
     return merge_dropout.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), rate=0.1, seed=2024)
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's ids in windows of 2048. Null or empty text: the end id alone; repeated rows are packed each; empty table: none."""
     import public_tokenizers
 
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of 50 words or more that other documents have. Short and null texts have none; repeated rows count as copies; empty table: none."""
     return passages.repeated_passages(table(spark, sf_dir, "documents"), least_words=50)
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every whole text. Null or empty text is never flagged; rows with a null id or label are left out of the fit; empty table: none."""
     docs = table(spark, sf_dir, "documents")
     categories = {"low_quality": F.col("quality") == 0, "toxic": F.col("toxic") == 1}
     chain = toxicity.train(docs, table(spark, sf_dir, "labels"), categories)
@@ -50,10 +58,12 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every whole text. Null text: none; repeated rows are scanned each; columns named like working ones do no harm; empty table: none."""
     return secrets.secret_spans(table(spark, sf_dir, "documents"), repository=F.concat_ws("/", "source", "lang"), owner=F.col("source"))
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of equal texts, the largest doc_id stays. Null counts as empty; null ids count and are not kept; empty table: none."""
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"), keep="max")
 
 

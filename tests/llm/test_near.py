@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from memoria.llm import exact_dedup, ngram_join, nn_descent, passages
-from memoria.llm.common import Forest, components
+from memoria.llm.common import Forest, components, join_by_key
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -80,6 +80,23 @@ def test_ngram_join_of_odd_tables(spark):
     assert ngram_join.one_of_each(spark.createDataFrame([(1, "a b c d e f"), (2, "a b c d e f"), (3, None)], "doc_id long, text string")).count() == 2
 
 
+def test_one_of_each_drops_rows_not_ids(spark):
+    near = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, near, "a"), (4, near + " more", "b"), (4, "another text under the same id " * 3, "c"), (None, near + " end", "d"), (None, "alone with a null id and more words", "e")]
+    rows += [(7, "the same row twice and some words", "f")] * 2 + [(8, "", "g"), (8, "", "g"), (9, None, "h")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, node string")
+    out = ngram_join.one_of_each(docs)
+    assert out.columns == docs.columns
+    assert sorted(r.node for r in out.collect()) == ["a", "c", "e", "f", "g", "g", "h"]
+
+
+def test_common_keys_meet_a_broadcast(spark):
+    rows = spark.range(5000).select(F.when(F.col("id") < 4000, 7).otherwise(F.col("id")).alias("k"), "id")
+    table = rows.groupBy("k").agg(F.count("*").alias("n"))
+    out = join_by_key(rows, table, "k", "n", often=100)
+    assert out.count() == 5000 and out.where("k = 7 and n = 4000").count() == 4000
+
+
 def test_exact_groups(spark):
     rows = [(1, "a"), (2, "a"), (3, "A"), (4, None), (5, ""), (None, "a"), (7, "é"), (7, "é"), (None, "n")]
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("sha", F.lit(1)).repartition(4)

@@ -163,6 +163,26 @@ def test_agendas_side_by_side_give_what_one_by_one_gives():
         assert row[stays].tolist() == bpe._alone(x, key).tolist()
 
 
+def test_ids_are_the_librarys(spark):
+    from tokenizers import Tokenizer
+
+    from memoria.llm.tokens import ByteBpe
+
+    bpe, tok = ByteBpe(BPE, public_tokenizers.PATTERN), Tokenizer.from_file(BPE)
+    assert bpe.ranked is not None
+    rng = random.Random(1)
+    texts = [t or "" for t in ODD] + [" " * 5000 + "x", "\n \t" * 700, "".join(chr(rng.choice([rng.randrange(32, 0x250), rng.randrange(0x2000, 0x2100), 0x1F600])) for _ in range(3000))]
+    for t in texts:
+        assert bpe.ids(t) == np.array(tok.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
+
+
+def test_empty_tables(spark):
+    docs = odd(spark).limit(0)
+    assert merge_dropout.encode(docs, PIECES).count() == 0
+    assert toxicity.score(docs, None, ["toxic"]).count() == 0
+    assert language_id.keep_identified(docs.withColumn("lang", F.lit("en"))).count() == 0
+
+
 def test_packing(spark):
     from tokenizers import Tokenizer
 
