@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import exact_dedup, html_extract, language_id, merge_dropout, ngram_join, nn_descent, packing, passages, secrets, toxicity
+from . import exact_dedup, html_extract, language_id, merge_dropout, ngram_join, nn_descent, packing, passages, periodic_runs, secrets, toxicity
 from .common import table
 
 
@@ -67,6 +67,11 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"), keep="max")
 
 
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of words of every whole text. Null, empty or blank text: no words and no runs; a null id leaves the words as they are; repeated rows: a row each; empty table: none."""
+    return periodic_runs.periodic_runs(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_extraction": op1_html_extraction,
     "op2_embedding_near_dedup": op2_embedding_near_dedup,
@@ -78,8 +83,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_secret_scan": op9_secret_scan,
     "op10_exact_dedup": op10_exact_dedup,
+    "op12_periodic_runs": op12_periodic_runs,
 }
 
+
 def _any_case(words: str) -> str:
     return "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in words)
 
