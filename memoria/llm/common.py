@@ -8,6 +8,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 U64 = np.uint64
@@ -58,6 +59,31 @@ def unstash(*tables: DataFrame) -> None:
             hadoop.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+def in_turns(batches: Iterable[pa.RecordBatch], column: int, most: int) -> Iterator[pa.RecordBatch]:
+    """The rows of a partition again, in batches whose texts in that column have about `most` bytes in all; a longer
+    text comes alone. So what a task holds follows the bytes, not the number of rows."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        # 16 bytes for the row itself, so that rows without text are counted as well.
+        n = pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 16
+        at = 0
+        while at < batch.num_rows:
+            fit = int(np.searchsorted(np.cumsum(n[at:]), most - size, "right"))
+            if fit:
+                held.append(batch.slice(at, fit))
+                size += int(n[at : at + fit].sum())
+                at += fit
+            elif held:
+                yield pa.concat_batches(held)
+                held, size = [], 0
+            else:
+                yield batch.slice(at, 1)
+                at += 1
+    if held:
+        yield pa.concat_batches(held)
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Column names that the table does not have yet, so that extra columns never clash with working ones."""
     taken = {c.lower() for c in df.columns}

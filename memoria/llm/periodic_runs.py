@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import U64, mix, word_spans
+from .common import U64, in_turns, mix, word_spans
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _PIECE = 1 << 20
@@ -229,16 +229,10 @@ def periodic_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         types = [pa.int64()] * 5 + [pa.string()] * 2
-        for batch in batches:
-            size = pa.compute.fill_null(pa.compute.binary_length(batch.column(2)), 0).to_numpy(zero_copy_only=False)
-            at = 0
-            while at < batch.num_rows:
-                end = max(at + 1, at + int(np.searchsorted(np.cumsum(size[at:]), turn_bytes, "right")))
-                part = batch.slice(at, end - at)
-                made = described(list(zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True)), least, times)
-                cols = [pa.array(c, t) for c, t in zip(zip(*made, strict=True), types, strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column(0), *cols], names=["doc_key", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256"])
-                at = end
+        for part in in_turns(batches, 2, turn_bytes):
+            made = described(list(zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True)), least, times)
+            cols = [pa.array(c, t) for c, t in zip(zip(*made, strict=True), types, strict=True)]
+            yield pa.RecordBatch.from_arrays([part.column(0), *cols], names=["doc_key", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256"])
 
     rows = docs.select(F.col(id_col).alias("doc_key"), F.col(id_col).cast("string").alias("shown"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(work, columns).withColumnRenamed("doc_key", id_col)

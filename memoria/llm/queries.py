@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import exact_dedup, html_extract, language_id, merge_dropout, ngram_join, nn_descent, packing, passages, periodic_runs, secrets, toxicity
+from . import alignment, exact_dedup, html_extract, language_id, merge_dropout, ngram_join, nn_descent, packing, passages, periodic_runs, secrets, toxicity
 from .common import table
 
 
@@ -72,6 +72,13 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs.periodic_runs(table(spark, sf_dir, "documents"))
 
 
+def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two tokenizers' tokens of every whole text linked by bytes. Null or empty text, or tokens with other bytes: zeros; repeated rows count and get a row each; empty table: none."""
+    import public_tokenizers as known
+
+    return alignment.align(table(spark, sf_dir, "documents"), known.path("byte_bpe_50k.json"), known.PATTERN, known.path("piece_bpe_32k.model"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_extraction": op1_html_extraction,
     "op2_embedding_near_dedup": op2_embedding_near_dedup,
@@ -84,6 +91,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_secret_scan": op9_secret_scan,
     "op10_exact_dedup": op10_exact_dedup,
     "op12_periodic_runs": op12_periodic_runs,
+    "op13_tokenizer_alignment": op13_tokenizer_alignment,
 }
 
 

@@ -38,6 +38,12 @@ class ByteBpe:
         made = [model["vocab"].get("".join(m.split(" ") if isinstance(m, str) else m), -1) for m in model["merges"]]
         byte_of = {c: b for b, c in enumerate(_byte_chars())}
         plain = {p: i for p, i in model["vocab"].items() if p not in self.special}
+        self.pieces = [b""] * (max(model["vocab"].values(), default=-1) + 1)
+        for p, i in model["vocab"].items():
+            self.pieces[i] = bytes(byte_of[c] for c in p) if all(c in byte_of for c in p) else p.encode()
+        self.size = len(self.pieces)
+        self.lengths = np.array([len(p) for p in self.pieces], np.int64)
+        self.plain_tok: Tokenizer | None = None
         self.ranked = None
         if all(x < y for x, y in zip(made, made[1:], strict=False)) and all(c in byte_of for p in plain for c in p):
             ranks = {bytes(byte_of[c] for c in p): i for p, i in plain.items()}
@@ -52,7 +58,39 @@ class ByteBpe:
         return np.array(found, "<u4").tobytes()
 
 
+    def plain_ids(self, texts: list[str]) -> list[list[int]]:
+        """Ids of whole texts, in which a special token's string is plain text."""
+        if self.plain_tok is None:
+            self.plain_tok = type(self.tok).from_str(self.tok.to_str())
+            self.plain_tok.encode_special_tokens = True
+        slow = [self.ranked is None or bool(_LONG_GAP.search(t)) for t in texts]
+        return [self.plain_tok.encode(t, add_special_tokens=False).ids if s else self.ranked.encode_ordinary(t) for t, s in zip(texts, slow, strict=True)]
+
+    def text(self, ids: list[int]) -> bytes:
+        return b"".join(map(self.pieces.__getitem__, ids))
+
+
+class PieceBpe:
+    """Ids and bytes of a sentencepiece model."""
+
+    def __init__(self, path: str) -> None:
+        from sentencepiece import SentencePieceProcessor
+
+        self.model = SentencePieceProcessor(model_file=path)
+        self.size = self.model.vocab_size()
+        shown = [self.model.id_to_piece(i) for i in range(self.size)]
+        self.pieces = [bytes([int(p[3:5], 16)]) if self.model.is_byte(i) else p.replace("\u2581", " ").encode() for i, p in enumerate(shown)]
+        self.lengths = np.array([len(p) for p in self.pieces], np.int64)
+
+    def ids(self, texts: list[str]) -> list[list[int]]:
+        return self.model.encode(texts, num_threads=1)
+
+    def text(self, ids: list[int]) -> bytes:
+        return b"".join(map(self.pieces.__getitem__, ids))
+
+
 _loaded: dict[tuple[str, str], ByteBpe] = {}
+_models: dict[str, PieceBpe] = {}
 
 
 def byte_bpe(path: str, pattern: str) -> ByteBpe:
@@ -60,3 +98,9 @@ def byte_bpe(path: str, pattern: str) -> ByteBpe:
     if (path, pattern) not in _loaded:
         _loaded[path, pattern] = ByteBpe(path, pattern)
     return _loaded[path, pattern]
+
+
+def piece_bpe(path: str) -> PieceBpe:
+    if path not in _models:
+        _models[path] = PieceBpe(path)
+    return _models[path]

@@ -6,10 +6,11 @@ import re
 import zlib
 
 import numpy as np
+import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from memoria.llm import periodic_runs
+from memoria.llm import alignment, periodic_runs
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
 
@@ -82,3 +83,61 @@ def test_periodic_runs(spark):
     assert long[126][1:6] == (1, 1, 7, 1, 7000)
     assert (long[124][1], long[124][4]) == (1, 1) or zlib.crc32(b"124") % 10 == 0
     assert periodic_runs.periodic_runs(docs.limit(0)).count() == 0
+
+
+def alignment_by_loops(rows):
+    """The contract word by word: every pair of tokens of a text is compared."""
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    a_tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    a_tok.encode_special_tokens = True
+    b_tok = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    level = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    byte_of = {chr(b): b for b in level} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in level)}
+    held, made = {}, []
+    for doc, text in rows:
+        a = a_tok.encode(" " + (text or ""), add_special_tokens=False).ids if text else []
+        b = b_tok.encode(text) if text else []
+        a_bytes = [bytes(byte_of[c] for c in a_tok.id_to_token(i)) for i in a]
+        b_bytes = [bytes([int(p[3:5], 16)]) if re.fullmatch("<0x..>", p) else p.replace("\u2581", " ").encode() for p in map(b_tok.id_to_piece, b)]
+        if not text or not b"".join(a_bytes) == b"".join(b_bytes) == (" " + text).encode():
+            made.append((doc, 0, 0, [], [], ""))
+            continue
+        spans = []
+        for parts in (a_bytes, b_bytes):
+            at = np.cumsum([len(p) for p in parts]).tolist()
+            spans.append(list(zip([0, *at[:-1]], at, strict=True)))
+        links = [(x, y) for x, (s, e) in zip(a, spans[0], strict=True) for y, (t, f) in zip(b, spans[1], strict=True) if s < f and t < e]
+        cuts = sorted({e for _, e in spans[0]} & {e for _, e in spans[1]})
+        groups = []
+        for low, high in zip([0, *cuts], cuts, strict=False):
+            groups.append("|".join(",".join(str(i) for i, (s, e) in zip(ids, where, strict=True) if low <= s and e <= high) for ids, where in ((a, spans[0]), (b, spans[1]))))
+        for pair in set(links):
+            held[pair] = held.get(pair, 0) + 1
+        made.append((doc, len(a), len(b), groups, links, hashlib.sha256(";".join(groups).encode()).hexdigest()))
+    most = {}
+    for (x, _), n in held.items():
+        most[x] = max(most.get(x, 0), n)
+    return [(doc, na, nb, len(g), len(ls), sum(held[p] == most[p[0]] for p in ls), sum(held[p] for p in ls), sha) for doc, na, nb, g, ls, sha in made]
+
+
+ALIGNED = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]
+
+
+def test_alignment(spark):
+    texts = [None, "", "a", " ", "Hello <|endoftext|> world <s> x", "\u2581 is no space", "é　b 😀 ñandú", "x\x00y", " " * 1500 + "end", "tab\tand\r\nlines  two", "abc " * 300]
+    rows = [(i, t, "x") for i, t in enumerate(texts)] + [(3, texts[3], "y"), (None, "no id", "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, turn string")
+    for turn in (40, 4_000_000):
+        got = alignment.align(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, public_tokenizers.path("piece_bpe_32k.model"), turn_bytes=turn)
+        assert sorted(map(tuple, got.select("doc_id", *ALIGNED).collect()), key=repr) == sorted(alignment_by_loops([r[:2] for r in rows]), key=repr)
+    assert got.where("n_a = 0").count() >= 3
+    empty = alignment.align(docs.limit(0), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, public_tokenizers.path("piece_bpe_32k.model"))
+    assert empty.count() == 0
+
+
+def test_alignment_of_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("length(text) < 2500")
+    got = alignment.align(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, public_tokenizers.path("piece_bpe_32k.model"), turn_bytes=20_000)
+    assert sorted(map(tuple, got.select("doc_id", *ALIGNED).collect()), key=repr) == sorted(alignment_by_loops([tuple(r) for r in docs.select("doc_id", "text").collect()]), key=repr)
