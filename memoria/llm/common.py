@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import itertools
 import tempfile
 import uuid
+from collections import defaultdict
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -40,12 +42,12 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 1000)
 
 
-def stash(df: DataFrame) -> DataFrame:
+def stash(df: DataFrame, compression: str = "snappy") -> DataFrame:
     """Write a table to the shared folder and read it again: cuts the lineage, survives a lost executor and fixes
     values that a second computation could number differently."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/stash-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -130,6 +132,11 @@ def word_spans(data: bytes, gap: np.ndarray = _GAP) -> tuple[np.ndarray, np.ndar
     return raw, np.flatnonzero(turn == 1), np.flatnonzero(turn == -1)
 
 
+def numbered() -> defaultdict[bytes, int]:
+    """Numbers words in the order in which they are first asked for."""
+    return defaultdict(itertools.count().__next__)
+
+
 def word_hashes(data: bytes) -> np.ndarray:
     return word_hashes_by(data, _GAP)
 

@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import U64, in_turns, mix, word_spans
+from .common import U64, in_turns, mix, numbered, word_spans
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _PIECE = 1 << 20
@@ -165,7 +165,7 @@ class _Text:
     def __init__(self, key: str | None, text: str | None, intern: dict[bytes, int]) -> None:
         self.data = (text or "").encode("utf-8", "surrogatepass")
         # bytes.split() splits at just the gaps of the contract.
-        parts = [np.fromiter((intern.setdefault(w, len(intern)) for w in piece.split()), np.int32) for piece in _slices(self.data)]
+        parts = [np.fromiter(map(intern.__getitem__, piece.split()), np.int32) for piece in _slices(self.data)]
         self.ids = np.concatenate(parts) if parts else np.zeros(0, np.int32)
         self.order: np.ndarray | None = None
         n = len(self.ids)
@@ -207,7 +207,7 @@ def _described(text: _Text, runs: np.ndarray) -> tuple:
 
 def described(rows: list[tuple[str | None, str | None]], least: int = 6, times: int = 4) -> list[tuple]:
     """(n_runs, start, length, period, exponent_milli, runs_sha256, collapsed_sha256) of each (id as text, text)."""
-    intern: dict[bytes, int] = {}
+    intern = numbered()
     texts = [_Text(key, text, intern) for key, text in rows]
     ends = np.cumsum([len(t.ids) for t in texts])
     runs = find_runs(np.concatenate([t.ids for t in texts]), ends, least, times)

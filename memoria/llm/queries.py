@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import alignment, exact_dedup, html_extract, language_id, merge_dropout, ngram_join, nn_descent, packing, passages, periodic_runs, secrets, toxicity
+from . import alignment, context_mixing, exact_dedup, html_extract, language_id, merge_dropout, ngram_join, nn_descent, packing, passages, periodic_runs, secrets, toxicity
 from .common import table
 
 
@@ -67,6 +67,11 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"), keep="max")
 
 
+def op11_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probability of every whole text. Null or empty text: its end alone; a null id is not held out; repeated rows count and are scored each; empty table: none."""
+    return context_mixing.score(table(spark, sf_dir, "documents"))
+
+
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Periodic runs of words of every whole text. Null, empty or blank text: no words and no runs; a null id leaves the words as they are; repeated rows: a row each; empty table: none."""
     return periodic_runs.periodic_runs(table(spark, sf_dir, "documents"))
@@ -90,6 +95,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_secret_scan": op9_secret_scan,
     "op10_exact_dedup": op10_exact_dedup,
+    "op11_context_mixing": op11_context_mixing,
     "op12_periodic_runs": op12_periodic_runs,
     "op13_tokenizer_alignment": op13_tokenizer_alignment,
 }

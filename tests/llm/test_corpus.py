@@ -10,7 +10,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from memoria.llm import alignment, periodic_runs
+from memoria.llm import alignment, context_mixing, periodic_runs
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
 
@@ -141,3 +141,99 @@ def test_alignment_of_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("length(text) < 2500")
     got = alignment.align(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, public_tokenizers.path("piece_bpe_32k.model"), turn_bytes=20_000)
     assert sorted(map(tuple, got.select("doc_id", *ALIGNED).collect()), key=repr) == sorted(alignment_by_loops([tuple(r) for r in docs.select("doc_id", "text").collect()]), key=repr)
+
+
+def lower(text):
+    return (text or "").encode().translate(bytes(b + 32 if 65 <= b <= 90 else b for b in range(256)))
+
+
+def counted_by_loops(raws, depth):
+    """Counts by context and symbol, one place at a time."""
+    found = {}
+    for raw in raws:
+        padded = b"\xff" * depth + raw + b"\xff"
+        for i in range(depth, len(padded)):
+            for k in range(depth + 1):
+                context = sum(padded[i - 1 - j] << (8 * j) for j in range(k))
+                key = int(context_key(k, context, depth))
+                found.setdefault(key, {}).setdefault(padded[i], 0)
+                found[key][padded[i]] += 1
+    return found
+
+
+def context_key(order, context, depth):
+    return context_mixing.context_key(order, np.array([context], np.int64), depth)[0]
+
+
+def counts_of(found):
+    keys = np.array(list(found), np.int64)
+    after = [sorted(v.items()) for v in found.values()]
+    return context_mixing.Counts(keys, np.array([len(a) for a in after], np.int64), np.array([s for a in after for s, _ in a], np.int64), np.array([n for a in after for _, n in a], np.int64))
+
+
+def test_bit_counts_equal_loops():
+    raws = [b"banana band", b"", b"bandana"]
+    found = counted_by_loops(raws, 2)
+    counts = counts_of(found)
+    keys = [*found, 12345]
+    symbols = [97, 98, 110, 255, 32]
+    pairs = [(k, s) for k in keys for s in symbols]
+    for bit, (zeros, ones) in enumerate(counts.bits(np.array([k for k, _ in pairs]), np.array([s for _, s in pairs]))):
+        for (k, s), n0, n1 in zip(pairs, zeros.tolist(), ones.tolist(), strict=True):
+            under = [(t, n) for t, n in found.get(k, {}).items() if bit == 0 or t >> (8 - bit) == s >> (8 - bit)]
+            want = [sum(n for t, n in under if t >> (7 - bit) & 1 == v) for v in (0, 1)]
+            assert [n0, n1] == want
+
+
+def test_probabilities_of_all_symbols_sum_to_one():
+    raws = [b"banana band " * 20, b"bandana"]
+    depth = 2
+    counts = counts_of(counted_by_loops(raws, depth))
+    mixer = context_mixing.fit(raws, counts, depth)
+    for context in (b"an", b"zz", b"\xff\xff"):
+        windows = np.array([(context[0] << 16) | (context[1] << 8) | s for s in range(256)], np.int64)
+        assert abs((10 ** context_mixing.log10_probability(windows, counts, mixer, depth)).sum() - 1) < 1e-9
+
+
+def test_fit_beats_equal_weights():
+    docs = [lower(r) for r in open(__file__, encoding="utf-8").read().split("\n\n\n")]
+    train, rest = docs[::2], docs[1::2]
+    counts = counts_of(counted_by_loops(train, 4))
+    windows, codes, _ = context_mixing.windows_of(rest, 4)
+    cost = [-context_mixing.log10_probability(windows, counts, m, 4)[codes].sum() / np.log10(2) / len(codes) for m in (context_mixing.fit(train, counts, 4), context_mixing.Mixer.new(4))]
+    assert cost[0] < cost[1] < 6
+
+
+def test_context_mixing(spark):
+    rng = random.Random(9)
+    texts = [" ".join(rng.choice(["the", "The", "cat", "sat", "é　x", "onthe"]) for _ in range(rng.randint(0, 40))) for _ in range(90)] + [None, "", " \t", "\xff", "x" * 50_000]
+    rows = [(i, t, 1) for i, t in enumerate(texts)] + [(None, "the end", 2), (5, texts[5], 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, score int")
+    found = []
+    for turn in (1_000, 16_000_000):
+        got = context_mixing.score(docs, depth=3, turn_bytes=turn).orderBy("doc_id", "n_tokens", "score").collect()
+        found.append(got)
+    for a, b in zip(*found, strict=True):
+        assert a[:5] == b[:5] and abs(a.base_score - b.base_score) < 1e-9 and abs(a.score - b.score) < 1e-6 * (1 + abs(b.score))
+    held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
+    count = {}
+    for i, t, _ in rows:
+        if not held(i):
+            for w in [*lower(t).split(), None]:
+                count[w] = count.get(w, 0) + 1
+    n, v = sum(count.values()), len(count)
+    want = []
+    for i, t, _ in rows:
+        tokens = [*lower(t).split(), None]
+        want.append((i, held(i), len(tokens), sum(w in count for w in tokens), n, round(sum(np.log10((count.get(w, 0) + 1) / (n + v + 1)) for w in tokens), 6)))
+    assert sorted(want, key=repr) == sorted(((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in found[0]), key=repr)
+    # Model scores as a direct computation over all places gives them.
+    counts = counts_of(counted_by_loops([lower(t) for i, t, _ in rows if not held(i)], 3))
+    few = sorted((r for r in found[1] if r.doc_id is not None and r.n_bytes < 1000), key=lambda r: r.doc_id)
+    assert all(r.score < 0 for r in few) and counts.sum[-1] == 4 * sum(len(lower(t)) + 1 for i, t, _ in rows if not held(i))
+    by_id = {r.doc_id: r for r in few}
+    assert by_id[90].score == by_id[91].score and by_id[90].n_tokens == 1
+    assert sum(r.bits_per_byte for r in few if r.n_bytes > 60) / sum(r.n_bytes > 60 for r in few) < 2
+    assert context_mixing.score(docs.limit(0)).count() == 0
+    only_held = docs.where(F.crc32(F.col("doc_id").cast("string")) % 7 == 2)
+    assert {r.train_tokens for r in context_mixing.score(only_held, depth=3).collect()} == {0}
