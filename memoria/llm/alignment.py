@@ -72,7 +72,7 @@ def _groups_text(a: np.ndarray, b: np.ndarray, last_a: np.ndarray, last_b: np.nd
     # A group's A tokens come after all earlier groups' B tokens, its B tokens after its A tokens.
     place_a = np.arange(len(a)) + np.concatenate([np.zeros(1, np.int64), last_b + 1])[group_a]
     place_b = np.arange(len(b)) + (last_a + 1)[group_b]
-    ids, sign = np.zeros(len(a) + len(b), np.int64), np.full(len(a) + len(b), ord(","), np.uint8)
+    ids, sign = np.zeros(len(a) + len(b), np.int32), np.full(len(a) + len(b), ord(","), np.uint8)
     ids[place_a], ids[place_b] = a, b
     sign[place_a[last_a]] = ord("|")
     sign[place_b[last_b]] = ord(";")
@@ -87,13 +87,14 @@ def aligned(texts: list[str | None], a_bpe, b_bpe) -> tuple[pd.DataFrame, np.nda
     ids_a: list[np.ndarray] = []
     ids_b: list[np.ndarray] = []
     taken = []
-    spaced = [f" {t}" for t in texts if t]
-    for k, text, a, b in zip([k for k, t in enumerate(texts) if t], spaced, a_bpe.plain_ids(spaced), b_bpe.ids([t[1:] for t in spaced]), strict=True):
-        raw = text.encode("utf-8", "surrogatepass")
-        if a_bpe.text(a) == raw == b_bpe.text(b):
-            ids_a.append(np.array(a, np.int64))
-            ids_b.append(np.array(b, np.int64))
-            taken.append(k)
+    for k, text in enumerate(texts):
+        if text:
+            # One text at a time: lists of ids take many times the room of the arrays.
+            a, b = a_bpe.plain_ids(f" {text}"), b_bpe.ids(text)
+            if a_bpe.text(a) == f" {text}".encode("utf-8", "surrogatepass") == b_bpe.text(b):
+                ids_a.append(np.array(a, np.int32))
+                ids_b.append(np.array(b, np.int32))
+                taken.append(k)
     made = pd.DataFrame(0, index=range(len(texts)), columns=list(_NUMBERS))
     made["groups_sha256"] = ""
     if not taken:
@@ -118,7 +119,7 @@ def aligned(texts: list[str | None], a_bpe, b_bpe) -> tuple[pd.DataFrame, np.nda
     return made, text_of, np.repeat(a, n), b[np.arange(int(n.sum())) + np.repeat(first - np.cumsum(n) + n, n)]
 
 
-def align(docs: DataFrame, a_file: str, a_pattern: str, b_file: str, id_col: str = "doc_id", text_col: str = "text", turn_bytes: int = 4_000_000) -> DataFrame:
+def align(docs: DataFrame, a_file: str, a_pattern: str, b_file: str, id_col: str = "doc_id", text_col: str = "text", turn_bytes: int = 2_000_000) -> DataFrame:
     """Tokens of two tokenizers linked where their bytes overlap; one row per document.
 
     a_file: a byte-level BPE file of the `tokenizers` library with its pre-token pattern, which encodes a space and the
@@ -142,7 +143,7 @@ def align(docs: DataFrame, a_file: str, a_pattern: str, b_file: str, id_col: str
         packer = zstandard.ZstdCompressor(level=1)
         for k, rows in enumerate(in_turns(batches, 1, turn_bytes)):
             made, text, a, b = aligned(rows.column(1).to_pylist(), a_bpe, b_bpe)
-            place, pairs = pd.factorize(a * b_bpe.size + b)
+            place, pairs = pd.factorize(a.astype(np.int64) * b_bpe.size + b)
             # Distinct pairs of each text, and how often the text has them.
             held, keys = pd.factorize(text * max(len(pairs), 1) + place)
             often = np.bincount(held, minlength=len(keys))

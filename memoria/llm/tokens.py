@@ -58,13 +58,14 @@ class ByteBpe:
         return np.array(found, "<u4").tobytes()
 
 
-    def plain_ids(self, texts: list[str]) -> list[list[int]]:
-        """Ids of whole texts, in which a special token's string is plain text."""
+    def plain_ids(self, text: str) -> list[int]:
+        """Ids of a whole text, in which a special token's string is plain text."""
+        if self.ranked is not None and not _LONG_GAP.search(text):
+            return self.ranked.encode_ordinary(text)
         if self.plain_tok is None:
             self.plain_tok = type(self.tok).from_str(self.tok.to_str())
             self.plain_tok.encode_special_tokens = True
-        slow = [self.ranked is None or bool(_LONG_GAP.search(t)) for t in texts]
-        return [self.plain_tok.encode(t, add_special_tokens=False).ids if s else self.ranked.encode_ordinary(t) for t, s in zip(texts, slow, strict=True)]
+        return self.plain_tok.encode(text, add_special_tokens=False).ids
 
     def text(self, ids: list[int]) -> bytes:
         return b"".join(map(self.pieces.__getitem__, ids))
@@ -82,8 +83,8 @@ class PieceBpe:
         self.pieces = [bytes([int(p[3:5], 16)]) if self.model.is_byte(i) else p.replace("\u2581", " ").encode() for i, p in enumerate(shown)]
         self.lengths = np.array([len(p) for p in self.pieces], np.int64)
 
-    def ids(self, texts: list[str]) -> list[list[int]]:
-        return self.model.encode(texts, num_threads=1)
+    def ids(self, text: str) -> list[int]:
+        return self.model.encode(text)
 
     def text(self, ids: list[int]) -> bytes:
         return b"".join(map(self.pieces.__getitem__, ids))
