@@ -77,9 +77,10 @@ def phrases_contained(text: Column, phrases: Column) -> Column:
 
 
 def restatable(body: Column, least: int = 40) -> Column:
-    """The whole body and its sentences that are long enough to be recognised elsewhere."""
-    echo = normalise_echo(body)
-    return F.array_distinct(F.filter(F.concat(F.array(echo), F.transform(F.split(echo, r"[.!?] "), F.trim)), lambda p: F.length(p) >= least))
+    """The whole body and its lines and sentences, in the form of normalise_echo, that are long enough to be recognised
+    elsewhere."""
+    parts = F.split(F.regexp_replace(body, r"([.!?])\s+", "$1\n"), r"\n+")
+    return F.array_distinct(F.filter(F.transform(F.concat(F.array(body), parts), normalise_echo), lambda p: F.length(p) >= least))
 
 
 def restates(text: Column, pieces: Column) -> Column:
@@ -191,3 +192,25 @@ def split_text(text: pd.Series) -> pd.Series:
         return out + ["".join(now)] if now and size else out
 
     return text.map(lambda t: None if t is None else pieces(t))
+
+
+def bounded_passage(text: Column, most: int) -> tuple[Column, Column]:
+    """A text's head and tail within so many UTF-8 bytes, three quarters and the rest, with a mark between that says how
+    many bytes are left out; and that number. No character is cut. Shorter texts stay as they are, null stays null."""
+    raw = text.cast("binary")
+    size = F.octet_length(text)
+    head_most = most * 3 // 4
+    byte = lambda at: F.conv(F.hex(F.substring(raw, at, F.lit(1))), 16, 10).cast("int")
+    # A character starts at any byte that does not continue one (0x80 to 0xBF); one has four bytes at most.
+    starts = lambda at: ~byte(at).between(128, 191)
+    head = F.lit(head_most - 3)
+    for k in (2, 1, 0):
+        head = F.when(starts(F.lit(head_most - k + 1)), F.lit(head_most - k)).otherwise(head)
+    first = size - (most - head_most) + 1
+    tail = first + 3
+    for k in (2, 1, 0):
+        tail = F.when(starts(first + k) | (first + k > size), first + k).otherwise(tail)
+    left_out = tail - 1 - head
+    part = lambda low, n: F.decode(F.substring(raw, low, n), "UTF-8")
+    made = F.concat(part(F.lit(1), head), F.lit("\n[… "), F.format_number(left_out, 0), F.lit(" bytes omitted …]\n"), part(tail, size - tail + 1))
+    return F.when(size <= most, text).otherwise(made), F.when(size <= most, 0).otherwise(left_out).cast("long")

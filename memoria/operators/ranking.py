@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions import text
+from ..functions import stemming, text
 
 K1, B = 1.2, 0.75
 RELEVANT, CLOSE, BAND = 0.5, 0.9, 0.9
@@ -18,6 +18,11 @@ def postings(chunks: DataFrame, id_col: str = "seq", body: str = "body") -> Data
     return chunks.select(F.col(id_col).alias("id"), F.explode(text.tokens(F.col(body))).alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"))
 
 
+def stem_postings(index: DataFrame, stems: DataFrame) -> DataFrame:
+    """The postings by stem, counts of terms with one stem added up within each id. Lengths stay as they are."""
+    return stemming.stemmed(index, stems).groupBy("id", "term").agg(F.sum("tf").alias("tf"))
+
+
 def lengths(index: DataFrame) -> DataFrame:
     return index.groupBy("id").agg(F.sum("tf").alias("dl"))
 

@@ -165,7 +165,7 @@ def reasons(flags: dict[str, Column]) -> Column:
 
 def version_key(version: Column) -> Column:
     """A version's numbers, so that arrays compare as versions do; a pre-release comes before its release."""
-    numbers = F.transform(F.split(F.regexp_extract(version, r"^(\d+\.\d+\.\d+)", 1), r"\."), lambda n: n.cast("int"))
+    numbers = F.transform(F.split(F.regexp_extract(version, r"^(\d+\.\d+\.\d+)", 1), r"\."), lambda n: n.try_cast("int"))
     return F.concat(numbers, F.array(F.when(version.contains("-"), 0).otherwise(1)))
 
 
