@@ -39,9 +39,9 @@ def conversation_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {_LINKED}, r AS (SELECT o_orderkey AS seq, o_custkey AS session, o_orderdate AS at FROM orders),
-  pairs AS (SELECT m.seq AS asked, o.seq, (o.at, o.seq) < (m.at, m.seq) AS before, o.at AS at, m.at AS mine FROM r m JOIN linked l ON l.session = m.session JOIN r o ON o.session = l.linked WHERE m.seq % 25 = 0 AND (o.at, o.seq) <> (m.at, m.seq)),
-  placed AS (SELECT asked, seq, CASE WHEN before THEN 'before' ELSE 'after' END AS side, row_number() OVER (PARTITION BY asked, before ORDER BY CASE WHEN before THEN at END DESC, CASE WHEN before THEN seq END DESC, at, seq) AS place FROM pairs)
+    f"""WITH {_LINKED}, r AS (SELECT o_orderkey AS seq, o_custkey AS session, o_orderdate AS day FROM orders),
+  pairs AS (SELECT m.seq AS asked, o.seq, (o.day, o.seq) < (m.day, m.seq) AS before, o.day FROM r m JOIN linked l ON l.session = m.session JOIN r o ON o.session = l.linked WHERE m.seq % 25 = 0 AND (o.day, o.seq) <> (m.day, m.seq)),
+  placed AS (SELECT asked, seq, CASE WHEN before THEN 'before' ELSE 'after' END AS side, row_number() OVER (PARTITION BY asked, before ORDER BY CASE WHEN before THEN day END DESC, CASE WHEN before THEN seq END DESC, day, seq) AS place FROM pairs)
   SELECT * FROM placed WHERE place <= 3"""
 )
 def session_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -176,8 +176,8 @@ def agent_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """WITH d AS (SELECT doc_id, text, encode(text) AS b, strlen(text) AS n FROM documents),
-  h AS (SELECT *, list_max(list_filter(range(297, 301), i -> ascii(text) IS NOT NULL AND strlen(text) > 400 AND (('0x' || substr(hex(b), 2 * i + 1, 2))::INT NOT BETWEEN 128 AND 191))) AS head,
-    list_min(list_filter(range(n - 100, n - 96), i -> ('0x' || substr(hex(b), 2 * i + 1, 2))::INT NOT BETWEEN 128 AND 191)) AS tail FROM d WHERE n > 400)
+  h AS (SELECT *, list_max(list_filter(range(297, 301), lambda i: (('0x' || substr(hex(b), 2 * i + 1, 2))::INT NOT BETWEEN 128 AND 191))) AS head,
+    list_min(list_filter(range(n - 100, n - 96), lambda i: ('0x' || substr(hex(b), 2 * i + 1, 2))::INT NOT BETWEEN 128 AND 191)) AS tail FROM d WHERE n > 400)
   SELECT doc_id, tail - head AS omitted, sha256(decode(unhex(substr(hex(b), 1, 2 * head))) || chr(10) || '[… ' || format('{:,}', tail - head) || ' bytes omitted …]' || chr(10) || decode(unhex(substr(hex(b), 2 * tail + 1)))) AS passage FROM h
   UNION ALL SELECT doc_id, 0, sha256(text) FROM d WHERE n <= 400"""
 )
@@ -188,8 +188,8 @@ def bounded_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    r"""WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS l, doc_id % 9 + 1 AS first FROM documents), s AS (SELECT *, len(l) AS n, len(list_filter(l, t -> NOT regexp_full_match(t, '[\t\x0b\f\r ]*'))) AS filled FROM d),
-  c AS (SELECT *, array_to_string(list_transform(l, t -> regexp_replace(t, '\r$', '')), chr(10)) AS cited FROM s)
+    r"""WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS l, doc_id % 9 + 1 AS first FROM documents), s AS (SELECT *, len(l) AS n, len(list_filter(l, lambda t: NOT regexp_full_match(t, '[\t\x0b\f\r ]*'))) AS filled FROM d),
+  c AS (SELECT *, array_to_string(list_transform(l, lambda t: regexp_replace(t, '\r$', '')), chr(10)) AS cited FROM s)
   SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'sha256:' || sha256(array_to_string(l, chr(10))) END AS observed_hash, CASE WHEN doc_id % 4 IN (1, 2) AND filled >= 3 THEN first END AS first_line,
     CASE WHEN doc_id % 4 IN (1, 2) AND filled >= 3 THEN first + n - 1 END AS last_line, CASE WHEN doc_id % 4 IN (1, 2) AND filled >= 3 THEN 'sha256:' || sha256(cited) END AS cited_hash FROM c"""
 )

@@ -24,7 +24,7 @@ def _slices(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
         F.lit("a").alias("host"), c.cast("string").alias("transcript"), F.lit(0).cast("long").alias("epoch"), F.lit(0).cast("long").alias("expected_epoch"), F.lit(None).cast("long").alias("stop_at"),
         F.when(c % 11 == 5, 2).otherwise(1).alias("candidates"), turn.alias("line_start"), F.lit("main").alias("branch"), F.concat(F.lit("e"), turn.cast("string")).alias("event_id"), kind.alias("type"),
         F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("content_hash"), F.when(k == 2, turn).when(k == 3, turn - 1).cast("string").alias("call_id"), F.when(k == 2, "Bash").alias("tool"),
-        F.when(k == 2, F.when(c % 3 == 0, "own").otherwise("other")).alias("tool_kind"), ~((c % 7 == 4) & (turn >= 4)).alias("in_scope"),
+        F.when(k == 2, F.when(c % 3 == 0, "own").otherwise("other")).alias("tool_kind"), (~((c % 7 == 4) & (turn >= 4))).alias("in_scope"),
     )
     end = rows.groupBy("transcript").agg((F.max("line_start") + 1).alias("slice_end"))
     first = rows.where("line_start < 3").withColumn("expected", F.lit(None).cast("long")).withColumn("slice_end", F.lit(3).cast("long"))
