@@ -48,6 +48,14 @@ def roots(nodes: DataFrame, parent: DataFrame, depth: int = DEPTH) -> DataFrame:
     return at
 
 
+def source_roots(found: DataFrame, events: DataFrame) -> DataFrame:
+    """Adds source to roots: what an independent root is known by. A root that was imported is the host's event, so copies
+    of one event count once, whichever record holds them; any other root is its record. events: record, host, event_id."""
+    event = events.where("host is not null and event_id is not null").groupBy(F.col("record").alias("root_of")).agg(F.min(F.struct("host", "event_id")).alias("e"))
+    rows = found.join(event, F.col("root") == F.col("root_of"), "left")
+    return rows.withColumn("source", F.when(F.col("e").isNotNull(), F.concat_ws("@", "e.event_id", "e.host")).otherwise(F.concat(F.lit("record "), F.col("root").cast("string")))).drop("e", "root_of")
+
+
 def taint_closure(causes: DataFrame, links: DataFrame, depth: int = DEPTH) -> DataFrame:
     """(record, label) of all that rests on wrong or outdated records, at most depth levels down; label 0 invalidated,
     1 quarantined, the stronger winning.

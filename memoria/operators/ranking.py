@@ -132,6 +132,63 @@ def vector_scan(queries: DataFrame, stored: DataFrame, block: int = 1000, part:
     return rows.groupBy("query_id", "record").agg(F.round(F.max("score"), 6).alias("score"), F.sum("chunks").alias("chunks"), F.sum("embedded").alias("embedded"))
 
 
+def vector_top(queries: DataFrame, stored: DataFrame, k: int, block: int = 1000, part: int = 20_000) -> DataFrame:
+    """(query_id, record, score, rank): of each query the k records with the best cosine of any of their chunks, ties by
+    the higher record. Input as for vector_scan; chunks without a vector are not compared.
+
+    Blocks of queries meet parts of the store, and each pair of them keeps only k records a query, so what is shuffled is
+    queries times parts times k. That loses nothing however a record's chunks are dealt out: a record that k others beat
+    in a part is beaten by them in the whole."""
+    blocks, parts = (-(-max(df.count(), 1) // size) for df, size in ((queries, block), (stored, part)))
+    spread = lambda df, own, other, n, m: df.withColumn(own, F.pmod(F.xxhash64(*df.columns), F.lit(n)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
+    q = spread(queries.select("query_id", F.col("q").cast("array<double>")), "block_", "part_", blocks, parts)
+    s = spread(stored.where("scale is not null").select("record", F.col("values").cast("array<double>"), F.col("scale").cast("double")), "part_", "block_", parts, blocks)
+
+    def best(asked: pa.Table, held: pa.Table) -> pa.Table:
+        found: list[tuple[np.ndarray, ...]] = []
+        if asked.num_rows and held.num_rows:
+            x = np.stack(asked.column("q").to_numpy(zero_copy_only=False))
+            record, at = np.unique(held.column("record").to_numpy(), return_inverse=True)
+            y = np.stack(held.column("values").to_numpy(zero_copy_only=False)) * held.column("scale").to_numpy()[:, None]
+            cos = np.full((len(record), len(x)), -np.inf)
+            np.maximum.at(cos, at, np.round(y @ x.T, 6))
+            for i, query in enumerate(asked.column("query_id").to_numpy()):
+                first = np.lexsort((-record, -cos[:, i]))[:k]
+                found.append((np.full(len(first), query), record[first], cos[first, i]))
+        columns = zip(*found, strict=True) if found else ([np.zeros(0)],) * 3
+        return pa.table([pa.array(np.concatenate(c)).cast(t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["query_id", "record", "score"])
+
+    rows = q.groupBy("block_", "part_").cogroup(s.groupBy("block_", "part_")).applyInArrow(best, "query_id long, record long, score double")
+    rows = rows.groupBy("query_id", "record").agg(F.max("score").alias("score"))
+    return rows.withColumn("rank", F.row_number().over(per_query(F.desc("score"), F.desc("record"))).cast("long")).where(F.col("rank") <= k)
+
+
+def trust_reasons(ordered: DataFrame, levels: dict[str, Column], pos: str = "rank") -> DataFrame:
+    """Adds a column lifted_<level> for each level (an integer, lower is better), in their order: whether it put the row
+    above one that came before it by relevance. A level decides between rows of a band that all earlier levels leave
+    alike; the row was lifted there if a worse one of them had an earlier place."""
+    same = ["query_id", "band"]
+    for name, value in levels.items():
+        ordered = ordered.withColumn(f"level_{name}", value.cast("int"))
+        worse = Window.partitionBy(*same).orderBy(f"level_{name}").rangeBetween(1, Window.unboundedFollowing)
+        ordered = ordered.withColumn(f"lifted_{name}", F.coalesce(F.min(pos).over(worse) < F.col(pos), F.lit(False)))
+        same = [*same, f"level_{name}"]
+    return ordered.drop(*(f"level_{name}" for name in levels))
+
+
+def describe_trust(freshness: Column, evidence: Column, attribution: Column, roots: Column, most: int = 20) -> Column:
+    """`trusted: current, captured` of what lifted a row (each null where that level did not); null where none did."""
+    words = F.filter(
+        F.array(
+            F.when(freshness == "unknown", "not stale").otherwise(freshness), F.when(evidence == "none", "no asserted run").otherwise(evidence),
+            F.when(attribution == "user_direction", "user-given").when(attribution == "direct_observation", "observed").when(attribution.isNotNull(), "inferred"),
+            F.when(roots >= most, f"{most}+ roots").when(roots.isNotNull(), F.concat(roots.cast("string"), F.lit(" roots"))),
+        ),
+        lambda w: w.isNotNull(),
+    )
+    return F.when(F.size(words) > 0, F.concat(F.lit("trusted: "), F.array_join(words, ", ")))
+
+
 def fuse(keyword: DataFrame, vector: DataFrame, head: DataFrame | None = None) -> DataFrame:
     """Reciprocal rank fusion of (query_id, id, k) and (query_id, id, v), ranks from 0. A record that only vectors found
     must be among their first ten; a keyword match without a vector has its keyword rank in both lists. Records of head

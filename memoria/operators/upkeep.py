@@ -4,18 +4,29 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..functions import text
+
 #: What a bit of a record's reasons says.
 REASONS = {"phrase": 1, "window": 2, "newest": 4, "trust": 8, "meaning": 16, "meaning_only": 32}
 
 
 def chunks(records: DataFrame) -> DataFrame:
-    """(record, ordinal, field, text, text_hash): a record's title, then each line of its body that holds something."""
-    lines = F.filter(F.split("body", "\n"), lambda t: F.trim(t) != "")
-    made = F.concat(
-        F.array(F.struct(F.lit("title").alias("field"), F.col("title").alias("text"))), F.transform(lines, lambda t: F.struct(F.lit("body").alias("field"), t.alias("text")))
-    )
-    rows = records.select(F.col("seq").alias("record"), F.posexplode(made).alias("ordinal", "c"))
-    return rows.select("record", F.col("ordinal").cast("long").alias("ordinal"), "c.field", "c.text", F.sha2(F.col("c.text").cast("binary"), 256).alias("text_hash"))
+    """(record, ordinal, field, text, terms, text_hash): a record's title, its body in pieces of at most 1000 bytes cut at
+    white space, and the places that its references name (refs, an array of locator and path; optional), if any. terms:
+    the words within the chunk's identifiers. Null and empty titles and bodies give no chunk.
+
+    The bodies are split once for each distinct body."""
+    if "refs" not in records.columns:
+        records = records.withColumn("refs", F.lit(None).cast("array<struct<locator: string, path: string>>"))
+    bodies = records.select("body").where("body is not null and body <> ''").distinct().select(F.col("body").alias("body_"), text.split_text(F.col("body")).alias("pieces_"))
+    rows = records.join(bodies, F.col("body") == F.col("body_"), "left")
+    one = lambda field, t: F.when(t != "", F.array(F.struct(F.lit(field).alias("field"), t.alias("text"))))
+    named = F.array_join(F.transform("refs", lambda r: F.concat_ws(" ", F.when(r["locator"] != "", r["locator"]), F.when(r["path"] != "", r["path"]))), "\n")
+    none = F.array().cast("array<struct<field: string, text: string>>")
+    pieces = F.transform("pieces_", lambda t: F.struct(F.lit("body").alias("field"), t.alias("text")))
+    made = F.concat(*(F.coalesce(c, none) for c in (one("title", F.col("title")), pieces, one("refs", named))))
+    rows = rows.select(F.col("seq").alias("record"), F.posexplode(made).alias("ordinal", "c"))
+    return rows.select("record", F.col("ordinal").cast("long").alias("ordinal"), "c.field", "c.text", text.identifier_terms(F.col("c.text")).alias("terms"), F.sha2(F.col("c.text").cast("binary"), 256).alias("text_hash"))
 
 
 def missing_chunks(chunks: DataFrame, vectors: DataFrame, limit: int) -> DataFrame:

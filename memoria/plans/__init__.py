@@ -1,4 +1,4 @@
 """Registered queries: each a composition of operators over the tables of a folder, with the SQL that gives its rows."""
 
-from . import changes, ingest, lineage, recall, report, restatement, stateful, transcripts, upkeep  # noqa: F401
+from . import changes, ingest, lineage, recall, report, restatement, rules, stateful, transcripts, trust, upkeep  # noqa: F401
 from .registry import QUERIES, SQL  # noqa: F401

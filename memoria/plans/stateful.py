@@ -11,7 +11,7 @@ from ..streaming import stateful
 from .registry import query
 
 _EVENTS = """t AS (SELECT conv_id, turn, (conv_id + turn) % 5 AS k, sha256(coalesce(text, '')) AS h FROM conversations WHERE conv_id % 11 <> 5),
-  stop AS (SELECT conv_id, min(turn) AS at FROM t WHERE conv_id % 7 = 4 AND turn >= 4 GROUP BY conv_id), live AS (SELECT t.* FROM t LEFT JOIN stop USING (conv_id) WHERE at IS NULL OR turn < at),
+  stop AS (SELECT conv_id, min(turn) AS halt FROM t WHERE conv_id % 7 = 4 AND turn >= 4 GROUP BY conv_id), live AS (SELECT t.* FROM t LEFT JOIN stop USING (conv_id) WHERE halt IS NULL OR turn < halt),
   call AS (SELECT conv_id, turn + 1 AS turn, true AS called FROM live WHERE k = 2)"""
 
 

@@ -10,9 +10,12 @@ from ..sources import views
 from .recall import _ELIGIBLE
 from .registry import query
 
-_CHUNKS = r"""src AS (SELECT doc_id AS record, 'record ' || doc_id || ' of ' || source AS title, list_filter(string_split(text, chr(10)), lambda t: trim(t, ' ') <> '') AS lines FROM documents),
-  chunks AS (SELECT record, CAST(i AS BIGINT) AS ordinal, CASE i WHEN 0 THEN 'title' ELSE 'body' END AS field, CASE i WHEN 0 THEN title ELSE lines[i] END AS text,
-    sha256(CASE i WHEN 0 THEN title ELSE lines[i] END) AS text_hash FROM (SELECT *, unnest(range(0, len(lines) + 1)) AS i FROM src)),
+# Words with the white space after them are added to a piece while it has at most 1000 bytes.
+_CHUNKS = r"""src AS (SELECT doc_id AS record, 'record ' || doc_id || ' of ' || source AS title, text AS body, CASE WHEN doc_id % 3 = 0 THEN 'doc/' || doc_id || ' src/f' || doc_id || '.py' || chr(10) || lang END AS refs FROM documents),
+  piled AS (SELECT record, list_reduce(list_transform(regexp_extract_all(body, '[^\s\x0b]+[\s\x0b]*|[\s\x0b]+'), lambda w: {'done': CAST([] AS VARCHAR[]), 'now': w}),
+    lambda a, w: CASE WHEN strlen(a.now) + strlen(w.now) <= 1000 THEN {'done': a.done, 'now': a.now || w.now} ELSE {'done': list_append(a.done, a.now), 'now': w.now} END) AS p FROM src WHERE body <> ''),
+  parts AS (SELECT src.record, list_concat(list_concat(['title:' || title], coalesce(list_transform(list_append(p.done, p.now), lambda t: 'body:' || t), CAST([] AS VARCHAR[]))), CASE WHEN refs IS NULL THEN [] ELSE ['refs:' || refs] END) AS l FROM src LEFT JOIN piled USING (record)),
+  chunks AS (SELECT record, CAST(i AS BIGINT) AS ordinal, split_part(l[i + 1], ':', 1) AS field, substr(l[i + 1], strpos(l[i + 1], ':') + 1) AS text, sha256(substr(l[i + 1], strpos(l[i + 1], ':') + 1)) AS text_hash FROM (SELECT *, unnest(range(0, len(l))) AS i FROM parts)),
   stored AS (SELECT DISTINCT text_hash FROM chunks WHERE ordinal % 2 = 1 UNION SELECT sha256('gone ' || record) FROM src WHERE record % 50 = 0)"""
 
 
@@ -20,6 +23,11 @@ def _chunks(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """The records' chunks, and stored vectors of every other one and of some texts that are gone."""
     d = F.col("seq")
     records = views.records(spark, sf_dir).withColumn("title", F.concat(F.lit("record "), d, F.lit(" of "), F.col("host")))
+    name = d.cast("string")
+    ref = lambda locator, path: F.struct(locator.alias("locator"), path.alias("path"))
+    refs = F.array(ref(F.concat(F.lit("doc/"), name), F.concat(F.lit("src/f"), name, F.lit(".py"))), ref(F.col("lang_"), F.lit(None).cast("string")))
+    langs = views.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("seq"), F.col("lang").alias("lang_"))
+    records = records.join(langs, "seq").withColumn("refs", F.when(d % 3 == 0, refs))
     chunks = upkeep.chunks(records)
     gone = records.where(d % 50 == 0).select(F.sha2(F.concat(F.lit("gone "), d).cast("binary"), 256).alias("text_hash"))
     return chunks, chunks.where("ordinal % 2 = 1").select("text_hash").union(gone).distinct()
@@ -27,7 +35,7 @@ def _chunks(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 @query(f"WITH {_CHUNKS} SELECT record, ordinal, field, text_hash FROM chunks")
 def record_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _chunks(spark, sf_dir)[0].drop("text")
+    return _chunks(spark, sf_dir)[0].drop("text", "terms")
 
 
 @query(f"WITH {_CHUNKS} SELECT record, ordinal, text_hash FROM (SELECT *, row_number() OVER (PARTITION BY text_hash ORDER BY record DESC, ordinal DESC) AS n FROM chunks ANTI JOIN stored USING (text_hash)) WHERE n = 1 ORDER BY record DESC, ordinal DESC, text_hash LIMIT 200")
@@ -57,23 +65,22 @@ def chunk_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     rf"""WITH {views.RECORDS}, {views.TAINTS}, {_CHUNKS}, {views.QUERY_TERMS},
-  tok AS (SELECT record * 100000 + ordinal AS c, unnest(regexp_extract_all(strip_accents(lower(text)), '[\p{{L}}\p{{N}}]+')) AS term FROM chunks),
-  post AS (SELECT c, term, count(*) AS tf FROM tok GROUP BY ALL), dl AS (SELECT c, sum(tf) AS dl FROM post GROUP BY c), st AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM dl),
+  tok AS (SELECT ROW(record, ordinal) AS c, record, unnest(regexp_extract_all(strip_accents(lower(text)), '[\p{{L}}\p{{N}}]+')) AS term FROM chunks),
+  post AS (SELECT c, any_value(record) AS record, term, count(*) AS tf FROM tok GROUP BY ALL), dl AS (SELECT c, sum(tf) AS dl FROM post GROUP BY c), st AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM dl),
   df AS (SELECT term, count(*) AS df FROM post GROUP BY term),
   idf AS (SELECT term, CASE WHEN ln((n - df + 0.5) / (df + 0.5)) <= 0 THEN 1e-6 ELSE ln((n - df + 0.5) / (df + 0.5)) END AS idf FROM df, st),
-  hit AS (SELECT query_id, post.c, round(-sum(idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 6) AS score FROM query_terms JOIN idf USING (term) JOIN post USING (term) JOIN dl USING (c), st GROUP BY query_id, post.c),
-  best AS (SELECT query_id, c // 100000 AS seq, min(score) AS score FROM hit GROUP BY ALL),
+  hit AS (SELECT query_id, post.c, any_value(post.record) AS record, round(-sum(idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 6) AS score FROM query_terms JOIN idf USING (term) JOIN post USING (term) JOIN dl USING (c), st GROUP BY query_id, post.c),
+  best AS (SELECT query_id, record AS seq, min(score) AS score FROM hit GROUP BY ALL),
   placed AS (SELECT query_id, seq, score, row_number() OVER (PARTITION BY query_id ORDER BY score, created_at DESC, seq DESC) AS rank FROM best JOIN records USING (seq) WHERE {_ELIGIBLE} AND kind <> 'checkpoint')
   SELECT query_id, seq, score, rank FROM placed WHERE rank <= 10"""
 )
 def recall_by_chunk(spark: SparkSession, sf_dir: str) -> DataFrame:
     able = eligibility.recallable(views.records(spark, sf_dir), views.taints(spark, sf_dir), "en")
-    key = F.col("record") * 100000 + F.col("ordinal")
-    rows = _chunks(spark, sf_dir)[0].select(key.alias("seq"), "record", F.col("text").alias("body"))
+    rows = _chunks(spark, sf_dir)[0].select(F.struct("record", "ordinal").alias("seq"), "record", F.col("text").alias("body"))
     index = views.kept(spark, sf_dir, "chunk-postings", lambda: ranking.postings(rows).repartition("term").sortWithinPartitions("term"))
     allowed = rows.join(able.select(F.col("seq").alias("record")), "record", "left_semi").select(F.col("seq").alias("id"))
     hits = ranking.bm25(index, views.queries(spark, sf_dir), allowed, views.kept(spark, sf_dir, "chunk-lengths", lambda: ranking.lengths(index)))
-    return ranking.top(upkeep.best_by_record(hits, F.floor(F.col("id") / 100000)).join(able, "seq"), 10).select("query_id", "seq", "score", "rank")
+    return ranking.top(upkeep.best_by_record(hits, F.col("id.record")).join(able, "seq"), 10).select("query_id", "seq", "score", "rank")
 
 
 @query(f"WITH {views.QUERY_TERMS} SELECT DISTINCT query_id, doc_id AS seq FROM (SELECT doc_id, unnest(list_distinct(regexp_extract_all(strip_accents(lower(text)), '[\\p{{L}}\\p{{N}}]+'))) AS term FROM documents WHERE doc_id % 40 = 0) JOIN query_terms USING (term)")
@@ -115,10 +122,11 @@ def blanked_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return upkeep.blanked(views.call_log(spark, sf_dir), upkeep.private_sessions(_sessions(spark, sf_dir)), ["name"]).select("id", "name")
 
 
-@query("WITH e AS (SELECT conv_id * 1000 + turn AS record, role AS host, sha256(text) AS event_id, turn FROM conversations) SELECT DISTINCT t.record AS target, e.record AS copy FROM e JOIN e t USING (host, event_id) WHERE t.turn = 0 AND e.record <> t.record")
+@query("WITH e AS (SELECT doc_id AS record, lang AS host, sha256(text) AS event_id FROM documents) SELECT DISTINCT t.record AS target, e.record AS copy FROM e JOIN e t USING (host, event_id) WHERE t.record % 4 = 0 AND e.record <> t.record")
 def same_observation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = views.events(spark, sf_dir).select((F.col("transcript") * 1000 + F.col("line")).alias("record"), F.col("role").alias("host"), F.sha2(F.col("text").cast("binary"), 256).alias("event_id"), "line")
-    return upkeep.same_observation(rows, rows.where("line = 0"))
+    """Documents with one text and language stand for copies of one event; every fourth is asked about."""
+    rows = views.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("record"), F.col("lang").alias("host"), F.sha2(F.col("text").cast("binary"), 256).alias("event_id"))
+    return upkeep.same_observation(rows, rows.where("record % 4 = 0"))
 
 
 _SOURCED = "r AS (SELECT *, seq % 37 AS session_id, CASE WHEN seq % 6 = 0 THEN host || '-' || seq % 3 END AS source_id FROM records)"
@@ -147,10 +155,11 @@ def late_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     rf"""WITH {views.RECORDS}, {views.LINKS} SELECT l.from_seq AS claim, l.to_seq AS evidence FROM links l JOIN records a ON a.seq = l.from_seq JOIN records b ON b.seq = l.to_seq
-  WHERE relation = 'supported_by' AND b.attribution = 'direct_observation' AND contains(regexp_replace(b.body, '\s+', '', 'g'), regexp_replace(left(a.body, 3), '\s+', '', 'g'))"""
+  WHERE relation = 'supported_by' AND b.attribution = 'direct_observation' AND contains(regexp_replace(b.body, '\s+', '', 'g'), regexp_extract(a.body, '\S+'))"""
 )
 def captured_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return upkeep.captured(views.links(spark, sf_dir), views.records(spark, sf_dir), F.substring("body", 1, 3))
+    """A claim's first word stands for the output that it quotes."""
+    return upkeep.captured(views.links(spark, sf_dir), views.records(spark, sf_dir), F.regexp_extract("body", r"\S+", 0))
 
 
 _RETURNED = "c AS (SELECT event_id AS id, '[' || (event_id % 100) || ',' || (event_id % 7) || ']' AS returned FROM events)"
@@ -197,10 +206,10 @@ def import_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return upkeep.latest(rows, "host", [F.desc("own"), F.desc("modified"), F.col("path")], 50).select("host", "path", "place")
 
 
-@query(f"WITH {views.RECORDS}, p AS (SELECT host, seq, sum(length(id) + 40) OVER (PARTITION BY host ORDER BY created_at DESC, seq DESC ROWS UNBOUNDED PRECEDING) AS bytes FROM records WHERE kind = 'preference') SELECT host, seq, CAST(bytes AS BIGINT) AS bytes FROM p WHERE bytes <= 4096")
+@query(f"WITH {views.RECORDS}, p AS (SELECT host, seq, sum(strlen(CAST(to_json({{'id': id, 'text': coalesce(body, '')}}) AS VARCHAR))) OVER (PARTITION BY host ORDER BY created_at DESC, seq DESC ROWS UNBOUNDED PRECEDING) AS bytes FROM records WHERE kind = 'preference') SELECT host, seq, CAST(bytes AS BIGINT) AS bytes FROM p WHERE bytes <= 4096")
 def preference_block(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = views.records(spark, sf_dir).where("kind = 'preference'")
-    return upkeep.within_bytes(rows, "host", F.length("id") + 40, [F.desc("created_at"), F.desc("seq")], 4096).select("host", "seq", "bytes")
+    return upkeep.within_bytes(rows, "host", F.octet_length(F.to_json(F.struct("id", F.coalesce("body", F.lit("")).alias("text")))), [F.desc("created_at"), F.desc("seq")], 4096).select("host", "seq", "bytes")
 
 
 @query("SELECT source, doc_id FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY sha256(doc_id || ':review')) AS n FROM documents) WHERE n <= 10")
@@ -290,21 +299,22 @@ def result_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.table(spark, sf_dir, "events").select("event_id", tool.alias("tool"), failed.alias("failed"), summary.alias("summary"))
 
 
-@query(r"""WITH p AS (SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 'cat .env.local' WHEN 1 THEN 'see ~/.ssh/id' || doc_id WHEN 2 THEN 'cp key.pem /tmp' WHEN 3 THEN 'my.environment' WHEN 4 THEN 'config/secrets.yml' ELSE left(text, 200) END AS path FROM documents)
+@query(r"""WITH p AS (SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 'cat .env.local' WHEN 1 THEN 'see ~/.ssh/id' || doc_id WHEN 2 THEN 'cp key.pem /tmp' WHEN 3 THEN 'my.environment' WHEN 4 THEN 'config/secrets.yml' ELSE text END AS path FROM documents)
   SELECT doc_id, regexp_matches(path, '(?i)(?:^|[\s/"''=])(?:\.env(?:\.[\w-]+)?|\.netrc|\.npmrc|\.pypirc|\.pgpass|id_(?:rsa|dsa|ecdsa|ed25519)|[\w.-]+\.(?:pem|key|p12|pfx|keystore)|credentials(?:\.json)?|\.aws/credentials|\.ssh/[\w.-]+|secrets?\.(?:ya?ml|json|toml))(?:$|[\s"''`;|&)])') AS sensitive FROM p""")
 def sensitive_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = F.col("doc_id")
     k = d % 6
     path = (
         F.when(k == 0, "cat .env.local").when(k == 1, F.concat(F.lit("see ~/.ssh/id"), d)).when(k == 2, "cp key.pem /tmp").when(k == 3, "my.environment")
-        .when(k == 4, "config/secrets.yml").otherwise(F.substring("text", 1, 200))
+        .when(k == 4, "config/secrets.yml").otherwise(F.col("text"))
     )
     return views.table(spark, sf_dir, "documents").select("doc_id", text.touches_sensitive_path(F.array(path)).alias("sensitive"))
 
 
-@query("SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS day, strftime(o_orderdate, '%d.%m. %H:%M') AS at FROM orders")
+@query("WITH o AS (SELECT o_orderkey, o_orderdate + INTERVAL '5 hours 30 minutes' AS there FROM orders) SELECT o_orderkey, strftime(there, '%Y-%m-%d') AS day, strftime(there, '%d.%m. %H:%M') AS at FROM o")
 def local_times(spark: SparkSession, sf_dir: str) -> DataFrame:
-    at = F.col("o_orderdate").cast("timestamp")
+    """Days and times as a reader five and a half hours ahead of UTC sees them."""
+    at = F.from_utc_timestamp(F.col("o_orderdate").cast("timestamp"), "+05:30")
     return views.table(spark, sf_dir, "orders").select("o_orderkey", F.date_format(at, "yyyy-MM-dd").alias("day"), F.date_format(at, "dd.MM. HH:mm").alias("at"))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -84,17 +85,33 @@ QUERY_TERMS = rf"""query_words AS (SELECT item_id, unnest(l) AS term, generate_s
     FROM (SELECT item_id, regexp_extract_all(strip_accents(lower(text)), '[\p{{L}}\p{{N}}]+') AS l FROM benchmark)),
   query_terms AS (SELECT query_id, term FROM (SELECT item_id AS query_id, term, row_number() OVER (PARTITION BY item_id ORDER BY min(place)) AS n FROM query_words GROUP BY item_id, term) WHERE n <= {QUERY_LIMIT})"""
 
-_kept: dict[tuple[str, str, str], str] = {}
+_kept: dict[tuple[str, str, str], tuple[str, str]] = {}
+
+
+def _content(spark: SparkSession, sf_dir: str) -> str:
+    """What tells one state of a folder's tables from another: its files' names, sizes and times."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(sf_dir)
+    files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(folder, True)
+    found = []
+    while files.hasNext():
+        f = files.next()
+        found.append(f"{f.getPath()} {f.getLen()} {f.getModificationTime()}")
+    return hashlib.sha256("\n".join(sorted(found)).encode()).hexdigest()
 
 
 def kept(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], DataFrame]) -> DataFrame:
-    """A table derived from a folder's tables, written once a session to the shared folder and read from there."""
+    """A table derived from a folder's tables, written once a session to the shared folder and read from there. When the
+    folder's files change it is made again, and the table of their old state is deleted."""
     key = (spark.sparkContext.applicationId, sf_dir, name)
-    if key not in _kept:
+    state = _content(spark, sf_dir)
+    if _kept.get(key, ("", ""))[0] != state:
         path = f"{shared_dir(spark)}/kept-{name}-{uuid.uuid4().hex}"
         make().write.parquet(path)
-        _kept[key] = path
-    return spark.read.parquet(_kept[key])
+        if key in _kept:
+            old = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_kept[key][1])
+            old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(old, True)
+        _kept[key] = (state, path)
+    return spark.read.parquet(_kept[key][1])
 
 
 def index(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
