@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .text import strict_json
+
 # The wordings of a lasting preference, the calls that change nothing, the parts of a checkpoint and the
 # forms of ids in the memory's own output.
 _CLAUSE = r"(?:^|[.!?;:]\s+|\n\s*)"
@@ -29,7 +31,7 @@ def states_lasting_preference(prompt: Column) -> Column:
 def read_only(operation: Column, arguments: Column) -> Column:
     """Whether a call (its arguments as JSON) changes nothing: reads, an inspection, a bootstrap without an answer about
     imports. Arguments that are no JSON count as none."""
-    args = F.try_parse_json(arguments)
+    args = strict_json(arguments)
     asked = F.try_variant_get(args, "$.importChoice", "variant")
     return F.when(operation == "memory_bootstrap", asked.isNull()).when(operation.isin(*READ_ONLY), True).when(operation == "memory_manage", F.coalesce(F.try_variant_get(args, "$.action", "string") == "inspect", F.lit(False))).otherwise(False)
 
@@ -76,7 +78,7 @@ def summarise_checkpoint(body: Column) -> tuple[Column, Column, Column]:
 def bound_workstreams(output: Column) -> Column:
     """The workstreams that a piece of the memory's output says it is bound to: its scope's, or, where the output is no
     whole JSON, every one that it names."""
-    value = F.try_parse_json(output)
+    value = strict_json(output)
     scope = F.try_variant_get(value, "$.scope.workstreamId", "string")
     named = F.array_distinct(F.regexp_extract_all(output, F.lit(f'"workstreamId":"({_WORKSTREAM})"'), 1))
     return F.when(value.isNotNull(), F.filter(F.array(scope), lambda w: w.rlike(f"^{_WORKSTREAM}$"))).otherwise(named)

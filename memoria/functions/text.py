@@ -214,3 +214,10 @@ def bounded_passage(text: Column, most: int) -> tuple[Column, Column]:
     part = lambda low, n: F.decode(F.substring(raw, low, n), "UTF-8")
     made = F.concat(part(F.lit(1), head), F.lit("\n[… "), F.format_number(left_out, 0), F.lit(" bytes omitted …]\n"), part(tail, size - tail + 1))
     return F.when(size <= most, text).otherwise(made), F.when(size <= most, 0).otherwise(left_out).cast("long")
+
+
+def strict_json(text: Column) -> Column:
+    """A text that is one JSON value, as VARIANT; null for anything else. Spark's parser takes a value and overlooks what
+    comes after it; as the only item of a list nothing may."""
+    listed = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
+    return F.when(F.try_variant_get(listed, "$[1]", "variant").isNull(), F.try_variant_get(listed, "$[0]", "variant"))

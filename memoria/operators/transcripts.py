@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import shell
+from ..functions.text import strict_json
 from .upkeep import version_key
 
 # What the two hosts write, and the versions whose entries are known.
@@ -179,7 +180,7 @@ def a_files(files: DataFrame, root: str) -> DataFrame:
 
 def a_heads(lines: DataFrame) -> DataFrame:
     """(transcript, cwd, host_version, supported) from the first entry with a folder in each transcript's first 64 KB."""
-    v = F.try_parse_json("text")
+    v = strict_json(F.col("text"))
     rows = lines.where(F.col("start") < A_HEAD_BYTES).select("transcript", "start", _string(v, "$.cwd").alias("cwd"), _string(v, "$.version").alias("host_version")).where("cwd is not null")
     first = rows.groupBy("transcript").agg(F.min_by(F.struct("cwd", "host_version"), "start").alias("h"))
     return first.select("transcript", "h.cwd", "h.host_version", supported(F.col("h.host_version"), A_VERSIONS).alias("supported"))
@@ -217,7 +218,7 @@ def a_events(lines: DataFrame, agents: DataFrame | None = None) -> tuple[DataFra
     oversized; an empty table gives three empty ones.
     """
     v = F.col("v")
-    rows = lines.select("transcript", "start", "end", "text", F.try_parse_json("text").alias("v"))
+    rows = lines.select("transcript", "start", "end", "text", strict_json(F.col("text")).alias("v"))
     rows = rows.withColumn("object", _object(v)).withColumn("kind", F.when(F.col("object"), _string(v, "$.type"))).withColumn("version", _string(v, "$.version"))
     versioned = F.coalesce(F.col("kind").isin("user", "assistant", "system", "attachment"), F.lit(False))
     rows, stops = _stopped(rows, versioned & ~supported(F.col("version"), A_VERSIONS))
@@ -323,7 +324,7 @@ def a_events(lines: DataFrame, agents: DataFrame | None = None) -> tuple[DataFra
 def b_heads(lines: DataFrame) -> DataFrame:
     """What line 1 says about each rollout of host B: transcript, id, cwd, host_version, git_branch, paginated,
     forked_from, subagent, supported, head_end. Rollouts whose first line is no usable session_meta have none."""
-    v = F.try_parse_json("text")
+    v = strict_json(F.col("text"))
     p = F.col("p")
     rows = lines.where("start = 0 and text is not null").select("transcript", F.col("end").alias("head_end"), v.alias("v")).withColumn("p", _part(F.col("v"), "$.payload"))
     rows = rows.where((_string(F.col("v"), "$.type") == "session_meta") & (F.col("head_end") <= 1 << 20))
@@ -341,7 +342,7 @@ def b_heads(lines: DataFrame) -> DataFrame:
 def fork_copies(lines: DataFrame, heads: DataFrame) -> DataFrame:
     """(transcript, start, parent_id, parent_start, parent_time): the first lines of a fork that equal its parent's, line by
     line, but for their time, up to the first that does not. Lines are counted, so each meets one line only, by a digest."""
-    v = F.try_parse_json("text")
+    v = strict_json(F.col("text"))
     # A line without its time: the other fields of an entry, each in the order of names.
     rest = F.to_json(F.struct(*(F.coalesce(F.to_json(_part(v, f"$.{k}")), F.lit("-")).alias(k) for k in ("type", "payload", "ordinal"))))
     rows = lines.select("transcript", "start", F.when(_object(v), F.sha2(rest.cast("binary"), 256)).alias("digest"), _string(v, "$.timestamp").alias("time"))
@@ -361,7 +362,7 @@ def _b_call(p: Column, kind: Column, cwd: Column, fallback: Column) -> Column:
     space, name = _string(p, "$.namespace"), _string(p, "$.name")
     tool = F.when(space.isNull(), name).otherwise(F.concat(F.regexp_replace(space, "_+$", ""), F.lit("__"), F.regexp_replace(name, "^_+", "")))
     raw = F.when(kind == "custom_tool_call", _string(p, "$.input")).otherwise(_string(p, "$.arguments"))
-    args = F.when(kind != "custom_tool_call", F.try_parse_json(raw))
+    args = F.when(kind != "custom_tool_call", strict_json(raw))
     own = _own_tool(tool, "(?:_[0-9a-f]{12})?")
     custom = kind == "custom_tool_call"
     # Arguments that are no JSON describe nothing.
@@ -414,7 +415,7 @@ def b_events(lines: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """
     heads = b_heads(lines)
     v, p = F.col("v"), F.col("p")
-    rows = lines.select("transcript", "start", "end", "text", F.try_parse_json("text").alias("v")).withColumn("object", _object(v))
+    rows = lines.select("transcript", "start", "end", "text", strict_json(F.col("text")).alias("v")).withColumn("object", _object(v))
     head = heads.select("transcript", F.col("id").alias("thread"), F.col("cwd").alias("head_cwd"), F.col("git_branch").alias("head_branch"), F.col("host_version").alias("head_version"), "paginated", "supported")
     rows = rows.join(head, "transcript", "left")
     ordinal = F.coalesce(F.col("object") & F.schema_of_variant(_part(v, "$.ordinal")).rlike("BIGINT|DECIMAL|DOUBLE"), F.lit(False))

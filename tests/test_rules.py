@@ -31,7 +31,7 @@ def test_checkpoints_come_back(spark):
     body = "Goal: g\n\nStatus: s\n\nNext steps: no list\n\nDecisions:\n- d1\n- d2\n\nNext steps:\n- first\nmore\n- second\n\nPreferences:\n- p"
     cases = [body, "Goal: g\n\nStatus: " + "x" * 400, "Goal: g\n\nStatus: s\n\nPreferences:\n- p\n\nNext steps:\n- late", "Status: only", "Goal: no status", "", None, "Goal: \n\nStatus: \n\nNext steps:\n- n\n\nPreferences:\n- p"]
     got = [tuple(r) for r in spark.createDataFrame([(c,) for c in cases], "b string").select(*rules.summarise_checkpoint(F.col("b"))).collect()]
-    assert got == [("g", "s\n\nNext steps: no list", "first\nmore"), ("g", "x" * 299 + "…", None), ("g", "s", None), *[(None, None, None)] * 4, ("", "", "n")]
+    assert got == [("g", "s\n\nNext steps: no list", "first\nmore"), ("g", "x" * 299 + "…", None), ("g", "s\n\nPreferences:\n- p", "late"), *[(None, None, None)] * 4, ("", "", "n")]
     made = spark.createDataFrame([("g", "s", ["d1", "d2"], [])], "g string, s string, d array<string>, n array<string>").select(rules.render_checkpoint(F.col("g"), F.col("s"), decisions=F.col("d"), nextSteps=F.col("n"))).first()[0]
     assert made == "Goal: g\n\nStatus: s\n\nDecisions:\n- d1\n- d2"
 
