@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import posixpath
 import re
 from collections.abc import Iterator
@@ -31,6 +32,8 @@ READERS = {
     "more": {"flags": "dlfpcsu", "n": "n", "t": "", "long": "", "numeric": True, "pager": True},
     "bat": _BAT, "batcat": _BAT,
 }
+#: Before a JSON list of words that stands for a command.
+WORDS = "\x00"
 SHELLS = ("bash", "sh", "zsh", "dash")
 _SED_LONG = ("--posix", "--debug", "--regexp-extended", "--null-data", "--unbuffered", "--separate")
 _COUNT = re.compile(r"[+-]?\d+(?:\.\d+)?[A-Za-z]{0,3}")
@@ -311,8 +314,8 @@ READ = "struct<path: string, format: string, first: long, last: long>"
 
 
 def shell_reads(calls: DataFrame, command: str = "command", cwd: str = "cwd", root: str | None = None) -> DataFrame:
-    """Adds paths, tool_kind and read to calls (command: a string or an array of words, cwd: where it runs, root: the
-    folder below which files are read, by default cwd).
+    """Adds paths, tool_kind and read to calls (command: a string, an array of words, or WORDS and such an array as JSON;
+    cwd: where it runs, root: the folder below which files are read, by default cwd).
 
     Each distinct command and folder is parsed once and joined back, however many calls repeat it. Null commands and
     null folders are `other` and are not parsed."""
@@ -320,7 +323,7 @@ def shell_reads(calls: DataFrame, command: str = "command", cwd: str = "cwd", ro
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
-            argv = [c if isinstance(c, str) else list(c) for c in rows["command_"]]
+            argv = [list(c) if not isinstance(c, str) else json.loads(c[1:]) if c.startswith(WORDS) else c for c in rows["command_"]]
             found = [file_reads(c, d, r) for c, d, r in zip(argv, rows["cwd_"], rows["root_"], strict=True)]
             read = [dict(zip(("path", "format", "first", "last"), r, strict=True)) if r else None for _, _, r in found]
             yield pd.DataFrame({**{c: rows[c] for c in names}, "paths": [p for p, _, _ in found], "tool_kind": [k for _, k, _ in found], "read": read})

@@ -219,5 +219,5 @@ def bounded_passage(text: Column, most: int) -> tuple[Column, Column]:
 def strict_json(text: Column) -> Column:
     """A text that is one JSON value, as VARIANT; null for anything else. Spark's parser takes a value and overlooks what
     comes after it; as the only item of a list nothing may."""
-    listed = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
-    return F.when(F.try_variant_get(listed, "$[1]", "variant").isNull(), F.try_variant_get(listed, "$[0]", "variant"))
+    listed = F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))), "$", "array<variant>")
+    return F.when(F.size(listed) == 1, F.get(listed, F.lit(0)))

@@ -135,35 +135,40 @@ def _digest(text: Column) -> Column:
     return F.concat(F.lit("sha256:"), F.sha2(text.cast("binary"), 256))
 
 
+def _a_block(b: Column) -> Column:
+    """What is read of a block of host A's messages, taken out of its VARIANT once."""
+    given, (said, left) = _part(b, "$.input"), _result_text(_part(b, "$.content"))
+    tool = _string(b, "$.name")
+    arguments = {k: _string(given, f"$.{k}") for k in ("file_path", "notebook_path", "path", "pattern", "url", "query", "description", "command")}
+    fields = {
+        "kind": F.coalesce(_string(b, "$.type"), F.lit("")), "words": _string(b, "$.text"), "id": _string(b, "$.id"), "tool": tool, "own": _own_tool(tool), "result_of": _string(b, "$.tool_use_id"), "failed": _true(b, "$.is_error"),
+        "said": said, "left": left, "json": F.coalesce(F.to_json(given), F.lit("{}")), "offset": _whole(given, "$.offset"), "limit": _whole(given, "$.limit"), **arguments,
+    }
+    return F.struct(*(c.alias(n) for n, c in fields.items()))
+
+
 def _a_call(block: Column, b: Column, cwd: Column) -> Column:
-    """A call of host A: one line that describes it, what it touches, what kind it is. Only known tools are described;
-    of others a digest of the input stays."""
-    tool, given = _string(b, "$.name"), _part(b, "$.input")
-    own = _own_tool(tool)
-    text = lambda k: _string(given, f"$.{k}")
-    path = F.coalesce(text("file_path"), text("notebook_path"))
+    """A call of host A (a block of _a_block): one line that describes it, what it touches, what kind it is. Only known
+    tools are described; of others a digest of the input stays."""
+    tool, own, low, n = b["tool"], b["own"], b["offset"], b["limit"]
+    path, place = F.coalesce(b["file_path"], b["notebook_path"]), b["path"]
     is_file = tool.isin(*A_FILE_TOOLS)
-    low, n = _whole(given, "$.offset"), _whole(given, "$.limit")
     lines = F.when(low.isNotNull() & n.isNotNull(), F.concat(F.lit(" (lines "), low, F.lit("-"), low + n - 1, F.lit(")"))).otherwise("")
-    place = text("path")
     within = F.when(place.isNull(), "").otherwise(F.concat(F.lit(" in "), place))
-    json = F.coalesce(F.to_json(given), F.lit("{}"))
     summary = (
-        F.when(own.isNotNull(), F.concat(own, F.lit(" "), json)).when(is_file, F.concat(tool, F.lit(" "), F.coalesce(path, F.lit("(no path)")), lines))
-        .when(tool == "Bash", F.concat(F.lit("$ "), F.coalesce(text("command"), F.lit("")))).when(tool.isin("Grep", "Glob"), F.concat(tool, F.lit(" "), _quoted(text("pattern")), within))
-        .when(tool == "WebFetch", F.concat(F.lit("WebFetch "), F.coalesce(text("url"), F.lit("")))).when(tool == "WebSearch", F.concat(F.lit("WebSearch "), _quoted(text("query"))))
-        .when(tool.isin("Agent", "Task"), F.concat(tool, F.lit(": "), F.coalesce(text("description"), F.lit("")))).otherwise(F.concat(tool, F.lit(" [arguments omitted]")))
+        F.when(own.isNotNull(), F.concat(own, F.lit(" "), b["json"])).when(is_file, F.concat(tool, F.lit(" "), F.coalesce(path, F.lit("(no path)")), lines))
+        .when(tool == "Bash", F.concat(F.lit("$ "), F.coalesce(b["command"], F.lit("")))).when(tool.isin("Grep", "Glob"), F.concat(tool, F.lit(" "), _quoted(b["pattern"]), within))
+        .when(tool == "WebFetch", F.concat(F.lit("WebFetch "), F.coalesce(b["url"], F.lit("")))).when(tool == "WebSearch", F.concat(F.lit("WebSearch "), _quoted(b["query"])))
+        .when(tool.isin("Agent", "Task"), F.concat(tool, F.lit(": "), F.coalesce(b["description"], F.lit("")))).otherwise(F.concat(tool, F.lit(" [arguments omitted]")))
     )
     plain = own.isNull()
     known = is_file | tool.isin("Bash", "Grep", "Glob", "WebFetch", "WebSearch", "Agent", "Task")
-    only = lambda c: F.filter(F.array(c), lambda x: x.isNotNull())
     none = F.array().cast("array<string>")
+    only = lambda c: F.when(c.isNotNull(), F.array(c)).otherwise(none)
     return _event(
-        block=block, type=F.lit("tool_call"), call_id=_string(b, "$.id"), tool=tool, summary=summary,
-        paths=F.when(plain & is_file, only(path)).when(plain & tool.isin("Grep", "Glob"), only(place)).otherwise(none),
-        urls=F.when(plain & (tool == "WebFetch"), only(text("url"))).otherwise(none),
-        tool_kind=F.when(own.isNotNull(), "own").when(is_file, "artifact_access").otherwise("other"),
-        input_digest=F.when(plain & ~known, _digest(json)), command=F.when(plain & (tool == "Bash"), text("command")), run_in=cwd,
+        block=block, type=F.lit("tool_call"), call_id=b["id"], tool=tool, summary=summary, paths=F.when(plain & is_file, only(path)).when(plain & tool.isin("Grep", "Glob"), only(place)).otherwise(none),
+        urls=F.when(plain & (tool == "WebFetch"), only(b["url"])).otherwise(none), tool_kind=F.when(own.isNotNull(), "own").when(is_file, "artifact_access").otherwise("other"),
+        input_digest=F.when(plain & ~known, _digest(b["json"])), command=F.when(plain & (tool == "Bash"), b["command"]), run_in=cwd,
         read=F.when(plain & (tool == "Read") & path.isNotNull(), F.struct(resolved(cwd, path).alias("path"), F.lit("read_tool").alias("format"), F.lit(None).cast("long").alias("first"), F.lit(None).cast("long").alias("last"))),
     )
 
@@ -189,14 +194,14 @@ def a_heads(lines: DataFrame) -> DataFrame:
 def _finish(rows: DataFrame, context: list[str]) -> DataFrame:
     """One row per event; a call's command is recognised as a read of files or not."""
     out = rows.select(*context, F.explode("events").alias("e")).select(*context, "e.*")
-    out = out.withColumn("call_key", F.coalesce(F.when(F.col("argv").isNotNull(), F.to_json("argv")), F.col("command")))
-    for column, kind in (("command", F.col("argv").isNull()), ("argv", F.col("argv").isNotNull())):
-        asked = out.where(F.col(column).isNotNull() & kind).select(column, F.col("run_in").alias("in_"), F.col("cwd").alias("below_"), "call_key").distinct()
-        found = shell.shell_reads(asked, column, "in_", "below_").select(F.col("call_key").alias("key_"), "in_", "below_", F.col("paths").alias("paths_"), F.col("tool_kind").alias("kind_"), F.col("read").alias("read_"))
-        own = out.where(F.col(column).isNotNull() & kind).join(found, (F.col("call_key") == F.col("key_")) & (F.col("run_in") == F.col("in_")) & (F.col("cwd") == F.col("below_")), "left")
-        own = own.withColumns({"paths": F.coalesce("paths_", "paths"), "tool_kind": F.coalesce("kind_", "tool_kind"), "read": F.col("read_")}).drop("key_", "in_", "below_", "paths_", "kind_", "read_")
-        out = out.where(F.col(column).isNull() | ~kind).unionByName(own)
-    return out.drop("command", "argv", "run_in", "call_key")
+    # Words are told from a command line by what stands before them.
+    runs = F.coalesce(F.concat(F.lit(shell.WORDS), F.to_json("argv")), F.col("command"))
+    out = out.withColumn("runs_", runs).drop("command", "argv")
+    asked = out.select(F.col("runs_").alias("key_"), F.col("run_in").alias("in_"), F.col("cwd").alias("below_")).where("key_ is not null").distinct()
+    found = shell.shell_reads(asked, "key_", "in_", "below_").select("key_", "in_", "below_", F.col("paths").alias("paths_"), F.col("tool_kind").alias("kind_"), F.col("read").alias("read_"))
+    out = out.join(found, (F.col("runs_") == F.col("key_")) & (F.col("run_in") == F.col("in_")) & (F.col("cwd") == F.col("below_")), "left")
+    out = out.withColumns({"paths": F.coalesce("paths_", "paths"), "tool_kind": F.coalesce("kind_", "tool_kind"), "read": F.coalesce("read_", "read")})
+    return out.drop("runs_", "run_in", "key_", "in_", "below_", "paths_", "kind_", "read_")
 
 
 def _stopped(rows: DataFrame, bad: Column) -> tuple[DataFrame, DataFrame]:
@@ -218,11 +223,11 @@ def a_events(lines: DataFrame, agents: DataFrame | None = None) -> tuple[DataFra
     oversized; an empty table gives three empty ones.
     """
     v = F.col("v")
-    rows = lines.select("transcript", "start", "end", "text", strict_json(F.col("text")).alias("v"))
-    rows = rows.withColumn("object", _object(v)).withColumn("kind", F.when(F.col("object"), _string(v, "$.type"))).withColumn("version", _string(v, "$.version"))
+    rows = lines.select("transcript", "start", "end", "text", strict_json(F.col("text")).alias("v")).withColumn("object", _object(v))
+    rows = rows.withColumn("kind", F.when(F.col("object"), _string(v, "$.type"))).withColumn("version", _string(v, "$.version"))
     versioned = F.coalesce(F.col("kind").isin("user", "assistant", "system", "attachment"), F.lit(False))
     rows, stops = _stopped(rows, versioned & ~supported(F.col("version"), A_VERSIONS))
-    rows = rows.withColumns({"uuid": _string(v, "$.uuid"), "observed_at": _string(v, "$.timestamp"), "cwd": _string(v, "$.cwd"), "side": _true(v, "$.isSidechain"), "blocks": _list(v, "$.message.content"), "said": _string(v, "$.message.content")})
+    rows = rows.withColumns({"uuid": _string(v, "$.uuid"), "observed_at": _string(v, "$.timestamp"), "cwd": _string(v, "$.cwd"), "side": _true(v, "$.isSidechain"), "blocks": F.transform(_list(v, "$.message.content"), _a_block), "said": _string(v, "$.message.content")})
     agent = _string(v, "$.toolUseResult.agentId")
     session = F.split_part("transcript", F.lit("/agent-"), F.lit(1))
     rows = rows.withColumn("handed", F.concat(session, F.lit("/agent-"), agent))
@@ -253,9 +258,9 @@ def a_events(lines: DataFrame, agents: DataFrame | None = None) -> tuple[DataFra
     open_ = F.col("entry").isNull()
 
     index = lambda f: F.transform(blocks, f)
-    type_of = lambda b: F.coalesce(_string(b, "$.type"), F.lit(""))
-    is_result = lambda b: (type_of(b) == "tool_result") & _string(b, "$.tool_use_id").isNotNull()
-    is_text = lambda b: (type_of(b) == "text") & _string(b, "$.text").isNotNull()
+    type_of = lambda b: b["kind"]
+    is_result = lambda b: (type_of(b) == "tool_result") & b["result_of"].isNotNull()
+    is_text = lambda b: (type_of(b) == "text") & b["words"].isNotNull()
     # What the host recorded about an output holds for the only result of an entry.
     one = F.size(F.filter(blocks, lambda b: type_of(b) == "tool_result")) == 1
     facts = _part(v, "$.toolUseResult")
@@ -267,10 +272,13 @@ def a_events(lines: DataFrame, agents: DataFrame | None = None) -> tuple[DataFra
     )
     whole = F.when(one, F.coalesce(window.isNotNull() & F.lit(True), F.lit(False)) | F.coalesce(shell_whole, F.lit(False)))
     whole = F.when(one & (window.isNotNull() | shell_whole.isNotNull()), whole)
+    summary_text, summary_left = _result_text(_part(v, "$.message.content"))
+    summary = _trimmed(F.when(kind == "system", _string(v, "$.content")).when(compact, summary_text))
+    rows = rows.withColumns({"whole": whole, "window": F.when(one, window), "summary": summary, "summary_left": F.when(compact, summary_left), "compact": compact, "recap": recap, "reported": reported})
+    compact, recap, reported, summary = (F.col(c) for c in ("compact", "recap", "reported", "summary"))
 
     def result(b: Column, i: Column) -> Column:
-        text, _ = _result_text(_part(b, "$.content"))
-        return _event(block=i, type=F.lit("tool_result"), call_id=_string(b, "$.tool_use_id"), text=text, is_error=_true(b, "$.is_error"), intact=F.when(whole.isNotNull(), whole & ~text.rlike(A_NOTE)), window=F.when(one, window))
+        return _event(block=i, type=F.lit("tool_result"), call_id=b["result_of"], text=b["said"], is_error=b["failed"], intact=F.when(F.col("whole").isNotNull(), F.col("whole") & ~b["said"].rlike(A_NOTE)), window=F.col("window"))
 
     def typed(text: Column, block: Column) -> tuple[Column, Column]:
         """What a user typed, without what the host put in; and how often it did."""
@@ -278,24 +286,22 @@ def a_events(lines: DataFrame, agents: DataFrame | None = None) -> tuple[DataFra
         role = F.when(F.col("side"), "parent_agent").otherwise("user")
         return F.when(plain != "", F.array(_event(block=block, type=F.lit("message"), role=role, text=plain))), F.array_repeat(F.lit("injected_context"), F.coalesce(F.regexp_count(text, F.lit(A_INJECTED)), F.lit(0)))
 
-    texts = F.transform(F.filter(blocks, is_text), lambda b: _string(b, "$.text"))
+    texts = F.transform(F.filter(blocks, is_text), lambda b: b["words"])
     joined = F.when(F.size(texts) > 0, F.array_join(texts, "\n"))
     first_text = F.array_position(index(lambda b: is_text(b)), True).cast("int") - 1
     typed_text, put_in = typed(F.coalesce(said, joined), F.when(said.isNotNull(), 0).otherwise(first_text))
     results = F.filter(index(lambda b, i: F.when(is_result(b) & ~reported, result(b, i))), lambda e: e.isNotNull())
     user_left = index(lambda b: F.when(is_result(b), F.when(reported, "subagent_report")).when(is_text(b), F.lit(None)).when(type_of(b).isin("image", "document"), "binary").otherwise("unsupported_entry"))
-    inner_left = F.flatten(F.transform(F.filter(blocks, lambda b: is_result(b) & ~reported), lambda b: _result_text(_part(b, "$.content"))[1]))
-    summary_text, summary_left = _result_text(_part(v, "$.message.content"))
-    summary = _trimmed(F.when(kind == "system", _string(v, "$.content")).otherwise(summary_text))
+    inner_left = F.flatten(F.transform(F.filter(blocks, lambda b: is_result(b) & ~reported), lambda b: b["left"]))
 
     def spoken(b: Column, i: Column) -> Column:
-        text = _trimmed(_string(b, "$.text"))
-        call = (type_of(b) == "tool_use") & _string(b, "$.id").isNotNull() & _string(b, "$.name").isNotNull()
+        text = _trimmed(b["words"])
+        call = (type_of(b) == "tool_use") & b["id"].isNotNull() & b["tool"].isNotNull()
         return F.when(is_text(b) & (text != ""), _event(block=i, type=F.lit("message"), role=F.lit("assistant"), text=text)).when(call, _a_call(i, b, F.col("cwd")))
 
     spoken_left = index(
         lambda b: F.when(type_of(b).isin("thinking", "redacted_thinking"), "hidden_reasoning")
-        .when(is_text(b) | ((type_of(b) == "tool_use") & _string(b, "$.id").isNotNull() & _string(b, "$.name").isNotNull()), F.lit(None)).otherwise("unsupported_entry")
+        .when(is_text(b) | ((type_of(b) == "tool_use") & b["id"].isNotNull() & b["tool"].isNotNull()), F.lit(None)).otherwise("unsupported_entry")
     )
     none = F.array().cast(f"array<struct<{EVENT}>>")
     events = (
@@ -304,7 +310,7 @@ def a_events(lines: DataFrame, agents: DataFrame | None = None) -> tuple[DataFra
     )
     nothing = F.array().cast("array<string>")
     left = (
-        F.when(~open_, F.array("entry")).when(compact, F.when(_string(v, "$.message.content").isNull(), summary_left)).when(recap, nothing)
+        F.when(~open_, F.array("entry")).when(compact, F.when(said.isNull(), F.col("summary_left"))).when(recap, nothing)
         .when(kind == "user", F.concat(put_in, F.coalesce(F.filter(user_left, lambda r: r.isNotNull()), nothing), F.coalesce(inner_left, nothing))).otherwise(F.filter(spoken_left, lambda r: r.isNotNull()))
     )
     attributed = F.coalesce("known_type", _string(v, "$.attributionAgent"))
