@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .text import strict_json
@@ -50,29 +52,53 @@ def render_checkpoint(goal: Column, status: Column, **sections: Column) -> Colum
     return F.concat(*(F.coalesce(p, F.lit("")) for p in parts))
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value evaluated once and written into the plan once, however often use names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def summarise_checkpoint(body: Column) -> tuple[Column, Column, Column]:
     """(goal, status, next step) of a checkpoint's text, each clipped; null where it is no such text.
 
     The marks of the parts are looked for in their order, each after the one before, so words in a part that only look like
-    a heading stay words."""
+    a heading stay words. The search is a fold over the headings; its expression does not grow with their number."""
     clip = lambda t, n: F.when(F.length(t) <= n, t).otherwise(F.concat(F.substring(t, 1, n - 1), F.lit("…")))
     mark = "\n\nStatus: "
-    at = F.when(F.startswith(body, F.lit("Goal: ")), F.position(F.lit(mark), body)).otherwise(0)
-    goal = F.substring(body, F.lit(7), at - 7)
-    rest = F.substring(body, at + len(mark), F.length(body))
-    since, end, next_at = F.lit(1), F.length(rest) + 1, F.lit(0)
-    for field, heading in SECTIONS:
-        start = _start(heading)
-        found = F.position(F.lit(start), rest, since)
-        end = F.when(found > 0, F.least(end, found)).otherwise(end)
-        since = F.when(found > 0, found + len(start)).otherwise(since)
-        if field == "nextSteps":
-            next_at = F.when(found > 0, found + len(start)).otherwise(0)
-    entries = F.substring(rest, next_at, F.length(rest))
-    stops = [F.position(F.lit(s), entries) for s in ("\n- ", _start("Preferences"))]
-    stop = F.least(*(F.when(s > 0, s).otherwise(F.length(entries) + 1) for s in stops))
-    sound = at > 0
-    return F.when(sound, clip(goal, 200)), F.when(sound, clip(F.substring(rest, F.lit(1), end - 1), 300)), F.when(sound & (next_at > 0), clip(F.substring(entries, F.lit(1), stop - 1), 200))
+    headings = F.array(*(F.struct(F.lit(_start(h)).alias("start"), F.lit(field == "nextSteps").alias("is_next")) for field, h in SECTIONS))
+
+    def step(rest: Column, acc: Column, heading: Column) -> Column:
+        after = lambda found: found + F.length(heading["start"])
+        return _let(
+            F.position(heading["start"], rest, acc["since"]),
+            lambda found: F.struct(
+                F.when(found > 0, after(found)).otherwise(acc["since"]).alias("since"), F.when(found > 0, F.least(acc["end"], found)).otherwise(acc["end"]).alias("end"),
+                F.when(heading["is_next"], F.when(found > 0, after(found)).otherwise(0)).otherwise(acc["next_at"]).alias("next_at"),
+            ),
+        )
+
+    def entry(rest: Column, next_at: Column) -> Column:
+        def first(entries: Column) -> Column:
+            stops = [F.position(F.lit(s), entries) for s in ("\n- ", _start("Preferences"))]
+            return F.substring(entries, F.lit(1), F.least(*(F.when(s > 0, s).otherwise(F.length(entries) + 1) for s in stops)) - 1)
+
+        return F.when(next_at > 0, _let(_let(F.substring(rest, next_at, F.length(rest)), first), lambda t: clip(t, 200)))
+
+    def parted(x: Column) -> Column:
+        start = F.struct(F.lit(1).alias("since"), (F.length(x["rest"]) + 1).alias("end"), F.lit(0).alias("next_at"))
+        return _let(
+            F.aggregate(headings, start, lambda acc, heading: step(x["rest"], acc, heading)),
+            lambda at: F.struct(
+                _let(x["goal"], lambda t: clip(t, 200)).alias("goal"), _let(F.substring(x["rest"], F.lit(1), at["end"] - 1), lambda t: clip(t, 300)).alias("status"), entry(x["rest"], at["next_at"]).alias("next"),
+            ),
+        )
+
+    def whole(t: Column) -> Column:
+        at = F.position(F.lit(mark), t)
+        sides = F.struct(F.substring(t, F.lit(7), at - 7).alias("goal"), F.substring(t, at + len(mark), F.length(t)).alias("rest"))
+        return F.when(F.startswith(t, F.lit("Goal: ")) & (at > 0), _let(sides, parted))
+
+    found = _let(body, whole)
+    return found["goal"], found["status"], found["next"]
 
 
 def bound_workstreams(output: Column) -> Column:

@@ -57,8 +57,8 @@ def checkpoint_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("lang"), F.replace("text", F.lit("\n\n"), F.lit(" ")), decisions=F.when(d % 2 == 0, F.array(F.lit("first"), F.lit("second"))).otherwise(none), nextSteps=F.when(d % 3 != 0, F.array("source", F.lit("later"))).otherwise(none),
         preferences=F.when(d % 5 == 0, F.array(F.lit("p"))).otherwise(none),
     )
-    goal, status, after = rules.summarise_checkpoint(body)
-    return rows.select("doc_id", goal.alias("goal"), status.alias("status"), after.alias("next"))
+    goal, status, after = rules.summarise_checkpoint(F.col("body"))
+    return rows.select("doc_id", body.alias("body")).select("doc_id", goal.alias("goal"), status.alias("status"), after.alias("next"))
 
 
 @query(

@@ -36,6 +36,12 @@ def test_checkpoints_come_back(spark):
     assert made == "Goal: g\n\nStatus: s\n\nDecisions:\n- d1\n- d2"
 
 
+def test_a_checkpoints_summary_is_a_small_expression(spark):
+    df = spark.createDataFrame([("Goal: g\n\nStatus: s\n\nNext steps:\n- n",)], "b string").select(*rules.summarise_checkpoint(F.col("b")))
+    assert tuple(df.first()) == ("g", "s", "n")
+    assert len(df._jdf.queryExecution().optimizedPlan().toString()) < 60_000
+
+
 def test_what_outputs_name(spark):
     a, b, s = "wst_" + "a" * 32, "wst_" + "b" * 32, "ses_" + "c" * 32
     cases = [(json.dumps({"scope": {"workstreamId": a}, "x": {"workstreamId": b}}), [a], []), (f'cut "workstreamId":"{a}" "workstreamId":"{b}" "workstreamId":"{a}"', [a, b], []), ('{"scope":{"workstreamId":"odd"}}', [], []), (f'"headRevision":3,"sessionId":"{s}","sessionId":"ses_{"d" * 32}"', [], [s]), ("[]", [], [])]
