@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import stemming, text
@@ -48,6 +51,132 @@ def bm25(index: DataFrame, query_terms: DataFrame, eligible: DataFrame | None =
     return hits.groupBy("query_id", "id").agg(F.round(-F.sum(part), 6).alias("score"))
 
 
+def asked_postings(chunks: DataFrame, words: DataFrame, body: str = "body") -> DataFrame:
+    """(seq, parts): of every record with a word its chunks, each with its length and how often it has each asked term.
+
+    chunks: seq, ordinal and the text; words: word, term, the words that stand for an asked term (their own or their stem).
+    Texts are shuffled once, by seq; other words are only counted, so nothing but asked terms is kept. Rows of one seq
+    and ordinal are one chunk."""
+    rows = chunks.repartition("seq").select("seq", "ordinal", F.explode(text.tokens(F.col(body))).alias("word"))
+    counted = rows.join(words.select("word", "term"), "word", "left").groupBy("seq", "ordinal", "term").agg(F.count("*").alias("tf"))
+    known = F.when(F.col("term").isNotNull(), F.struct("term", "tf"))
+    part = counted.groupBy("seq", "ordinal").agg(F.sum("tf").alias("dl"), F.collect_list(known).alias("found"))
+    part = part.select("seq", F.struct("dl", F.col("found.term").alias("terms"), F.col("found.tf").alias("tfs")).alias("part"))
+    return part.groupBy("seq").agg(F.collect_list("part").alias("parts"))
+
+
+def weighed(postings: DataFrame, query_terms: DataFrame) -> DataFrame:
+    """(query_id, term, idf, avgdl) of asked terms that some chunk has. Statistics are of all chunks."""
+    whole = postings.select(F.explode("parts.dl").alias("dl")).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    df = postings.select(F.explode(F.flatten("parts.terms")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    idf = F.ln((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    df = df.crossJoin(F.broadcast(whole)).select("term", F.when(idf <= 0, 1e-6).otherwise(idf).alias("idf"), "avgdl")
+    return query_terms.join(df, "term").select("query_id", "term", "idf", "avgdl")
+
+
+def _scores(asked: pa.Table, held: pa.Table, cells: int = 2_000_000) -> tuple[pa.Array, np.ndarray]:
+    """The queries, and of every held record (rows) its best chunk's weight for each of them: 0 where no term is in common."""
+    queries, terms = (asked.column(c).combine_chunks().dictionary_encode() for c in ("query_id", "term"))
+    weight = np.zeros((len(terms.dictionary), len(queries.dictionary)))
+    np.add.at(weight, (terms.indices.to_numpy(), queries.indices.to_numpy()), asked.column("idf").to_numpy())
+    avgdl = asked.column("avgdl")[0].as_py()
+    parts = pa.concat_arrays(held.column("parts").chunks)
+    upto = parts.value_lengths().to_numpy().cumsum()
+    parts = parts.flatten()
+    dl, found, tf = (parts.field(c) for c in ("dl", "terms", "tfs"))
+    of = np.repeat(np.arange(len(dl)), found.value_lengths().to_numpy())
+    code = pc.fill_null(pc.index_in(found.flatten(), terms.dictionary), -1).to_numpy(zero_copy_only=False)
+    dl, tf = dl.to_numpy(), tf.flatten().to_numpy()
+    value = tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl[of] / avgdl))
+    of, code, value = (x[code >= 0] for x in (of, code, value))
+    out = np.zeros((held.num_rows, len(queries.dictionary)))
+    # Records in slices, so that chunks times terms stay within the cells (one record is never cut).
+    low = 0
+    while low < len(upto):
+        start = upto[low - 1] if low else 0
+        high = max(low + 1, int(np.searchsorted(upto, start + max(1, cells // len(weight)), "right")))
+        a, b = np.searchsorted(of, (start, upto[high - 1]))
+        x = np.zeros((upto[high - 1] - start, len(weight)))
+        x[of[a:b] - start, code[a:b]] = value[a:b]
+        out[low:high] = np.maximum.reduceat(x @ weight, np.concatenate([[0], upto[low : high - 1] - start]), axis=0)
+        low = high
+    return queries.dictionary, out
+
+
+def _meet(held: DataFrame, asked: DataFrame, work: Callable[[pa.Table, pa.Table], pa.Table], schema: str, sizes: tuple[int, int], block: int, part: int) -> DataFrame:
+    """work over every pair of a block of queries and a part of the records; sizes: how many queries and records there are."""
+    blocks, parts = (-(-max(n, 1) // size) for n, size in zip(sizes, (block, part), strict=True))
+    deal = lambda df, by, own, other, n, m: df.withColumn(own, F.pmod(F.xxhash64(by), F.lit(n)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
+    q, h = deal(asked, "query_id", "block_", "part_", blocks, parts), deal(held, "seq", "part_", "block_", parts, blocks)
+    return q.groupBy("block_", "part_").cogroup(h.groupBy("block_", "part_")).applyInArrow(work, schema)
+
+
+def _kind(df: DataFrame, column: str) -> str:
+    return df.schema[column].dataType.simpleString()
+
+
+def totals(postings: DataFrame, asked: DataFrame, able: DataFrame, block: int = 500, part: int = 4000) -> DataFrame:
+    """(query_id, matches, best): how many of the able records each query matches, and the best (lowest) score. A part of
+    the records leaves one row a query; scores themselves are never shuffled."""
+    kinds = [f"query_id {_kind(asked, 'query_id')}", "matches long", "best double"]
+
+    def work(queries: pa.Table, held: pa.Table) -> pa.Table:
+        if not (queries.num_rows and held.num_rows):
+            return pa.table([pa.array([], queries.schema.field("query_id").type), pa.array([], pa.int64()), pa.array([], pa.float64())], names=["query_id", "matches", "best"])
+        ids, weight = _scores(queries, held)
+        n = (weight > 0).sum(axis=0)
+        return pa.table([ids, n, np.round(-weight.max(axis=0), 6) + 0.0], names=["query_id", "matches", "best"]).filter(pa.array(n > 0))
+
+    sizes = (asked.select("query_id").distinct().count(), postings.count())
+    found = _meet(postings.join(able.select("seq"), "seq"), asked, work, ", ".join(kinds), sizes, block, part)
+    return found.groupBy("query_id").agg(F.sum("matches").alias("matches"), F.min("best").alias("best"))
+
+
+def by_score(score: np.ndarray, row: dict[str, np.ndarray], query: dict) -> list[np.ndarray]:
+    """The order of top: score, newest, highest seq."""
+    return [score, -row["created_at"], -row["seq"]]
+
+
+def by_tier(score: np.ndarray, row: dict[str, np.ndarray], query: dict) -> list[np.ndarray]:
+    """The order of tiers, of rows with verbatim and in_window and queries with best and now."""
+    windowed = (score <= RELEVANT * query["best"]) & row["in_window"].astype(bool)
+    newest = (score <= CLOSE * query["best"]) & query["now"]
+    return [-row["verbatim"], ~windowed, ~newest, np.where(newest, -row["created_at"], np.iinfo(np.int64).max), *by_score(score, row, query)]
+
+
+def leading(postings: DataFrame, asked: DataFrame, able: DataFrame, k: int, order: Callable = by_score, block: int = 500, part: int = 4000) -> DataFrame:
+    """The able records (all their columns) with query_id and score that may be among the first k of a query: of each part of
+    the records the first k by order. What k others of a part come before is behind them in the whole, so nothing is lost.
+
+    order: from scores, number columns of able (times in microseconds) and the query's other columns (equal in its rows of
+    asked) to keys, the first weighs most."""
+    carried, extra = able.columns, [c for c in asked.columns if c not in ("query_id", "term", "idf", "avgdl")]
+    kinds = [f"query_id {_kind(asked, 'query_id')}", "score double", *(f"`{c}` {_kind(asked, c)}" for c in extra), *(f"`{c}` {_kind(able, c)}" for c in carried)]
+    numbers = [f.name for f in able.schema if f.dataType.typeName() in ("long", "integer", "double", "boolean", "timestamp")]
+
+    def work(queries: pa.Table, held: pa.Table) -> pa.Table:
+        names = ["query_id", "score", *extra, *carried]
+        ids, weight = _scores(queries, held) if queries.num_rows and held.num_rows else (queries.column("query_id").combine_chunks()[:0], np.zeros((0, 0)))
+        score = np.round(-weight, 6) + 0.0
+        times = {c: held.column(c).cast(pa.int64()) if pa.types.is_timestamp(held.column(c).type) else held.column(c) for c in numbers}
+        row = {c: x.to_numpy() for c, x in times.items()}
+        first = pc.index_in(ids, queries.column("query_id").combine_chunks()).to_pylist()
+        said = [{c: queries.column(c)[i].as_py() for c in extra} for i in first]
+        rows, of = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for j in range(len(ids)):
+            at = np.flatnonzero(weight[:, j] > 0)
+            keys = order(score[at, j], {c: x[at] for c, x in row.items()}, said[j])
+            rows.append(at[np.lexsort(keys[::-1])[:k]])
+            of.append(np.full(len(rows[-1]), j))
+        rows, of = np.concatenate(rows), np.concatenate(of)
+        columns = [ids.take(pa.array(of)), pa.array(score[rows, of] if len(rows) else np.zeros(0))]
+        columns += [queries.column(c).take(pa.array([first[j] for j in of], pa.int64())) for c in extra]
+        return pa.table([*columns, *(held.column(c).take(pa.array(rows)) for c in carried)], names=names)
+
+    sizes = (asked.select("query_id").distinct().count(), postings.count())
+    return _meet(postings.join(able, "seq"), asked, work, ", ".join(kinds), sizes, block, part)
+
+
 def per_query(*order: Column) -> Window:
     return Window.partitionBy("query_id").orderBy(*order)
 
@@ -59,8 +188,9 @@ def top(scored: DataFrame, n: int) -> DataFrame:
 
 
 def relative(scored: DataFrame) -> DataFrame:
-    """Adds relevant and close: at least half, or nine tenths, of the query's best score."""
-    best = F.min("score").over(Window.partitionBy("query_id"))
+    """Adds relevant and close: at least half, or nine tenths, of the query's best score (its column best, where the rows
+    are not all that it matches)."""
+    best = F.col("best") if "best" in scored.columns else F.min("score").over(Window.partitionBy("query_id"))
     return scored.withColumn("relevant", F.col("score") <= RELEVANT * best).withColumn("close", F.col("score") <= CLOSE * best)
 
 

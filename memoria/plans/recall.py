@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import text, vectors
 from ..operators import eligibility, ranking
@@ -23,22 +23,29 @@ _BM25 = rf"""{_V}, {views.QUERY_TERMS},
   ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, created_at DESC, seq DESC) AS rank FROM scored)"""
 
 
-def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """BM25 matches among recallable records."""
-    able = eligibility.recallable(views.records(spark, sf_dir), views.taints(spark, sf_dir), "en")
-    index, length = views.index(spark, sf_dir)
-    hits = ranking.bm25(index, views.queries(spark, sf_dir), able.select(F.col("seq").alias("id")), length)
-    return hits.withColumnRenamed("id", "seq").join(able, "seq")
+def able(spark: SparkSession, sf_dir: str, *more: Column) -> DataFrame:
+    """Recallable records without their bodies, with what else is made of them."""
+    rows = views.records(spark, sf_dir).select("seq", "id", "kind", "workstream_id", "lifecycle", "attribution", "created_at", *more)
+    return eligibility.recallable(rows, views.taints(spark, sf_dir), "en").drop("id", "kind", "workstream_id", "lifecycle")
+
+
+def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranking.weighed(views.index(spark, sf_dir), views.queries(spark, sf_dir))
+
+
+def first(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
+    """The first k BM25 matches of each query among recallable records."""
+    return ranking.top(ranking.leading(views.index(spark, sf_dir), asked(spark, sf_dir), able(spark, sf_dir), k), k)
 
 
 @query(_BM25 + " SELECT query_id, seq, rank, score FROM ranked WHERE rank <= 10")
 def recall_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ranking.top(scored(spark, sf_dir), 10).select("query_id", "seq", "rank", "score")
+    return first(spark, sf_dir, 10).select("query_id", "seq", "rank", "score")
 
 
 @query(_BM25 + " SELECT query_id, count(*) AS matches, min(score) AS best FROM scored GROUP BY query_id")
 def recall_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scored(spark, sf_dir).groupBy("query_id").agg(F.count("*").alias("matches"), F.min("score").alias("best"))
+    return ranking.totals(views.index(spark, sf_dir), asked(spark, sf_dir), able(spark, sf_dir))
 
 
 @query(
@@ -52,7 +59,12 @@ def recall_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 def recall_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     window = eligibility.in_window(F.lit("2024-01-01 02:00:00").cast("timestamp"), F.lit("2024-01-01 08:00:00").cast("timestamp"))
     phrases = text.phrases_contained(F.col("body"), F.array(F.lit("The")))
-    rows = ranking.tiers(scored(spark, sf_dir), phrases, window, F.col("query_id") % 2 == 0)
+    records = able(spark, sf_dir, F.coalesce(phrases, F.lit(-1)).alias("verbatim"), F.coalesce(window, F.lit(False)).alias("in_window"))
+    index, terms = views.index(spark, sf_dir), asked(spark, sf_dir)
+    # A query's best score decides what is relevant, so it comes first, for all matches.
+    best = ranking.totals(index, terms, records).select("query_id", "best")
+    terms = terms.join(best, "query_id").withColumn("now", F.col("query_id") % 2 == 0)
+    rows = ranking.tiers(ranking.leading(index, terms, records, 20, ranking.by_tier), F.col("verbatim"), F.col("in_window"), F.col("now"))
     return rows.where("pos <= 20").select("query_id", "seq", "pos", "verbatim", "windowed", "newest")
 
 
@@ -68,7 +80,7 @@ _BANDED = (
 
 @query(_BANDED + " SELECT query_id, seq, rank, band FROM banded")
 def relevance_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ranking.bands(ranking.top(scored(spark, sf_dir), 30)).select("query_id", "seq", "rank", "band")
+    return ranking.bands(first(spark, sf_dir, 30)).select("query_id", "seq", "rank", "band")
 
 
 @query(
@@ -78,7 +90,7 @@ def relevance_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
   SELECT query_id, seq, band, trust_pos FROM placed"""
 )
 def trust_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    banded = ranking.bands(ranking.top(scored(spark, sf_dir), 30))
+    banded = ranking.bands(first(spark, sf_dir, 30))
     attribution = F.col("attribution")
     placed = ranking.trust_order(banded, F.col("seq") % 3, F.when(attribution == "direct_observation", 0).otherwise(1), F.when(attribution == "agent_inference", 1).otherwise(0), F.col("seq") % 2)
     return placed.select("query_id", "seq", "band", "trust_pos")

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..functions import vectors
 from ..operators import eligibility, fill, freshness, lineage, ranking
 from ..sources import views
-from .recall import _BANDED, _VECTOR, scored
+from .recall import _BANDED, _VECTOR, first
 from .registry import query
 from .upkeep import _CHUNKS, _chunks
 
@@ -57,7 +57,7 @@ def trust_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which level of trust lifted a record above one that came before it."""
     attribution = F.col("attribution")
     levels = {"freshness": F.col("seq") % 3, "evidence": F.when(attribution == "direct_observation", 0).otherwise(1), "attribution": F.when(attribution == "agent_inference", 1).otherwise(0), "roots": 1 - F.col("seq") % 2}
-    rows = ranking.trust_reasons(ranking.bands(ranking.top(scored(spark, sf_dir), 30)), levels)
+    rows = ranking.trust_reasons(ranking.bands(first(spark, sf_dir, 30)), levels)
     return rows.select("query_id", "seq", *(F.col(f"lifted_{n}").alias(f"by_{n}") for n in levels))
 
 

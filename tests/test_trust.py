@@ -1,5 +1,6 @@
 """Chunks, kept tables, vector fills, top-k scans, freshness and trust reasons on hand-made rows, and the upkeep operators."""
 
+import datetime
 import hashlib
 import random
 
@@ -196,3 +197,24 @@ def test_upkeep_on_ties_nulls_and_repeats(spark):
     titles = make([("read (error): a: b",), ("run: ok\nmore",), ("none",), (None,)], "t string").select(*upkeep.result_title(F.col("t")))
     assert [tuple(r) for r in titles.collect()] == [("read", True, "a: b"), ("run", False, "ok\nmore"), (None, None, None), (None, None, None)]
     assert text.redact(F.lit(""))[0] is not None
+
+
+def test_leading_and_totals_equal_plain_ranking(spark):
+    """Scores by blocks of queries and parts of records, none of which sees the whole."""
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(30)]
+    # Ids that repeat, records without words, chunks of one record.
+    texts = [(rng.randrange(60), rng.randrange(3), " ".join(rng.choice(words[: rng.randint(1, 30)]) for _ in range(rng.choice([0, 3, 40])))) for _ in range(150)]
+    asked = [(q, w) for q in range(9) for w in rng.sample([*words, "nowhere"], 6)]
+    chunks = spark.createDataFrame(texts, "seq long, ordinal int, body string")
+    terms = spark.createDataFrame(asked, "query_id long, term string")
+    able = spark.createDataFrame([(i, datetime.datetime(2024, 1, 1 + i % 5)) for i in range(60) if i % 4], "seq long, created_at timestamp")
+    index = ranking.postings(chunks.withColumn("id", F.struct("seq", "ordinal")), "id")
+    plain = ranking.bm25(index, terms).groupBy("query_id", F.col("id.seq").alias("seq")).agg(F.min("score").alias("score")).join(able, "seq").localCheckpoint()
+    postings = ranking.asked_postings(chunks, views.words(terms)).localCheckpoint()
+    weighed = ranking.weighed(postings, terms)
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    columns = ("query_id", "seq", "score", "rank")
+    assert rows(ranking.top(ranking.leading(postings, weighed, able, 7, block=2, part=9), 7).select(*columns)) == rows(ranking.top(plain, 7).select(*columns))
+    assert rows(ranking.totals(postings, weighed, able, block=2, part=9)) == rows(plain.groupBy("query_id").agg(F.count("*"), F.min("score")))
+    assert not ranking.leading(postings, weighed.where("false"), able, 7).count() and not ranking.totals(postings.where("false"), weighed, able).count()
