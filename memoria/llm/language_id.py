@@ -265,15 +265,15 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return predict(rows.select(F.col(id_col), "held_out", F.col("text_in").alias("text")), model).select(id_col, "held_out", "lang_pred", "score")
 
 
-def rejection_cut(docs: DataFrame, model: tuple[Network, list[str]] | None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_label: int = 600, share: float = 0.9, most: float = 0.5) -> float:
+def rejection_cut(docs: DataFrame, model: tuple[Network, list[str]] | None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", share: float = 0.9, most: float = 0.5) -> float:
     """The pooled probability below which a language counts as undetermined: `share` of the one that all but a
-    thousandth of the held-out documents reach, and `most` at the most. It is fitted on about per_label held-out
-    documents of each label (a documented bound, drawn by a hash of the id); 0 where there is none."""
-    rows = docs.where(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & held_out(F.col(id_col)) & has_letter(F.col(text_col)))
-    rows = rows.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"), F.pmod(F.xxhash64(id_col), F.lit(1 << 30)).alias("draw"))
-    counts = rows.groupBy("lang").count()
-    rows = rows.join(F.broadcast(counts.where(F.col("lang").isin(model[1] if model else []))), "lang").where(F.col("draw") < F.lit(per_label << 30) / F.col("count"))
-    found = predict(rows.select("text"), model).agg(F.percentile("score", F.lit(0.001))).first()[0]
+    thousandth of the held-out documents reach, and `most` at the most. It is fitted on all held-out documents whose label
+    the model knows; 0 where there is none. Equal probabilities are counted before they meet, to six decimals, so the
+    task that finds the quantile holds a million rows at most."""
+    known = F.col(lang_col).cast("string").isin(model[1] if model else [])
+    rows = docs.where(known & F.col(id_col).isNotNull() & held_out(F.col(id_col)) & has_letter(F.col(text_col)))
+    scores = predict(rows.select(F.col(text_col).alias("text")), model).groupBy(F.round("score", 6).alias("score")).count()
+    found = scores.agg(F.percentile("score", F.lit(0.001), F.col("count"))).first()[0]
     return 0.0 if found is None else min(most, share * found)
 
 

@@ -113,6 +113,18 @@ def test_undetermined_documents_go_and_clean_ones_stay(spark):
     assert len([i for i in ids if i < 10**6]) >= 0.998 * docs.count() and len([i for i in ids if i >= 10**6]) <= 12
 
 
+def test_the_cut_is_fitted_on_all_held_out_documents(spark):
+    """Of 2,400 held-out documents four are odd, which is the thousandth-quantile of all, and hardly that of a sample of 600."""
+    docs = table(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "text", "lang")
+    model = language_id.language_model(docs)
+    ids = [i for i in range(20_000) if zlib.crc32(str(i).encode()) % 4 == 2][:2400]
+    good = max((r.text for r in docs.where("lang is not null and length(text) between 100 and 200").limit(30).collect()), key=lambda t: judged(model, t))
+    odd = min(("xqzw kjvb", "zzz QQ ww", "x", "kkkk", "jq"), key=lambda t: judged(model, t))
+    rows = spark.createDataFrame([(i, odd if k % 600 == 2 else good, model[1][0]) for k, i in enumerate(ids)], "doc_id long, text string, lang string")
+    cut = language_id.rejection_cut(rows, model, most=1.0)
+    assert cut == pytest.approx(0.9 * judged(model, odd), abs=1e-5)
+
+
 def test_merge_dropout(spark):
     import sentencepiece
 
