@@ -262,7 +262,7 @@ def vector_scan(queries: DataFrame, stored: DataFrame, block: int = 1000, part:
     return rows.groupBy("query_id", "record").agg(F.round(F.max("score"), 6).alias("score"), F.sum("chunks").alias("chunks"), F.sum("embedded").alias("embedded"))
 
 
-def vector_top(queries: DataFrame, stored: DataFrame, k: int, block: int = 1000, part: int = 20_000) -> DataFrame:
+def vector_top(queries: DataFrame, stored: DataFrame, k: int, block: int = 1000, part: int = 4000) -> DataFrame:
     """(query_id, record, score, rank): of each query the k records with the best cosine of any of their chunks, ties by
     the higher record. Input as for vector_scan; chunks without a vector are not compared.
 
@@ -280,11 +280,15 @@ def vector_top(queries: DataFrame, stored: DataFrame, k: int, block: int = 1000,
             x = np.stack(asked.column("q").to_numpy(zero_copy_only=False))
             record, at = np.unique(held.column("record").to_numpy(), return_inverse=True)
             y = np.stack(held.column("values").to_numpy(zero_copy_only=False)) * held.column("scale").to_numpy()[:, None]
-            cos = np.full((len(record), len(x)), -np.inf)
-            np.maximum.at(cos, at, np.round(y @ x.T, 6))
-            for i, query in enumerate(asked.column("query_id").to_numpy()):
-                first = np.lexsort((-record, -cos[:, i]))[:k]
-                found.append((np.full(len(first), query), record[first], cos[first, i]))
+            # Chunks in the order of their records, queries a hundred at a time.
+            y = y[np.argsort(at, kind="stable")]
+            starts = np.concatenate([[0], np.cumsum(np.bincount(at))[:-1]])
+            ids = asked.column("query_id").to_numpy()
+            for low in range(0, len(x), 100):
+                cos = np.maximum.reduceat(np.round(y @ x[low : low + 100].T, 6), starts, axis=0)
+                for i, query in enumerate(ids[low : low + 100]):
+                    first = np.lexsort((-record, -cos[:, i]))[:k]
+                    found.append((np.full(len(first), query), record[first], cos[first, i]))
         columns = zip(*found, strict=True) if found else ([np.zeros(0)],) * 3
         return pa.table([pa.array(np.concatenate(c)).cast(t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["query_id", "record", "score"])
 
