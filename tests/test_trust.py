@@ -218,3 +218,12 @@ def test_leading_and_totals_equal_plain_ranking(spark):
     assert rows(ranking.top(ranking.leading(postings, weighed, able, 7, block=2, part=9), 7).select(*columns)) == rows(ranking.top(plain, 7).select(*columns))
     assert rows(ranking.totals(postings, weighed, able, block=2, part=9)) == rows(plain.groupBy("query_id").agg(F.count("*"), F.min("score")))
     assert not ranking.leading(postings, weighed.where("false"), able, 7).count() and not ranking.totals(postings.where("false"), weighed, able).count()
+
+
+def test_chunks_are_cut_where_they_lie_and_in_small_batches(spark):
+    views.table(spark, "/root/testdata/sf0.001", "documents")
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 1000
+    records = spark.createDataFrame([(1, "a", "b c"), (1, "a", "b c"), (2, "t", "b c"), (3, "", None), (4, None, "")], "seq long, title string, body string")
+    made = upkeep.chunks(records)
+    assert rows(made.select("record", "ordinal", "field", "text")) == [(1, 0, "title", "a")] * 2 + [(1, 1, "body", "b c")] * 2 + [(2, 0, "title", "t"), (2, 1, "body", "b c")]
+    assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString()
