@@ -24,11 +24,12 @@ def missing(chunks: DataFrame, fillable: DataFrame, vectors: DataFrame, model: s
 
     chunks: id, seq, ordinal, text, text_hash; fillable: seq, workstream_id of the records that may be embedded; vectors:
     model, text_hash. A text that many chunks share is asked for where it comes first; it shrinks to one row before the
-    order is taken, and the order is a top-k, so nothing is gathered."""
+    order is taken, and the order is a top-k, so nothing is gathered. Texts themselves are read for those rows alone."""
     rows = chunks.join(fillable.select("seq", "workstream_id"), "seq").withColumn("region", region(workstream, top, since)).where("region is not null and text_hash is not null")
     rows = rows.join(vectors.where(F.col("model") == model).select("text_hash"), "text_hash", "left_anti")
-    first = rows.groupBy("text_hash").agg(F.min(F.struct("region", (-F.col("seq")).alias("newest"), "ordinal", "text")).alias("f"))
-    return first.orderBy("f.region", "f.newest", "f.ordinal", "text_hash").limit(limit).select("text_hash", "f.text")
+    first = rows.groupBy("text_hash").agg(F.min(F.struct("region", (-F.col("seq")).alias("newest"), "ordinal")).alias("f"))
+    wanted = first.orderBy("f.region", "f.newest", "f.ordinal", "text_hash").limit(limit).select("text_hash")
+    return chunks.select("text_hash", "text").join(F.broadcast(wanted), "text_hash").groupBy("text_hash").agg(F.min("text").alias("text"))
 
 
 def stored(spark: SparkSession, path: str) -> DataFrame:
@@ -60,9 +61,12 @@ def fill(
     while steps is None or done < steps:
         known = stored(spark, path)
         n = known.agg(F.coalesce(F.max("step") + 1, F.lit(0))).first()[0]
-        todo = missing(chunks, fillable, known, model, workstream, top, since, limit)
-        if todo.isEmpty():
-            break
-        todo.repartition(spark.sparkContext.defaultParallelism).mapInPandas(work, VECTOR).write.mode("overwrite").parquet(f"{path}/step={n}")
+        todo = missing(chunks, fillable, known, model, workstream, top, since, limit).persist()
+        try:
+            if not todo.count():
+                break
+            todo.repartition(spark.sparkContext.defaultParallelism).mapInPandas(work, VECTOR).write.mode("overwrite").parquet(f"{path}/step={n}")
+        finally:
+            todo.unpersist()
         done += 1
     return done

@@ -104,7 +104,8 @@ def vector_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
         return pd.DataFrame({"values": [[b - 128 for b in hashlib.sha256(t.encode()).digest()[:8]] for t in texts], "scale": 1 / 128})
 
     able = eligibility.fillable(views.records(spark, sf_dir), views.taints(spark, sf_dir)).select("seq", "workstream_id")
-    chunks = _chunks(spark, sf_dir)[0].withColumnRenamed("record", "seq").withColumn("id", F.col("seq"))
+    # Every step reads all hashes, so the texts are cut once.
+    chunks = views.kept(spark, sf_dir, "fill-chunks", lambda: _chunks(spark, sf_dir)[0].select(F.col("record").alias("seq"), "ordinal", "text", "text_hash")).withColumn("id", F.col("seq"))
     top = views.records(spark, sf_dir).agg(F.max("seq")).first()[0] - 20
     path = f"{views.shared_dir(spark)}/fill-{uuid.uuid4().hex}"
     for steps in (1, 2):
