@@ -13,6 +13,8 @@ from ..functions import text
 #: Fixed value: the shortest normalised piece that counts as a restatement.
 LEAST = 40
 GRAM = 16
+#: Of so many of a piece's grams the rarest finds it.
+KEYS = 8
 #: Texts of a hot gram go to blocks of about so many.
 BLOCK = 20_000
 
@@ -34,34 +36,43 @@ def selected_grams(normal: str, gram: int, window: int) -> np.ndarray:
     return np.unique(least).astype(np.int64)
 
 
-def grams(rows: DataFrame, id_col: str, text_col: str, least: int = LEAST, gram: int = GRAM) -> DataFrame:
-    """(id, gram) of texts that are normalised already; null and shorter texts have none."""
-    kind = rows.schema[id_col].dataType.simpleString()
+def grams(rows: DataFrame, id_col: str, text_col: str, least: int = LEAST, gram: int = GRAM, most: int | None = None, with_col: str | None = None) -> DataFrame:
+    """(id, gram) of texts that are normalised already; null and shorter texts have none. most: so many of each text's are
+    enough, spread evenly; with_col: a column that comes along as scope."""
+    kept = [id_col, *([with_col] if with_col else [])]
+    kinds = [f"{n} {rows.schema[c].dataType.simpleString()}" for n, c in zip(("id", "scope"), kept, strict=False)]
+
+    def some(found: np.ndarray) -> np.ndarray:
+        return found if most is None or len(found) <= most else found[np.linspace(0, len(found) - 1, most).astype(np.int64)]
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [selected_grams(t, gram, least - gram + 1) if t else np.zeros(0, np.int64) for t in batch.column(1).to_pylist()]
-            of = np.repeat(np.arange(batch.num_rows), [len(f) for f in found])
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(of)), pa.array(np.concatenate([*found, np.zeros(0, np.int64)]))], names=["id", "gram"])
+            found = [some(selected_grams(t, gram, least - gram + 1)) if t else np.zeros(0, np.int64) for t in batch.column(0).to_pylist()]
+            of = pa.array(np.repeat(np.arange(batch.num_rows), [len(f) for f in found]))
+            columns = [batch.column(i + 1).take(of) for i in range(len(kept))]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(np.concatenate([*found, np.zeros(0, np.int64)]))], names=["id", "scope"][: len(kept)] + ["gram"])
 
-    return rows.select(id_col, text_col).mapInArrow(work, f"id {kind}, gram long")
+    return rows.select(text_col, *kept).mapInArrow(work, ", ".join([*kinds, "gram long"]))
 
 
-def containing(texts: DataFrame, pieces: DataFrame, least: int = LEAST) -> DataFrame:
+def containing(texts: DataFrame, pieces: DataFrame, least: int = LEAST, everywhere: bool = True) -> DataFrame:
     """(text_id, piece_id): which texts contain which pieces of their scope.
 
     texts: text_id, scope, normal; pieces: piece_id, scope, piece (at least `least` characters; shorter ones are not
     found). Both are normalised. A piece of null scope is looked for in all texts; a text of null scope is found by such
-    pieces alone. Each piece is keyed by that of its selected grams which the fewest texts of its scope have; a piece with
-    a gram that no text has is in none. Texts meet it on that key only, those of a hot key in blocks, and whoever meets
+    pieces alone; without `everywhere` pieces of null scope are not looked for, which halves the keys. A text that contains a
+    piece has all its selected grams, so any one of them finds it: each piece is keyed by that of eight of them which the
+    fewest texts of its scope have; a piece with a gram that no text has is in none. Texts meet it on that key only, those of a hot key in blocks, and whoever meets
     is compared in full. Grams repeat within a text once, so keys cost about a tenth of a text's characters.
     """
     scoped = lambda gram, scope: F.xxhash64(gram, F.coalesce(scope.cast("string"), F.lit("")), scope.isNull())
-    in_text = grams(texts, "text_id", "normal", least).join(texts.select(F.col("text_id").alias("id"), "scope"), "id")
-    both = F.array_distinct(F.array(scoped(F.col("gram"), F.col("scope")), scoped(F.col("gram"), F.lit(None).cast("string"))))
-    in_text = in_text.select(F.col("id").alias("text_id"), F.explode(both).alias("key"))
-    in_piece = grams(pieces, "piece_id", "piece", least).join(pieces.select(F.col("piece_id").alias("id"), "scope"), "id")
-    in_piece = in_piece.select(F.col("id").alias("piece_id"), scoped(F.col("gram"), F.col("scope")).alias("key"))
+    if not everywhere:
+        texts, pieces = texts.where("scope is not null"), pieces.where("scope is not null")
+    in_text = grams(texts, "text_id", "normal", least, with_col="scope")
+    own = scoped(F.col("gram"), F.col("scope"))
+    key = F.explode(F.array_distinct(F.array(own, scoped(F.col("gram"), F.lit(None).cast("string"))))) if everywhere else own
+    in_text = in_text.select(F.col("id").alias("text_id"), key.alias("key"))
+    in_piece = grams(pieces, "piece_id", "piece", least, most=KEYS, with_col="scope").select(F.col("id").alias("piece_id"), own.alias("key"))
 
     asked = in_text.join(in_piece.select("key").distinct(), "key", "left_semi")
     held = asked.groupBy("key").agg(F.count("*").alias("texts"))
@@ -102,12 +113,13 @@ def restated_echoes(shown: DataFrame, messages: DataFrame) -> DataFrame:
     on; only later lines restate it. Null texts restate nothing; a message without restatements has no row; repeated rows
     count once. The pieces of a record are found once for all branches that show it and looked for in each branch.
     """
-    first = shown.where("body is not null").groupBy("branch", "record").agg(F.min("line").alias("since"), F.min_by("body", "line").alias("body"))
+    first = shown.where("body is not null and branch is not null").groupBy("branch", "record").agg(F.min("line").alias("since"), F.min_by("body", "line").alias("body"))
     held = first.select("branch", "record", "since", F.explode(text.restatable(F.col("body"), LEAST)).alias("piece"))
-    held = held.withColumn("piece_id", F.sha2(F.concat_ws("\x1f", F.col("branch").cast("string"), "piece").cast("binary"), 256))
+    # 16 bytes of the digest: ids go with every gram.
+    held = held.withColumn("piece_id", F.substring(F.unhex(F.sha2(F.concat_ws("\x1f", F.col("branch").cast("string"), "piece").cast("binary"), 256)), 1, 16))
     pieces = held.select("piece_id", F.col("branch").alias("scope"), "piece").distinct()
     said = messages.where("text is not null").select("branch", "line", F.struct("branch", "line").alias("text_id"), F.col("branch").alias("scope"), text.normalise_echo(F.col("text")).alias("normal"))
     said = said.dropDuplicates(["branch", "line"])
-    found = containing(said.select("text_id", "scope", "normal"), pieces)
+    found = containing(said.select("text_id", "scope", "normal"), pieces, everywhere=False)
     rows = found.join(held.select("piece_id", "record", "since"), "piece_id")
     return rows.where(F.col("since") < F.col("text_id.line")).select("text_id.branch", "text_id.line", "record").distinct()

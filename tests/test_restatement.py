@@ -72,3 +72,14 @@ def test_no_nested_loop(spark):
 
     plan = plans.QUERIES["restating_checkpoints"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
     assert "BroadcastNestedLoopJoin" not in plan and "CartesianProduct" not in plan
+
+
+def test_few_grams_of_a_piece_find_it_and_scopes_come_along(spark):
+    rng = random.Random(6)
+    body = "".join(rng.choice("abcdefgh ") for _ in range(3000))
+    pieces = spark.createDataFrame([(1, 7, body[100:2900]), (2, 8, body[5:50]), (3, None, body[5:50])], "piece_id long, scope long, piece string")
+    texts = spark.createDataFrame([(10, 7, body), (11, 8, body), (12, 7, body[200:])], "text_id long, scope long, normal string")
+    assert restatement.grams(pieces, "piece_id", "piece", most=8, with_col="scope").where("id = 1 and scope = 7").count() == 8
+    found = lambda **how: sorted(map(tuple, restatement.containing(texts, pieces, **how).select("text_id", "piece_id").collect()))
+    assert found() == [(10, 1), (10, 3), (11, 2), (11, 3)]
+    assert found(everywhere=False) == [(10, 1), (11, 2)]
