@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -14,13 +14,15 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from .common import in_turns, lowered, mix, stash
+from .common import in_turns, lowered, mix, stash, unmix, unstash
 
 #: Stands before a text as its context and after it as its end; no byte of UTF-8 has this value.
 _END = 255
 _PIECE = 1 << 21
 _PRIOR = 0.1
 _BUCKETS = 33
+#: A fit takes so many passes at most, fewer where one gains less than this share of the cost, and pulls weights to equal ones.
+_PASSES, _ENOUGH, _PULL = 5, 1e-3, 1.0
 
 
 def held_out(key: Column) -> Column:
@@ -67,6 +69,12 @@ def context_key(order: int, context: np.ndarray, depth: int) -> np.ndarray:
     return mix(((np.int64(order) << np.int64(8 * depth)) | context).astype(np.uint64)).astype(np.int64)
 
 
+def context_of(key: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Order and context bytes of context_key's hashes."""
+    found = unmix(key.astype(np.uint64)).astype(np.int64)
+    return found >> 8 * depth, found & ((1 << 8 * depth) - 1)
+
+
 def contexts_of(windows: np.ndarray, depth: int) -> np.ndarray:
     """Keys of all contexts of order 0 to depth that the windows have."""
     return np.concatenate([context_key(k, np.unique((windows >> 8) & ((1 << 8 * k) - 1)), depth) for k in range(depth + 1)])
@@ -155,28 +163,121 @@ def predictions(windows: np.ndarray, counts: Counts, depth: int, without: int =
         yield inputs, gate, (1 << (7 - bit)) | (symbol >> (bit + 1)), one
 
 
-def fit(raws: list[bytes], counts: Counts, depth: int, batch: int = 32, rate: float = 0.05) -> Mixer:
-    """Mix online: the texts are read in order, `batch` bytes at a time; each batch is predicted first, then the weights
-    of its gates take a step down the coding cost's slope (each step scaled by the weight's earlier slopes) and the
-    refining map moves towards the bits. Counts leave the predicted occurrence out."""
+def _slopes(windows: np.ndarray, seen: np.ndarray, counts: Counts, mixer: Mixer, depth: int) -> np.ndarray:
+    """Of each gate the coding cost of all occurrences of the windows, its slope and its curvature in the gate's weights. Counts
+    leave the predicted occurrence out."""
+    k = mixer.weights.shape[1]
+    out = np.zeros((len(mixer.weights), 1 + k + k * k))
+    for at in range(0, len(windows), _PIECE // 16):
+        times = seen[at : at + _PIECE // 16].astype(np.float64)
+        for inputs, gate, _, one in predictions(windows[at : at + _PIECE // 16], counts, depth, without=1):
+            by = np.argsort(gate, kind="stable")
+            x, bit, n = inputs[by], one[by], times[by]
+            cuts = np.searchsorted(gate[by], np.arange(len(out) + 1))
+            for g in np.flatnonzero(np.diff(cuts)):
+                low, high = cuts[g], cuts[g + 1]
+                p = 1 / (1 + np.exp(-np.clip(x[low:high] @ mixer.weights[g], -7.999, 7.999)))
+                out[g, 0] -= n[low:high] @ np.log(np.where(bit[low:high] == 1, p, 1 - p))
+                out[g, 1 : k + 1] += (n[low:high] * (bit[low:high] - p)) @ x[low:high]
+                out[g, k + 1 :] += ((x[low:high] * (n[low:high] * p * (1 - p))[:, None]).T @ x[low:high]).ravel()
+    return out
+
+
+def _bits_near(windows: np.ndarray, seen: np.ndarray, counts: Counts, mixer: Mixer, depth: int) -> np.ndarray:
+    """For each entry of the refining map how many bits fall to it, and how many of them are 1; a bit between two buckets
+    is shared out between them."""
+    out = np.zeros((2, mixer.refined.size))
+    for at in range(0, len(windows), _PIECE // 16):
+        times = seen[at : at + _PIECE // 16].astype(np.float64)
+        for inputs, gate, node, one in predictions(windows[at : at + _PIECE // 16], counts, depth, without=1):
+            _, _, bucket, share = mixer.probability(inputs, gate, node)
+            for place, part in ((bucket, times * (1 - share)), (bucket + 1, times * share)):
+                flat = node * _BUCKETS + place
+                out[0] += np.bincount(flat, weights=part, minlength=out.shape[1])
+                out[1] += np.bincount(flat, weights=part * one, minlength=out.shape[1])
+    return out
+
+
+def _fit(total: Callable[[Callable, Mixer], np.ndarray], depth: int) -> Mixer:
+    """The mixer for all occurrences of all windows. total: the sum of what a function of (windows, seen, counts, mixer,
+    depth) gives for every part of them.
+
+    Each gate's weights take Newton's steps down its cost, halved where one went too far; a weak pull to equal weights
+    settles gates that few bits meet. Then the map takes the share of ones of each of its entries. Sums do not depend on
+    how the windows are dealt out."""
     mixer = Mixer.new(depth)
+    start, k = mixer.weights.copy(), mixer.weights.shape[1]
+    best, least, slopes = start, np.full(len(start), np.inf), np.zeros((len(start), 1 + k + k * k))
+    for _ in range(_PASSES):
+        found = total(_slopes, mixer)
+        cost = found[:, 0] + _PULL / 2 * ((mixer.weights - start) ** 2).sum(axis=1)
+        better = cost < least
+        gained = (least - cost)[better].sum() / max(cost.sum(), 1)
+        best, least, slopes = np.where(better[:, None], mixer.weights, best), np.minimum(cost, least), np.where(better[:, None], found, slopes)
+        if gained < _ENOUGH:
+            break
+        curve = slopes[:, k + 1 :].reshape(-1, k, k) + _PULL * np.eye(k)
+        step = np.linalg.solve(curve, (slopes[:, 1 : k + 1] - _PULL * (best - start))[:, :, None])[:, :, 0]
+        mixer.weights = np.where(better[:, None], best + step, (best + mixer.weights) / 2)
+    mixer.weights = best
+    bits, ones = total(_bits_near, mixer).reshape(2, *mixer.refined.shape)
+    mixer.refined = (ones + mixer.refined) / (bits + 1)
+    return mixer
+
+
+def fit(raws: list[bytes], counts: Counts, depth: int) -> Mixer:
+    """The mixer for all places of some texts."""
     windows, codes, _ = windows_of(raws, depth)
-    bits = list(predictions(windows, counts, depth, without=1))
-    inputs, gates, nodes, ones = (np.stack([b[k] for b in bits], axis=1) for k in range(4))
-    slopes = np.full(mixer.weights.shape, 1e-4)
-    visits = np.full(mixer.refined.shape, 1.5)
-    k = mixer.weights.shape[1]
-    for at in range(0, len(codes), batch):
-        part = codes[at : at + batch]
-        x, gate, node, one = inputs[part].reshape(-1, k), gates[part].ravel(), nodes[part].ravel(), ones[part].ravel()
-        mixed, _, bucket, share = mixer.probability(x, gate, node)
-        slope = np.zeros_like(mixer.weights)
-        np.add.at(slope, gate, x * (one - mixed)[:, None])
-        slopes += slope**2
-        mixer.weights += rate * slope / np.sqrt(slopes)
-        near = bucket + (share > 0.5)
-        np.add.at(visits, (node, near), 1)
-        np.add.at(mixer.refined, (node, near), (one - mixer.refined[node, near]) / np.minimum(visits[node, near], 250))
+    seen = np.bincount(codes, minlength=len(windows))
+    return _fit(lambda work, mixer: work(windows, seen, counts, mixer, depth), depth)
+
+
+def fit_all(followed: DataFrame, depth: int, part: int = 100_000) -> Mixer:
+    """The mixer for all places of all training texts, from their counts (key, symbols, counts) alone: the longest contexts
+    with their symbols are the distinct windows, and how often each occurs.
+
+    Contexts meet in parts of about `part` by their last two bytes, which a window's contexts of two bytes and more have in
+    common; the few shorter ones go along with every task. Only sums come back."""
+    low = min(2, depth)
+    keys = np.concatenate([np.zeros(0, np.int64), *(context_key(k, np.arange(256**k), depth) for k in range(low))])
+    keys = followed.sparkSession.createDataFrame(pa.table({"key": pa.array(keys, pa.int64())}))
+    short = followed.join(F.broadcast(keys), "key").toArrow()
+    parts = -(-max(followed.count(), 1) // part)
+
+    def deal(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            order, context = context_of(batch.column(0).to_numpy(), depth)
+            own = mix((context & ((1 << 8 * low) - 1)).astype(np.uint64)) % np.uint64(parts)
+            yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int64)), *batch.columns], names=["part", "key", "symbols", "counts"]).filter(pa.array(order >= low))
+
+    dealt = followed.select("key", "symbols", "counts").mapInArrow(deal, "part long, key long, symbols array<long>, counts array<long>")
+    packed = stash(dealt.groupBy("part").agg(*(F.collect_list(c).alias(c) for c in ("key", "symbols", "counts"))), "zstd")
+
+    def total(work: Callable, mixer: Mixer) -> np.ndarray:
+        def summed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            out: np.ndarray | None = None
+            for batch in batches:
+                for i in range(batch.num_rows):
+                    rows = pa.table([batch.column(c).slice(i, 1).flatten() for c in ("key", "symbols", "counts")], names=["key", "symbols", "counts"])
+                    order, context = context_of(rows.column("key").to_numpy(), depth)
+                    sizes = pa.compute.list_value_length(rows.column("symbols")).to_numpy()
+                    symbols, seen = (rows.column(c).combine_chunks().flatten().to_numpy() for c in ("symbols", "counts"))
+                    whole = np.repeat(order == depth, sizes)
+                    windows = (np.repeat(context, sizes) << 8 | symbols)[whole]
+                    by = np.argsort(windows)
+                    found = work(windows[by], seen[whole][by], _counted(pa.concat_tables([rows, short.select(rows.column_names).cast(rows.schema)])), mixer, depth)
+                    out = found if out is None else out + found
+            if out is not None:
+                yield pa.RecordBatch.from_arrays([pa.array([out.ravel()])], names=["sums"])
+
+        empty = np.zeros(0, np.int64)
+        out = work(empty, empty, Counts(empty, empty, empty, empty), mixer, depth)
+        sums = packed.select("key", "symbols", "counts").mapInArrow(summed, "sums array<double>").select(F.posexplode("sums")).groupBy("pos").agg(F.sum("col").alias("n")).toArrow()
+        out.ravel()[sums.column("pos").to_numpy()] = sums.column("n").to_numpy()
+        return out
+
+    mixer = _fit(total, depth)
+    unstash(packed)
     return mixer
 
 
@@ -246,14 +347,13 @@ def _counted(rows: pa.Table) -> Counts:
     return Counts(rows.column("key").to_numpy(), sizes, symbols.flatten().to_numpy(zero_copy_only=False).astype(np.int64), counts.flatten().to_numpy(zero_copy_only=False))
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = 4, turn_bytes: int = 8_000_000, sample_docs: int = 256, sample_bytes: int = 16_384) -> DataFrame:
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = 4, turn_bytes: int = 8_000_000) -> DataFrame:
     """The model's log10 probability of every whole text, a row per document, next to that of single tokens.
 
     The model codes a text's bytes (A-Z in lower case) and its end bit by bit. For the contexts of 0 to `depth` bytes it
     has one predictor each, whose counts come from all documents that are not held out; their log odds are mixed by
-    weights that a gate selects, and the result is refined by an adaptive map. Weights and map are fitted online on at
-    most sample_docs training documents of at most sample_bytes (documented bounds, drawn by a hash); counts have no
-    bound and grow with the corpus.
+    weights that a gate selects, and the result is refined by a map. Counts, weights and map all come from every place of
+    every one of these documents (see fit_all).
 
     Tasks read texts in turns of about turn_bytes (a longer text on its own) and write each turn with its distinct
     windows, contexts and tokens. Counts are summed by key and go back to the turns that asked for them, so only distinct
@@ -308,10 +408,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth
     known = tokens.groupBy("turns").agg(F.sum("n").alias("n"), F.expr("count_if(total > 0) div turns").alias("known"))
     train_tokens, distinct = known.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("known"), F.lit(0))).first()
 
-    sample = rows.where(~F.col("held") & F.coalesce(F.octet_length("text") <= sample_bytes, F.lit(False)))
-    sample = [lowered(r[0]) for r in sample.orderBy(F.xxhash64("doc_key", "text"), "text").limit(sample_docs).select("text").collect()]
-    keys = pa.table({"key": pa.array(np.unique(contexts_of(windows_of(sample, depth)[0], depth)), pa.int64())})
-    mixer = fit(sample, _counted(followed.join(F.broadcast(docs.sparkSession.createDataFrame(keys)), "key").toArrow()), depth)
+    mixer = fit_all(followed, depth)
 
     places = tokens.groupBy(F.col("turn").alias("of_turn")).agg(*lists("place", "total"))
     made = f"doc_key {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_bytes long, bits_per_byte double"

@@ -237,3 +237,33 @@ def test_context_mixing(spark):
     assert context_mixing.score(docs.limit(0)).count() == 0
     only_held = docs.where(F.crc32(F.col("doc_id").cast("string")) % 7 == 2)
     assert {r.train_tokens for r in context_mixing.score(only_held, depth=3).collect()} == {0}
+
+
+def test_mixer_comes_from_all_training_texts(spark):
+    rng = random.Random(12)
+    # Every text is long: none of them may be left out of the fit.
+    texts = [" ".join(rng.choice(["the", "cat", "sat", "é x", "on the", "mat" * rng.randint(1, 3)]) for _ in range(4_000)) for _ in range(6)]
+    raws = [lower(t) for t in texts]
+    found = counted_by_loops(raws, 3)
+    rows = [(int(k), sorted(v), [v[s] for s in sorted(v)]) for k, v in found.items()]
+    followed = spark.createDataFrame(rows, "key long, symbols array<long>, counts array<long>")
+    want = context_mixing.fit(raws, counts_of(found), 3)
+    for part in (7, 1_000_000):
+        got = context_mixing.fit_all(followed, 3, part)
+        assert np.allclose(got.weights, want.weights, atol=1e-6) and np.allclose(got.refined, want.refined, atol=1e-6)
+    assert not np.allclose(want.weights, context_mixing.Mixer.new(3).weights, atol=1e-2)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    held = [zlib.crc32(str(i).encode()) % 7 == 2 for i in range(len(texts))]
+    train = [r for r, h in zip(raws, held, strict=True) if not h]
+    counts = counts_of(counted_by_loops(train, 3))
+    mixer = context_mixing.fit(train, counts, 3)
+    for r in context_mixing.score(docs, depth=3).collect():
+        windows, codes, _ = context_mixing.windows_of([raws[r.doc_id]], 3)
+        assert abs(r.score - context_mixing.log10_probability(windows, counts, mixer, 3)[codes].sum()) < 1e-6 * abs(r.score)
+
+
+def test_contexts_come_back_from_their_keys():
+    context = np.array([0, 1, 255, 0xFFFFFFFF, 0x80000001], np.int64)
+    for order in range(5):
+        got = context_mixing.context_of(context_mixing.context_key(order, context, 4), 4)
+        assert (got[0] == order).all() and (got[1] == context).all()
