@@ -4,7 +4,7 @@ import hashlib
 import random
 
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import Row, functions as F
 
 from memoria.functions import stemming, text
 from memoria.operators import conversations, fingerprints, ledger, provenance, ranking
@@ -266,3 +266,45 @@ def test_odd_stems_do_not_reach_the_index(spark):
 def test_no_passage_of_nothing(spark, empty):
     passage, omitted = text.bounded_passage(F.col("t"), 10)
     assert spark.createDataFrame([(empty,)], "t string").select(passage.alias("p")).first().p == empty
+
+
+def test_an_event_asks_the_state_once(spark):
+    """A transcript's first slice asks only for its cursor; a later one once for each place and call."""
+
+    class Store(dict):
+        def __init__(self):
+            super().__init__()
+            self.asked = 0
+
+        def containsKey(self, key):
+            self.asked += 1
+            return key in self
+
+        getValue, updateValue = dict.get, dict.__setitem__
+
+    class Cursor:
+        at, asked = None, 0
+
+        def exists(self):
+            self.asked += 1
+            return self.at is not None
+
+        def get(self):
+            return self.at
+
+        def update(self, at):
+            self.at = at
+
+    ingest = stateful.Ingest()
+    ingest.cursor, ingest.calls, ingest.seen = Cursor(), Store(), Store()
+    named = Row(*(c.split()[0] for c in stateful.SLICE.split(", ")))
+    m = lambda at, event, digest="d": (at, event, "message", digest, None, True)
+    first = slice_rows("t", "1", [m(n, f"e{n}") for n in range(50)], end=50)
+    again = slice_rows("t", "1 again", [m(0, "e0")], end=50)
+    out = list(ingest.handleInputRows(("h", "t"), iter([named(*r) for r in [*first, *again]]), None))
+    assert [o.disposition for o in out].count("record") == 50 and out[-1].disposition == "refused"
+    assert (ingest.cursor.asked, ingest.seen.asked, ingest.calls.asked) == (1, 0, 0)
+    later = slice_rows("t", "2", [m(50, "e1", "new"), m(51, "e1", "d"), m(52, "e1", "new"), (53, "r", "tool_result", "x", "k", True)], expected=50, end=60)
+    out = list(ingest.handleInputRows(("h", "t"), iter([named(*r) for r in later]), None))
+    assert [(o.disposition, o.version) for o in out] == [("record", True), ("replay", False), ("replay", False), ("record", False), ("cursor", False)]
+    assert (ingest.cursor.asked, ingest.seen.asked, ingest.calls.asked) == (2, 2, 1)
