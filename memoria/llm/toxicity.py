@@ -35,6 +35,11 @@ def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     return places.astype(np.int64), np.array([upper, odd, repeated, np.log1p(len(b)) / 10])
 
 
+def _distinct(places: np.ndarray) -> np.ndarray:
+    """The distinct places in order; no copy of what is so already."""
+    return places if (places[1:] > places[:-1]).all() else np.unique(places)
+
+
 @dataclass
 class Linear:
     """A logistic model: a weight for each hashed place that is present, for each measure, and for each earlier category."""
@@ -51,26 +56,29 @@ class Linear:
 
 def _fit(rows: list[np.ndarray], dense: np.ndarray, y: np.ndarray, weight: np.ndarray, most: int, steps: int, ridge: float) -> Linear:
     """Keep the places whose presence tells the classes apart best, then minimise the weighted logistic loss with a
-    ridge by accelerated gradient steps."""
+    ridge by accelerated gradient steps. A row holds each of its places once."""
     size = 1 << _BITS
-    at = np.concatenate(rows)
-    owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    w = weight[owner]
-    pos, neg = (np.bincount(at[y[owner] == c], minlength=size) for c in (1, 0))
-    wp, wn = (np.bincount(at[y[owner] == c], weights=w[y[owner] == c], minlength=size) for c in (1, 0))
-    odds = np.log((wp + 0.5) / (weight[y == 1].sum() + 1)) - np.log((wn + 0.5) / (weight[y == 0].sum() + 1))
-    z = np.where(pos + neg >= 5, np.abs(odds) * np.sqrt(np.minimum(pos + neg, 200)), 0)
+    # Row by row, in place: lists of all places with their owners and weights would take many times the rows' memory.
+    counts, sums = np.zeros((2, size), np.int64), np.zeros((2, size))
+    for r, c, w in zip(rows, y, weight):
+        counts[c][r] += 1
+        sums[c][r] += w
+    seen = counts.sum(0)
+    odds = np.log((sums[1] + 0.5) / (weight[y == 1].sum() + 1)) - np.log((sums[0] + 0.5) / (weight[y == 0].sum() + 1))
+    z = np.where(seen >= 5, np.abs(odds) * np.sqrt(np.minimum(seen, 200)), 0)
     chosen = np.sort(np.argsort(-z, kind="stable")[:most])
     chosen = chosen[z[chosen] > 0]
     column = np.full(size, -1)
     column[chosen] = np.arange(len(chosen))
-    inside = column[at] >= 0
     x = np.zeros((len(rows), len(chosen) + dense.shape[1] + 1), np.float32)
-    x[owner[inside], column[at[inside]]] = 1
+    for i, r in enumerate(rows):
+        inside = column[r]
+        x[i, inside[inside >= 0]] = 1
     x[:, len(chosen) : -1] = dense
     x[:, -1] = 1
     weight, y = (weight / weight.sum()).astype(np.float32), y.astype(np.float32)
-    rate = 4 / (float((weight * (x**2).sum(1)).sum()) + 4 * ridge)
+    norms = np.concatenate([(x[i : i + 256] ** 2).sum(1) for i in range(0, len(x), 256)])
+    rate = 4 / (float((weight * norms).sum()) + 4 * ridge)
     penalty = np.full(x.shape[1], ridge, np.float32)
     penalty[-1] = 0
     theta = ahead = np.zeros(x.shape[1], np.float32)
@@ -104,7 +112,7 @@ def fit_chain(texts: list[tuple[np.ndarray, np.ndarray]], labels: dict[str, np.n
     """Fit the categories in the order given. A later model is trained on out-of-fold probabilities of the earlier ones,
     as it will meet at prediction: a model's own fit on its training rows would look too sure. A category's cut is where
     its out-of-fold probabilities give the best weighted F-half, which counts precision twice as much as recall."""
-    rows = [np.unique(t[0]) for t in texts]
+    rows = [_distinct(t[0]) for t in texts]
     dense = np.stack([t[1] for t in texts])
     fold = np.arange(len(rows)) % folds
     models, cuts = [], []
@@ -155,7 +163,7 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], id_
         return None
     found.sort(key=lambda r: (r.id, bytes(r.places)))
     weight = np.array([1 / share[",".join(str(r[n]) for n in names)] for r in found])
-    texts = [(np.frombuffer(r.places, "<i4").astype(np.int64), np.frombuffer(r.dense)) for r in found]
+    texts = [(np.frombuffer(r.places, "<i4"), np.frombuffer(r.dense)) for r in found]
     return fit_chain(texts, {n: np.array([r[n] for r in found]) for n in names}, weight, **how)
 
 

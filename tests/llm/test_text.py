@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -222,6 +223,17 @@ def test_packing(spark):
     assert packing.pack(docs.limit(0), BPE, public_tokenizers.PATTERN).count() == 0
 
 
+def test_toxicity_fit_takes_little_driver_memory():
+    rng = np.random.default_rng(1)
+    texts = [(np.unique(rng.integers(0, 1 << 18, 4000)), rng.random(4)) for _ in range(600)]
+    label = rng.integers(0, 2, 600)
+    tracemalloc.start()
+    toxicity.fit_chain(texts, {"low_quality": label, "toxic": 1 - label}, np.ones(600), most=200, steps=5)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40e6  # beside the 19 MB of rows; lists of all places with their owners and weights took 116 MB
+
+
 def test_toxicity(spark):
     docs = table(spark, "/root/testdata/sf0.1", "documents")
     labels = table(spark, "/root/testdata/sf0.1", "labels")
