@@ -304,6 +304,44 @@ def test_surroundings_and_bit_counts_equal_brute_force():
     assert sorted(set(got)) == sorted(want) and len(want) > 20
 
 
+def test_texts_of_common_lines_are_not_aligned_pair_by_pair(spark, monkeypatch):
+    # The lines stand in every text in another order: all pairs share over 41 shingles near a common line, few a passage.
+    rng = random.Random(12)
+    lines = [[f"l{i}w{j}" for j in range(20)] for i in range(10)]
+    rows = []
+    for i in range(60):
+        picked = rng.sample(lines, 8)
+        rows.append((i, " ".join(w for x in picked for w in [*x, f"n{rng.random()}"])))
+    pairs, real = [], passages.stash
+    monkeypatch.setattr(passages, "stash", lambda df, *a: (out := real(df, *a), df.columns == ["lead", "node"] and pairs.append(out.count()))[0])
+    found = {r.doc_id for r in passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string"), block=32).collect()}
+    tokens = [passages._tokens(t) for _, t in rows]
+    both = [(i, j) for i in range(60) for j in range(i) if passages.matching_passages(tokens[i], tokens[j], 46, 4, 5)]
+    assert found == {i for p in both for i in p} and sum(pairs) < 500  # 1,770 pairs in all
+
+
+def test_every_open_window_with_a_partner_gets_one():
+    rng = np.random.default_rng(3)
+    half, least = 12, 6
+    base = rng.integers(1, 1 << 32, (5, 2 * half + 1), dtype=np.uint64).astype(np.uint32)
+    seq = base[rng.integers(0, 5, 150)]
+    seq[rng.random(seq.shape) < 0.12] = 0
+    seq[seq == 0] = rng.integers(1, 1 << 32, int((seq == 0).sum()), dtype=np.uint64).astype(np.uint32)
+    key, node, open_ = np.sort(rng.integers(0, 12, 150)), rng.integers(0, 90, 150), rng.random(150) < 0.5
+    columns = [key, node, np.arange(150), np.full(150, 3), open_, np.full(150, half)]
+    batch = pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array([r.tobytes() for r in seq], pa.binary())], names=["key", "node", "set", "side", "any", "least", "tokens"])
+    likely = list(passages._likely(6, half, least, 4, 5)(iter([batch])))
+    got = {r["set"] for b in passages._partners(6, least, 4, 5)(iter(likely)) for r in b.to_pylist()}
+
+    def fits(i, j):
+        a, b = np.isin(seq[i], seq[j]), np.isin(seq[j], seq[i])
+        best = lambda f: max(sum(1 if x else -8 for x in f[s:e]) for s in range(half + 1) for e in range(half + 1, 2 * half + 2) if e - s >= least)
+        return a.sum() >= 6 and best(a) + best(b) >= 0
+
+    want = {i for i in np.flatnonzero(open_) if any(fits(i, j) for j in np.flatnonzero((key == key[i]) & (node != node[i])))}
+    assert got == want and len(want) > 15
+
+
 def test_tight_clusters_that_link_are_one_component(spark):
     # Within a cluster the cosines are above 0.999, which fills every list; across they are about 0.983.
     rng = np.random.default_rng(6)
