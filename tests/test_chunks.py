@@ -34,6 +34,11 @@ def test_chunk_queries_on_odd_rows(spark, tmp_path, name, rows):
     assert ours == theirs
 
 
+def test_coverage_of_no_chunks_is_null(spark, tmp_path):
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert [tuple(r) for r in plans.QUERIES["chunk_coverage"](spark, str(tmp_path)).collect()] == [(None, 0)]
+
+
 def test_only_rows_of_repeated_ids_move(spark, tmp_path):
     spark.createDataFrame([(i, "some words", "en", "src1") for i in range(50)], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
     df = plans.QUERIES["record_chunks"](spark, str(tmp_path))
