@@ -132,6 +132,21 @@ def totals(postings: DataFrame, asked: DataFrame, able: DataFrame, block: int =
     return found.groupBy("query_id").agg(F.sum("matches").alias("matches"), F.min("best").alias("best"))
 
 
+def matches(postings: DataFrame, asked: DataFrame, block: int = 500, part: int = 4000) -> DataFrame:
+    """(query_id, seq): the records that each query matches, in any chunk and by any term, each pair once. postings have one
+    row a seq, so pairs are whole where they are made and are not shuffled."""
+
+    def work(queries: pa.Table, held: pa.Table) -> pa.Table:
+        if not (queries.num_rows and held.num_rows):
+            return pa.table([pa.array([], t.schema.field(c).type) for t, c in ((queries, "query_id"), (held, "seq"))], names=["query_id", "seq"])
+        ids, weight = _scores(queries, held)
+        rows, of = np.nonzero(weight > 0)
+        return pa.table([ids.take(pa.array(of)), held.column("seq").take(pa.array(rows))], names=["query_id", "seq"])
+
+    sizes = (asked.select("query_id").distinct().count(), postings.count())
+    return _meet(postings, asked, work, f"query_id {_kind(asked, 'query_id')}, seq {_kind(postings, 'seq')}", sizes, block, part)
+
+
 def by_score(score: np.ndarray, row: dict[str, np.ndarray], query: dict) -> list[np.ndarray]:
     """The order of top: score, newest, highest seq."""
     return [score, -row["created_at"], -row["seq"]]
